@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .minhash import near_duplicates
+from .quality import classify_quality
 from .sentencepiece_fst import encode_decode
 from .token_counts import token_counts
+from .toxicity import score_toxicity
 from .url_filter import filter_urls, rule_table
 
 #: The rules of the query on URLs.
@@ -23,6 +26,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the number of offending sentences and where the worst of them stands."""
+    done = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    worst = F.array_max(F.transform("offending", lambda s: F.struct(s["score"], s["start"], s["stop"])))
+    done = done.withColumn("worst", worst).withColumn("n_offending", F.size("offending").cast("long"))
+    return done.select("doc_id", "held_out", "score", "predicted", "n_offending", F.col("worst.start").alias("worst_start"), F.col("worst.stop").alias("worst_stop"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
@@ -33,6 +44,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_pieces", F.md5(F.concat_ws(",", "pieces")).alias("pieces_md5"), F.md5("decoded").alias("decoded_md5"), "round_trip")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -43,8 +62,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op4_url_filters": op4_url_filters,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_minhash": op6_minhash,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
