@@ -29,8 +29,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     return [(r["text"], int(r["y"] > 0)) for r in met.collect()]
 
 
-def score(docs: DataFrame, model: Callable[[list[str]], list[pa.Array]], fields: str, names: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Runs ``model`` on every whole text (null as empty) and adds held_out."""
+def score(docs: DataFrame, model: object, apply: Callable[[object, list[str]], list[pa.Array]], fields: str, names: list[str], id_col: str, text_col: str) -> DataFrame:
+    """``apply(model, texts)`` on every whole text (null as empty), with held_out.  The model is broadcast: its size is fixed by its parameters."""
     small_arrow_batches(docs.sparkSession)
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
@@ -40,7 +40,7 @@ def score(docs: DataFrame, model: Callable[[list[str]], list[pa.Array]], fields:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in spans(texts, lambda t: len(t) + 2, BATCH_CHARS):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *held.value(texts[a:b])], [id_col, *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *apply(held.value, texts[a:b])], [id_col, *names])
 
     out = chosen.mapInArrow(run, f"`{id_col}` {kind}, {fields}")
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), *names)

@@ -99,8 +99,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     rows = labelled.sample(docs, labels, label_col, id_col=id_col, text_col=text_col)
     model = QualityModel(**fit).fit(rows)
 
-    def run(texts: list[str]) -> list[pa.Array]:
+    def run(model: QualityModel, texts: list[str]) -> list[pa.Array]:
         score = model.score(texts)
         return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
 
-    return labelled.score(docs, run, "score double, predicted int", ["score", "predicted"], id_col, text_col)
+    return labelled.score(docs, model, run, "score double, predicted int", ["score", "predicted"], id_col, text_col)

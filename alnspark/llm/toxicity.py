@@ -118,7 +118,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
     model = ToxicityModel(**fit).fit(rows)
     item = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())])
 
-    def run(texts: list[str]) -> list[pa.Array]:
+    def run(model: ToxicityModel, texts: list[str]) -> list[pa.Array]:
         p, text_of, start, stop = model.sentences(texts)
         score = noisy_or(p, text_of, len(texts))
         bad = np.flatnonzero(p >= threshold)
@@ -126,4 +126,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
         offsets = np.concatenate(([0], np.cumsum(np.bincount(text_of[bad], minlength=len(texts)))))
         return [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)]
 
-    return labelled.score(docs, run, "score double, predicted int, offending array<struct<start:bigint,stop:bigint,score:double>>", ["score", "predicted", "offending"], id_col, text_col)
+    return labelled.score(docs, model, run, "score double, predicted int, offending array<struct<start:bigint,stop:bigint,score:double>>", ["score", "predicted", "offending"], id_col, text_col)
