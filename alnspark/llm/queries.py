@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .html_text import main_text
 from .minhash import near_duplicates
 from .quality import classify_quality
 from .sentencepiece_fst import encode_decode
@@ -35,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "score", "predicted", "n_offending", F.col("worst.start").alias("worst_start"), F.col("worst.stop").alias("worst_stop"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
@@ -68,6 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op4_url_filters": op4_url_filters,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_minhash": op6_minhash,
