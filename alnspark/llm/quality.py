@@ -7,11 +7,14 @@ softmax, the fitted vectors are folded to one number a bucket before scoring.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import labelled
+from .common import small_arrow_batches, spans
 from .hashing import code_points, finish, prefix_hash, substring, sums
 from .transducer import SP, W, char_classes
 
@@ -104,3 +107,19 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
         return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
 
     return labelled.score(docs, model, run, "score double, predicted int", ["score", "predicted"], id_col, text_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fit) -> DataFrame:
+    """The rows of ``docs`` with all their columns that classify_quality() predicts as 1, in one pass without a join."""
+    small_arrow_batches(docs.sparkSession)
+    model = QualityModel(**fit).fit(labelled.sample(docs, labels, label_col, id_col=id_col, text_col=text_col))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in spans(texts, lambda t: len(t) + 2, labelled.BATCH_CHARS):
+                yield batch.slice(a, b - a).filter(pa.array(held.value.score(texts[a:b]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
