@@ -95,48 +95,45 @@ def to_alignment_match(ops: Column) -> Column:
     return collapse(F.transform(ops, lambda x: item(x["n"], F.when(x["op"].isin("=", "X"), F.lit("M")).otherwise(x["op"]))))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def positions(ops: Column, start: Column) -> Column:
     """Items with the reference and read position at which each begins: (n, op, ref, query)."""
-    ref = F.transform(ops, lambda x, k: reference_length(F.slice(ops, 1, k)))
-    query = F.transform(ops, lambda x, k: query_length(F.slice(ops, 1, k)))
-    return F.transform(ops, lambda x, k: F.struct(x["n"].alias("n"), x["op"].alias("op"), (start + F.get(ref, k)).alias("ref"), F.get(query, k).alias("query")))
+    kind = "array<struct<n:int,op:string,ref:bigint,query:bigint>>"
+    state = F.struct(F.array().cast(kind).alias("done"), start.cast("bigint").alias("ref"), F.lit(0).cast("bigint").alias("query"))
 
+    def step(s: Column, x: Column) -> Column:
+        moved = lambda of: F.when(x["op"].isin(*of), x["n"]).otherwise(F.lit(0)).cast("bigint")
+        here = F.struct(x["n"].alias("n"), x["op"].alias("op"), s["ref"].alias("ref"), s["query"].alias("query"))
+        return F.struct(F.concat(s["done"], F.array(here)).alias("done"), (s["ref"] + moved(REFERENCE)).alias("ref"), (s["query"] + moved(QUERY)).alias("query"))
 
-def indel_runs(ops: Column, start: Column) -> Column:
-    """Maximal runs of I and D that hold both: (first, last, ref_start, ref_end, query_start, query_end), items counted from 0."""
-    placed = positions(ops, start)
-    kind = "array<struct<first:int,last:int,has_i:boolean,has_d:boolean,open:boolean>>"
+    return F.aggregate(ops, state, step, lambda s: s["done"])
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        indel = x["op"].isin("I", "D")
-        is_open = (F.size(done) > 0) & F.coalesce(F.try_element_at(done, F.lit(-1))["open"], F.lit(False))
-        row = lambda a, b, i, d, o: F.array(F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"), i.alias("has_i"), d.alias("has_d"), o.alias("open")))
-        grown = row(last["first"], x["k"], last["has_i"] | (x["op"] == "I"), last["has_d"] | (x["op"] == "D"), F.lit(True))
-        shut = row(last["first"], last["last"], last["has_i"], last["has_d"], F.lit(False))
-        head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return (
-            F.when(indel & is_open, F.concat(head, grown))
-            .when(indel, F.concat(done, row(x["k"], x["k"], x["op"] == "I", x["op"] == "D", F.lit(True))))
-            .when(is_open, F.concat(head, shut))
-            .otherwise(done)
-        )
-
-    numbered = F.transform(ops, lambda x, k: F.struct(x["op"].alias("op"), k.alias("k")))
-    found = F.filter(F.aggregate(numbered, F.array().cast(kind), add), lambda r: r["has_i"] & r["has_d"])
-
-    def span(r: Column) -> Column:
-        a, b = F.get(placed, r["first"]), F.get(placed, r["last"])
-        return F.struct(
-            r["first"].alias("first"),
-            r["last"].alias("last"),
-            a["ref"].alias("ref_start"),
-            (b["ref"] + F.when(b["op"] == "D", b["n"]).otherwise(0)).alias("ref_end"),
-            a["query"].alias("query_start"),
-            (b["query"] + F.when(b["op"] == "I", b["n"]).otherwise(0)).alias("query_end"),
-        )
 
-    return F.transform(found, span)
+def indel_runs(ops: Column, start: Column) -> Column:
+    """Maximal runs of I and D that hold both: (first, last, ref_start, ref_end, query_start, query_end), items counted from 0."""
+    names = ("first", "last", "ref_start", "ref_end", "query_start", "query_end")
+    run = "struct<" + ",".join(f"{n}:bigint" for n in names) + ",has_i:boolean,has_d:boolean>"
+    none = F.lit(None).cast(run)
+    state = F.struct(F.lit(0).cast("bigint").alias("k"), F.array().cast(f"array<{run}>").alias("done"), none.alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        is_i, is_d, old = x["op"] == "I", x["op"] == "D", s["open"]
+        to_r, to_q = x["ref"] + F.when(is_d, x["n"]).otherwise(0), x["query"] + F.when(is_i, x["n"]).otherwise(0)
+        kept = lambda name, new: F.coalesce(old[name], new).alias(name)
+        grown = F.struct(
+            kept("first", s["k"]), s["k"].alias("last"), kept("ref_start", x["ref"]), to_r.alias("ref_end"), kept("query_start", x["query"]), to_q.alias("query_end"),
+            (F.coalesce(old["has_i"], F.lit(False)) | is_i).alias("has_i"), (F.coalesce(old["has_d"], F.lit(False)) | is_d).alias("has_d"),
+        )
+        shut = F.when(old.isNotNull(), F.concat(s["done"], F.array(old))).otherwise(s["done"])
+        return F.struct((s["k"] + 1).alias("k"), F.when(is_i | is_d, s["done"]).otherwise(shut).alias("done"), F.when(is_i | is_d, grown).otherwise(none).alias("open"))
+
+    end = lambda s: F.when(s["open"].isNotNull(), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+    found = F.filter(F.aggregate(positions(ops, start), state, step, end), lambda r: r["has_i"] & r["has_d"])
+    return F.transform(found, lambda r: F.struct(*(r[n].alias(n) for n in names)))
 
 
 def may_continue(before: Column, op: Column) -> Column:
@@ -147,20 +144,20 @@ def may_continue(before: Column, op: Column) -> Column:
 
 def to_sequence_match(ops: Column, seq: Column, reference: Column, start: Column) -> Column:
     """M becomes = or X by comparing read and reference base by base; other items stay as they are, unmerged."""
-    placed = positions(ops, start)
+    part = lambda text, at, n: F.substring(text, (at + 1).cast("int"), n)
 
     def runs(x: Column) -> Column:
-        each = F.transform(
-            F.sequence(F.lit(0), x["n"] - 1),
-            lambda k: item(F.lit(1), F.when(F.substring(seq, (x["query"] + k + 1).cast("int"), F.lit(1)) == F.substring(reference, (x["ref"] + k + 1).cast("int"), F.lit(1)), F.lit("=")).otherwise(F.lit("X"))),
-        )
-        return F.when(x["op"] == "M", collapse(each)).otherwise(F.array(item(x["n"], x["op"])))
+        """Equal letters as =, others as X, then the runs of either."""
+        pairs = F.arrays_zip(F.split(part(seq, x["query"], x["n"]), ""), F.split(part(reference, x["ref"], x["n"]), ""))
+        marks = F.array_join(F.transform(pairs, lambda p: F.when(p["0"] == p["1"], "=").otherwise("X")), "")
+        return F.transform(F.regexp_extract_all(marks, F.lit("(=+|X+)"), F.lit(1)), lambda r: item(F.length(r), F.substring(r, 1, 1)))
 
-    return F.flatten(F.transform(F.filter(placed, lambda x: x["n"] > 0), runs))
+    each = lambda x: F.when(x["op"] == "M", runs(x)).otherwise(F.array(item(x["n"], x["op"])))
+    return F.flatten(F.transform(F.filter(positions(ops, start), lambda x: x["n"] > 0), each))
 
 
 def reference_n_positions(ops: Column, reference: Column, start: Column) -> Column:
     """Offsets from ``start`` at which the reference has N under an operation that consumes it."""
-    placed = F.filter(positions(ops, start), lambda x: x["op"].isin(*REFERENCE) & (x["n"] > 0))
-    offsets = F.flatten(F.transform(placed, lambda x: F.sequence(x["ref"] - start, x["ref"] - start + x["n"] - 1)))
-    return F.filter(offsets, lambda k: F.substring(reference, (start + k + 1).cast("int"), F.lit(1)) == "N")
+    length = reference_length(ops)
+    under = F.substring(reference, (start + 1).cast("int"), length.cast("int"))
+    return F.filter(F.transform(F.split(under, ""), lambda c, k: F.when(c == "N", k.cast("bigint"))), lambda k: k.isNotNull())

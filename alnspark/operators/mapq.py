@@ -105,15 +105,14 @@ def rescore(ops: Column, seq: Column, qual: Column, ref_n: Column, mismatch_min:
     def step(s: Column, x: Column) -> Column:
         n, op = x["n"], x["op"]
         gap = -n * F.lit(float(gap_extend)) - F.when(s["before"].isin("I", "D"), F.lit(0.0)).otherwise(F.lit(float(gap_open)))
-        each = F.sequence(F.lit(0), n - 1)
         lost = F.aggregate(
-            each,
+            F.sequence(F.lit(0), n - 1),
             F.lit(0.0),
             lambda a, k: a
             - F.when(is_n(s["q"] + k) | F.array_contains(ref_n, (s["r"] + k).cast("bigint")), F.lit(float(n_penalty)))
             .otherwise(F.floor(quality(s["q"] + k) / 40.0 * (mismatch_max - mismatch_min) + mismatch_min).cast("double")),
         )
-        held = F.aggregate(each, F.lit(0.0), lambda a, k: a - F.when(is_n(s["q"] + k), F.lit(float(n_penalty))).otherwise(F.lit(0.0)))
+        held = -F.length(F.regexp_replace(F.substring(seq, (s["q"] + 1).cast("int"), n), "[ACGT]", "")) * F.lit(float(n_penalty))
         score = s["score"] + F.when(op.isin("I", "D"), gap).when(op == "X", lost).when(op == "=", held).otherwise(F.lit(0.0))
         moved = lambda ops: F.when(op.isin(*ops), n).otherwise(F.lit(0))
         return F.struct(score.alias("score"), (s["q"] + moved(("I", "S", "=", "X"))).alias("q"), (s["r"] + moved(("D", "N", "=", "X"))).alias("r"), F.when(op.isin("H", "P", "N"), s["before"]).otherwise(op).alias("before"))
