@@ -5,12 +5,6 @@ from pyspark.sql import functions as F
 
 from alnspark.functions import cigar as C
 from alnspark.operators import coordinates, mapq, project, support
-from tests.oracle import session
-
-
-@pytest.fixture(scope="module")
-def spark():
-    return session()
 
 
 G1, G2 = ("GAT-ACA", "GATTACA"), ("TTTTTACGACG---TTTACGTTTTT", "TTTTTACGACGACG---ACGTTTTT")
