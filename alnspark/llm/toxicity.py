@@ -57,12 +57,12 @@ def noisy_or(p: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
 
 
 class ToxicityModel:
-    def __init__(self, bits: int = 20, least_share: float = 0.003, steps: int = 80, rate: float = 0.2, penalty: float = 3e-5):
-        self.bits, self.least_share, self.steps, self.rate, self.penalty = bits, least_share, steps, rate, penalty
+    def __init__(self, bits: int = 20, least_ratio: float = 7.88, steps: int = 120, rate: float = 0.2, penalty: float = 1e-5):
+        self.bits, self.least_ratio, self.steps, self.rate, self.penalty = bits, least_ratio, steps, rate, penalty
         self.weight, self.bias = np.zeros(1 << bits, np.float32), -6.0
 
     def fit(self, rows: list[tuple[str, int]]) -> ToxicityModel:
-        """Full-batch Adam on the noisy-or likelihood.  A word in fewer than ``least_share`` of the documents, or three, has weight 0."""
+        """Full-batch Adam on the noisy-or likelihood.  A word that telling() leaves out has weight 0."""
         y = np.array([r[1] for r in rows], np.int64)
         if not len(y) or y.min() == y.max():
             self.bias = -6.0 if not len(y) or not y.max() else 0.0
@@ -76,8 +76,7 @@ class ToxicityModel:
             base, docs = base + len(text_of), docs + len(rows[k : k + 500])
         at, of, texts = map(np.concatenate, (at, of, texts))
         pair = np.unique(texts[of].astype(np.int64) << self.bits | at)
-        common = np.bincount(pair & ((1 << self.bits) - 1), minlength=1 << self.bits) >= max(3, self.least_share * docs)
-        keep = common[at]
+        keep = self.telling(pair >> self.bits, pair & ((1 << self.bits) - 1), y)[at]
         used, at = np.unique(at[keep], return_inverse=True)
         of = of[keep]
         pair = np.unique(of.astype(np.int64) * len(used) + at)  # a word counts once a sentence
@@ -97,6 +96,15 @@ class ToxicityModel:
         self.weight[used], self.bias = theta[:-1], float(theta[-1])
         return self
 
+    def telling(self, text: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Buckets seen more often in labelled documents than chance allows: by the likelihood ratio of their document counts."""
+        with_it = np.bincount(bucket, minlength=1 << self.bits).astype(float)
+        toxic = np.bincount(bucket, weights=y[text], minlength=1 << self.bits)
+        share = y.mean()
+        part = lambda n, expected: np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+        ratio = 2 * (part(toxic, with_it * share) + part(with_it - toxic, with_it * (1 - share)))
+        return (ratio >= self.least_ratio) & (toxic > with_it * share)
+
     def sentences(self, texts: list[str]):
         """Probability, text, start and stop of every sentence."""
         bucket, sentence, text_of, start, stop = words(texts, self.bits)
