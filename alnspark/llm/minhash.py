@@ -8,8 +8,8 @@ bounds as strong as those of independent samples.  Groups of coordinates (bands)
 linked pair shares none with a probability of at most ``miss``.  Links are confirmed on the full sets.
 
 Equal sets are one node.  A bucket never expands into its pairs: its members meet one leader first, then only members
-outside the bucket's largest component become leaders, for members of other components.  A pair of
-different components that shares a bucket is always compared, so the components are those of all candidates.
+outside the bucket's largest component become leaders, for members of other components that they can be linked with by a bound on sizes and shared elements.  A pair of different
+components that shares a bucket is compared unless that bound rules it out, so the components are those of all candidates.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ from .common import materialise, small_arrow_batches, spans
 from .components import components
 from .hashing import finish, prefix_hash, substring
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: A sketch has at most so many bins.
 MAX_BINS = 360
+#: Shared elements are counted in so many classes to bound what two sets can have in common.
+CLASSES = 32
 
 
 def banding(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
@@ -136,12 +138,52 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return met.mapInArrow(run, "a long, b long")
 
 
+def common_sizes(texts: DataFrame, k: int) -> DataFrame:
+    """(node, n, c, h0, h1, ...) of (id, text) rows: the size of the shingle set, how many of it any other row has too, and these by CLASSES of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            for a, b in spans(raw, len, BATCH_BYTES):
+                sets = shingle_sets(raw[a:b], k)
+                ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            for a, b in spans(raw, len, BATCH_BYTES):
+                table = np.array([np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) for s in shingle_sets(raw[a:b], k)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(table[:, c]) for c in range(CLASSES))], ["node", *(f"t{c}" for c in range(CLASSES))])
+
+    texts = texts.select("id", "text")
+    each = texts.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("node"))
+    kind = F.pmod(F.col("shingle"), F.lit(CLASSES))  # of the signed hash: CLASSES is a power of two
+    alone = each.where("rows = 1").groupBy("node").agg(*[F.sum((kind == c).cast("int")).alias(f"a{c}") for c in range(CLASSES)])
+    every = texts.mapInArrow(count, "node long, " + ", ".join(f"t{c} long" for c in range(CLASSES))).join(alone, "node", "left")
+    shared = [F.col(f"t{c}") - F.coalesce(f"a{c}", F.lit(0)) for c in range(CLASSES)]
+    total = lambda cols: sum(cols[1:], cols[0])
+    return every.select("node", total([F.col(f"t{c}") for c in range(CLASSES)]).alias("n"), total(shared).alias("c"), *(x.alias(f"h{c}") for c, x in enumerate(shared)))
+
+
+def size_class(n):
+    """Sizes by steps of about two per cent."""
+    return F.floor(F.log2(n.cast("double")) * 32).cast("int")
+
+
 def near_components(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes that share a bucket with another one.  ``nodes``: (node, keys)."""
+    """(node, component) of the nodes that share a bucket with another one.  ``nodes``: (node, n, keys).
+
+    After the first leaders, buckets with several components remain.  There a pair must still be compared unless it can't be linked:
+    two sets differ at least in the elements that no other open node has, and in each class of hashes by the difference of the
+    counts of the others.  If that is over (100 - percent) / (100 + percent) of n + n', they can't be linked.  Sizes that can
+    meet are met by size class.
+    """
     placed = nodes.select("node", F.explode("keys").alias("key"))
     leaders = placed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").select("key", "leader")
     members = materialise(placed.join(leaders, "key"), "buckets")
-    texts = materialise(texts.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "bucket-texts")
+    sizes = nodes.select(F.col("node").alias("id"), "n")
+    texts = materialise(texts.join(sizes.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "id"), "bucket-texts")
     label = members.select("node").distinct().withColumn("component", F.col("node"))
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     led = members.select("key", F.col("leader").alias("node")).distinct()
@@ -156,16 +198,30 @@ def near_components(nodes: DataFrame, texts: DataFrame, k: int, percent: int) ->
         label = label.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
         label = materialise(label, "labels")
         turn += 1
-        now = materialise(members.select("key", "node").join(label, "node"), "members")
+        now = members.select("key", "node").join(label, "node")
         parts = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        parts = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        outside = now.join(parts, "key").where("component <> main").select("key", "node", "component").join(led, ["key", "node"], "left_anti")
-        some = outside.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= 4**turn)
-        some = materialise(some.select("key", F.col("node").alias("leader"), F.col("component").alias("own")), "leaders")
+        parts = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+        now = materialise(now.join(parts, "key"), "members")
+        if turn == 1:
+            open_ = texts.join(now.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+            counted = materialise(common_sizes(open_, k), "common")
+            members = now.select("key", "node")
+        now = materialise(now.join(counted, "node"), "members")
+        low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("c") * (100 + percent) / percent) - F.col("n")
+        outside = now.where("component <> main").join(led, ["key", "node"], "left_anti").withColumn("low", low).withColumn("high", F.least(high, F.floor(F.col("n") * 100 / percent))).where("low <= high")
+        some = outside.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= 16**turn)
+        some = materialise(some.select("key", F.col("node").alias("leader"), F.col("component").alias("own"), F.col("n").alias("own_n"), F.col("c").alias("own_c"), "low", "high", *(F.col(f"h{c}").alias(f"own_h{c}") for c in range(CLASSES))), "leaders")
         if not some.limit(1).count():
             return label
         led = materialise(led.unionByName(some.select("key", F.col("leader").alias("node"))), "led")
-        pairs = some.join(now, "key").where("component <> own").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        some = some.withColumn("size", F.explode(F.sequence(size_class(F.greatest("low", F.lit(1))), size_class(F.col("high")))))
+        apart = F.col("n") - F.col("c") + F.col("own_n") - F.col("own_c")
+        for c in range(CLASSES):
+            apart = apart + F.abs(F.col(f"h{c}") - F.col(f"own_h{c}"))
+        can = F.col("n").between(F.col("low"), F.col("high")) & (F.col("component") != F.col("own")) & (apart * (100 + percent) <= (F.col("n") + F.col("own_n")) * (100 - percent))
+        now = now.withColumn("size", size_class(F.col("n")))
+        met = some.alias("s").join(now.alias("m"), (F.col("s.key") == F.col("m.key")) & (F.col("s.size") == F.col("m.size")) & can)
+        pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,8 +237,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     rows_ = materialise(sketched(texts, k, bands, rows), "sketches")
     real = rows_.where("n > 0 AND id IS NOT NULL")
-    nodes = materialise(real.groupBy("digest").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "nodes")
-    label = near_components(nodes.select("node", "keys"), texts, k, percent)
+    nodes = materialise(real.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    label = near_components(nodes.select("node", "n", "keys"), texts, k, percent)
     of = nodes.select("digest", "node").join(label.dropDuplicates(["node"]), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     of = of.withColumn("has", F.lit(True))
     out = rows_.select("id", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(of, "digest", "left")
