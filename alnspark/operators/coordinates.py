@@ -40,10 +40,10 @@ def sequence_lengths(blocks: DataFrame) -> DataFrame:
 def merge_index(old: DataFrame, new: DataFrame) -> DataFrame:
     """Blocks of both; a sequence that both hold is an error."""
     both = old.select("chr", "seq_id").distinct().join(new.select("chr", "seq_id").distinct(), ["chr", "seq_id"])
-    twice = both.agg(F.first(F.concat_ws("/", "chr", "seq_id")).alias("name"))
-    merged = old.unionByName(new).crossJoin(F.broadcast(twice))  # a single row
-    ok = F.when(F.col("name").isNull(), F.col("chr")).otherwise(F.raise_error(F.concat(F.lit("sequence in both indices: "), F.col("name"))))
-    return merged.select(ok.alias("chr"), "seq_id", "aln_start", "seq_start", "len").orderBy("chr", "seq_id", "aln_start")
+    fails = F.raise_error(F.concat(F.lit("sequence in both indices: "), F.concat_ws("/", "chr", "seq_id"))).cast("string")
+    none = F.lit(None).cast("long")
+    twice = both.select(fails.alias("chr"), "seq_id", none.alias("aln_start"), none.alias("seq_start"), none.alias("len"))
+    return old.unionByName(new).unionByName(twice).orderBy("chr", "seq_id", "aln_start")
 
 
 def segments(blocks: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def in_classes(df: DataFrame, names: Sequence[str], prefix: bool = False, same_r
     return df.where(rname_class(F.col("rnext"), names, prefix) == F.col("ref_class")) if same_ref else df
 
 
+def mate_on(df: DataFrame, contig: str | None = None, prefix: str | None = None) -> DataFrame:
+    """Alignments whose mate is on the wanted references too."""
+    return df.where(F.col("rnext") == contig if prefix is None else F.col("rnext").startswith(prefix))
+
+
 def with_zygosity(variants: DataFrame, z: int) -> DataFrame:
     """Variants with ``z`` alleles other than the reference (a missing allele is one); a negative number keeps all."""
     return variants if z < 0 else variants.where(F.size(F.filter("gt", lambda a: a.isNull() | (a != 0))) == z)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import text as T
-from ..operators import coordinates, filters, headers, mapq, overlap, project, stats, subset, support
+from ..operators import coordinates, filters, headers, mapq, order, overlap, project, stats, subset, support
 from .workload import alignments, cte, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def on_contig_prefix(spark, d):
 _CLASS = "CASE WHEN starts_with({0}, 'chr1') THEN 1 WHEN starts_with({0}, 'chr') AND NOT starts_with({0}, 'chr4') THEN 0 WHEN starts_with({0}, 'chr4') THEN 2 END"
 
 
+@query(ALN + "SELECT rec_idx FROM alignments WHERE starts_with(rname, 'chr3') AND starts_with(rnext, 'chr3')")
+def mate_on_contig(spark, d):
+    return filters.mate_on(filters.on_contig(view(spark, d, "alignments"), prefix="chr3"), prefix="chr3").select("rec_idx")
+
+
 @query(ALN + f"SELECT rec_idx, CAST({_CLASS.format('rname')} AS INT) AS ref_class FROM alignments WHERE (flag & 3844) = 0 AND {_CLASS.format('rname')} = {_CLASS.format('rnext')}")
 def same_reference_class(spark, d):
     df = filters.countable(view(spark, d, "alignments"), primary_only=True)
@@ -283,6 +288,37 @@ def target_counts(spark, d):
     return subset.target_counts(subset.split_by_reference(view(spark, d, "alignments"), wanted, prefix=True), wanted)
 
 
+# --------------------------------------------------------------------------- order and sets
+
+
+@query(ALN + "SELECT CAST(row_number() OVER (ORDER BY rname, pos, rec_idx) AS INT) AS place, rec_idx FROM alignments WHERE rname = 'chr1/s2'")
+def coordinate_sort(spark, d):
+    one = filters.on_contig(view(spark, d, "alignments"), "chr1/s2")
+    return order.coordinate_sort(one).select(F.row_number().over(order.within_reference()).alias("place"), "rec_idx")
+
+
+@query(ALN + "SELECT rec_idx, CAST(sum(starts) OVER (ORDER BY rec_idx) AS BIGINT) AS run FROM (SELECT rec_idx, CASE WHEN lag(qname) OVER (ORDER BY rec_idx) = qname THEN 0 ELSE 1 END AS starts FROM alignments)")
+def consecutive_reads(spark, d):
+    return order.consecutive_runs(view(spark, d, "alignments")).select("rec_idx", "run")
+
+
+@query(ALN + "SELECT rname, rec_idx FROM (SELECT rname, rec_idx, pos, lag(pos) OVER (PARTITION BY rname ORDER BY rec_idx) AS before FROM alignments) WHERE pos < before")
+def unsorted_records(spark, d):
+    return order.unsorted(view(spark, d, "alignments")).select("rname", "rec_idx")
+
+
+@query(ALN + "SELECT rname, CAST(pos AS BIGINT) AS location, CAST(seq_length AS BIGINT) AS length FROM alignments UNION SELECT rname, pos + 1, seq_length FROM alignments")
+def range_union(spark, d):
+    one = view(spark, d, "alignments").select("rname", F.col("pos").cast("long").alias("location"), F.col("seq_length").alias("length"))
+    return order.distinct_union(one, one.withColumn("location", F.col("location") + 1))
+
+
+@query(ALN + "SELECT rec_idx, 0 AS part FROM alignments WHERE rec_idx % 2 = 0 UNION ALL SELECT rec_idx, 1 FROM alignments WHERE rec_idx % 3 = 0")
+def concatenation(spark, d):
+    df = view(spark, d, "alignments")
+    return order.concatenate(df.where("rec_idx % 2 = 0"), df.where("rec_idx % 3 = 0")).select("rec_idx", "part")
+
+
 # --------------------------------------------------------------------------- headers
 
 
