@@ -8,6 +8,7 @@ with the one chunk its start falls in, and neither index nor reference is held a
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -261,6 +262,25 @@ def project_alignments(df: DataFrame, blocks: DataFrame, reference: DataFrame, t
     )
 
 
+#: Default names of the tags that keep where an alignment came from.
+PROVENANCE = {"o_rname": "XR", "o_pos": "XP", "o_rnext": "YR", "o_pnext": "YP", "xb": "XB", "yb": "YB", "rec_idx": "XI"}
+
+
+def provenance_tags(projected: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """Sets ``tags`` from the columns of project_alignments(): original and mate places (0-based), ranges aligned anew as [start, end) numbers, and
+    the record's index; a column whose name is empty is left out."""
+    from ..functions.text import with_tags
+
+    names = PROVENANCE | (names or {})
+    for n in names.values():
+        if n and not re.fullmatch("[XYZ][A-Za-z0-9]", n):
+            raise ValueError(f"{n} is not a tag name for local use")
+    text = {c: F.concat(F.lit("Z:"), c) for c in ("o_rname", "o_rnext")} | {c: F.concat(F.lit("i:"), F.col(c).cast("string")) for c in ("o_pos", "o_pnext", "rec_idx")}
+    text |= {c: F.when(F.size(c) > 0, F.concat(F.lit("B:I,"), F.array_join(c, ","))) for c in ("xb", "yb")}
+    tags = F.col("tags") if "tags" in projected.columns else F.lit(None).cast("map<string,string>")
+    return projected.withColumn("tags", with_tags(tags, **{n: text[c] for c, n in names.items() if n}))
+
+
 def realigned_ranges(projected: DataFrame) -> DataFrame:
     """Distinct (rname, location, length) on the target, in order."""
     pair = F.explode(F.sequence(F.lit(0), F.size("yb") - 1, F.lit(2)))

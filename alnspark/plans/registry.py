@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import cigar as C
 from ..functions import text as T
 from ..operators import coordinates, filters, headers, mapq, order, overlap, project, stats, subset, support
-from .workload import alignments, cte, view
+from ..streaming import alignments as streaming
+from .workload import alignments, cte, view, view_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -433,6 +434,12 @@ def projected_places(spark, d):
     return _projected(spark, d).select("rec_idx", "pos", "oa")
 
 
+@query(ALN + "SELECT rec_idx, rname AS xr, CAST(pos AS STRING) AS xp, rnext AS yr, CAST(pnext AS STRING) AS yp, CAST(rec_idx AS STRING) AS xi FROM alignments WHERE (flag & 1540) = 0")
+def provenance_tags(spark, d):
+    tagged = project.provenance_tags(_projected(spark, d))
+    return tagged.select("rec_idx", *(T.tag(F.col("tags"), n.upper()).alias(n) for n in ("xr", "xp", "yr", "yp", "xi")))
+
+
 @query()
 def realigned_ranges(spark, d):
     return project.realigned_ranges(_projected(spark, d))
@@ -527,6 +534,16 @@ def overall_bias(spark, d):
     return support.overall_bias(_bias(spark, d))
 
 
+@query(
+    cte("alignments", "items", "variants")
+    + _READS
+    + """, why AS (SELECT CASE WHEN chrom <> 'chr1' THEN 'chromosome mismatches' WHEN zygosity <> 1 THEN 'zygosity mismatches' WHEN EXISTS (SELECT 1 FROM reads r WHERE r.chrom = v.chrom AND r.pos <= v.pos AND v.pos < r.e AND v.pos + v.ref_len < r.e) THEN 'counted' ELSE 'zero coverage' END AS metric FROM variants v)
+    SELECT metric, count(*) AS n FROM why GROUP BY metric UNION ALL SELECT 'total variants', count(*) FROM variants UNION ALL SELECT 'reads processed', count(*) FROM alignments UNION ALL SELECT 'flags not matched', count(*) FROM alignments WHERE (flag & 3588) <> 0"""
+)
+def support_metrics(spark, d):
+    return support.support_metrics(view(spark, d, "variants"), alignments(spark, d), "chr1", 1, contig_prefix=True)
+
+
 @query(cte("variants") + "SELECT var_id, pos, CASE WHEN var_id % 5 <> 0 THEN ref END AS left_alleles, CASE WHEN var_id % 7 <> 0 THEN CASE WHEN var_id % 11 = 0 THEN 'X' ELSE ref END END AS right_alleles FROM variants WHERE ((var_id % 5 = 0) <> (var_id % 7 = 0)) OR (var_id % 11 = 0 AND var_id % 5 <> 0 AND var_id % 7 <> 0)")
 def support_diff(spark, d):
     v = view(spark, d, "variants")
@@ -545,5 +562,27 @@ def interval_join(spark, d):
     return overlap.containing(view(spark, d, "variants"), "pos", view(spark, d, "regions"), "lb", "rb", [("chrom", "chr")], width=256).select("var_id", "lb", "rb")
 
 
+# --------------------------------------------------------------------------- streams
+
+
+def _streamed(spark, d, table: str, make, name: str) -> DataFrame:
+    """Drains the table as a stream through ``make`` and gives the final state."""
+    file = f"{table}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/{file}").schema).option("pathGlobFilter", file).parquet(d)
+    q = make(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query(ORACLES["mapq_histogram"])
+def stream_mapq_histogram(spark, d):
+    return _streamed(spark, d, "events", lambda s: streaming.running_histogram(view_of(spark, s, "alignments")), "stream_mapq_histogram")
+
+
+@query(ALN + "SELECT rname, count(*) AS n FROM alignments GROUP BY rname")
+def stream_contig_counts(spark, d):
+    return _streamed(spark, d, "events", lambda s: streaming.running_contig_counts(view_of(spark, s, "alignments")), "stream_contig_counts")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapq_histogram(spark, sf_dir)

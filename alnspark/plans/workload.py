@@ -91,10 +91,14 @@ def cte(*names: str) -> str:
 _TABLE = {"alignments": "events", "refs": "nation", "variants": "part", "regions": "supplier", "aligned": "nation"}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table = _TABLE[name]
+def view_of(spark: SparkSession, source: DataFrame, name: str) -> DataFrame:
+    """The view over a given table, which may be a stream."""
     sql = aligned_sql(False) if name == "aligned" else VIEWS[name]
-    return spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.sql(sql.replace(f"FROM {_TABLE[name]}", "FROM {source}"), source=source)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return view_of(spark, spark.read.parquet(f"{sf_dir}/{_TABLE[name]}.parquet"), name)
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
