@@ -84,6 +84,6 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns that exact_dedup() keeps."""
-    kept = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    kept = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
     sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("k_id")) & (sha == F.col("k_sha")), "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")) & (sha == F.col("__kept_sha")), "left_semi")

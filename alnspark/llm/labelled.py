@@ -15,7 +15,7 @@ from .common import held_out, small_arrow_batches, spans
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 #: Characters scored at once.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", holding_out: bool = True) -> list[tuple[str, int]]:

@@ -248,5 +248,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns that stand for their group of near duplicates."""
-    kept = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("k_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("k_id")), "left_semi")
+    kept = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("__kept_id"))
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")

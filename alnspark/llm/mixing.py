@@ -123,6 +123,6 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as mix() takes it, to the nearest whole time."""
     dealt = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    times = dealt.groupBy(F.col(id_col).alias("m_id")).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))).cast("int").alias("m_times")).where("m_times > 0")
-    met = docs.join(times, docs[id_col].eqNullSafe(F.col("m_id")))
-    return met.withColumn("m_time", F.explode(F.sequence(F.lit(1), F.col("m_times")))).drop("m_id", "m_times", "m_time")
+    times = dealt.groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))).cast("int").alias("__mix_times")).where("__mix_times > 0")
+    met = docs.join(times, docs[id_col].eqNullSafe(F.col("__mix_id")))
+    return met.withColumn("__mix_time", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).drop("__mix_id", "__mix_times", "__mix_time")

@@ -19,6 +19,10 @@ from .hashing import code_points, finish, prefix_hash, substring, sums
 from .transducer import SP, W, char_classes
 
 GRAMS = (3, 4)
+#: Labelled documents that the model is fitted on at most.
+SAMPLE_ROWS = 2000
+#: Few documents are gone through so often that there are so many steps.
+LEAST_STEPS = 10_000
 
 
 def features(texts: list[str], bits: int):
@@ -64,10 +68,11 @@ class QualityModel:
         for text, _ in rows:
             every = np.concatenate([b for b, _ in features([text], self.bits)])
             bucket, n = np.unique(every, return_counts=True)
-            bags.append((bucket, (n / max(1, len(every))).astype(np.float32)))
-        steps = self.epochs * len(rows)
+            bags.append((bucket.astype(np.int32), (n / max(1, len(every))).astype(np.float32)))
+        epochs = max(self.epochs, -(-LEAST_STEPS // len(rows)))
+        steps = epochs * len(rows)
         step = 0
-        for _ in range(self.epochs):
+        for _ in range(epochs):
             for k in rng.permutation(len(rows)):
                 rate = self.rate * (1 - step / steps)
                 step += 1
@@ -99,7 +104,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     features and gets the score of the bias alone.  Ids may be null or repeated, each row is scored by its own text; without labels
     of both classes all rows get the same score.
     """
-    rows = labelled.sample(docs, labels, label_col, id_col=id_col, text_col=text_col)
+    rows = labelled.sample(docs, labels, label_col, SAMPLE_ROWS, id_col=id_col, text_col=text_col)
     model = QualityModel(**fit).fit(rows)
 
     def run(model: QualityModel, texts: list[str]) -> list[pa.Array]:
@@ -112,7 +117,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fit) -> DataFrame:
     """The rows of ``docs`` with all their columns that classify_quality() predicts as 1, in one pass without a join."""
     small_arrow_batches(docs.sparkSession)
-    model = QualityModel(**fit).fit(labelled.sample(docs, labels, label_col, id_col=id_col, text_col=text_col))
+    model = QualityModel(**fit).fit(labelled.sample(docs, labels, label_col, SAMPLE_ROWS, id_col=id_col, text_col=text_col))
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

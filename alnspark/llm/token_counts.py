@@ -14,7 +14,7 @@ from .common import small_arrow_batches, spans
 from .transducer import END, MergeTransducer, char_classes, pretoken_starts
 
 #: Characters worked on at once; a longer text is cut where a pre-token surely begins.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -20,13 +20,14 @@ Two machines are used.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections import deque
 from functools import lru_cache
 
 import numpy as np
 
 #: When a worker holds more states than this, it drops them before the next batch and begins anew.
-MAX_STATES = 600_000
+MAX_STATES = 300_000
 CHUNK = 256
 
 # --------------------------------------------------------------------------- boundaries
@@ -208,22 +209,23 @@ class MergeTransducer:
 
     def reset(self) -> None:
         """Forget all states but the start.  A state: trie node, bytes read of a split symbol and bytes to come, then (distance, last piece, pieces less those of now) for each open start."""
-        self.info: list[tuple] = []
-        self.ids: dict[tuple, int] = {}
+        self.info: list[bytes] = []  # packed: there are many
+        self.ids: dict[bytes, int] = {}
         self._intern((0, 0, 0, 0, _NONE, 0))
         self.count = 0
         self._table(1 << 16)
 
     def _intern(self, state: tuple) -> int:
-        i = self.ids.get(state)
+        packed = array("i", state).tobytes()
+        i = self.ids.get(packed)
         if i is None:
-            i = self.ids[state] = len(self.info)
-            self.info.append(state)
+            i = self.ids[packed] = len(self.info)
+            self.info.append(packed)
         return i
 
     def _step(self, state: int, c: int) -> tuple[int, int, int]:
         """Next state, change of the number of pieces, last piece (_NONE within a symbol)."""
-        s = self.info[state]
+        s = array("i", self.info[state])
         node, read, todo = s[:3]
         window = {s[k]: (s[k + 1], s[k + 2]) for k in range(3, len(s), 3)}
         child, suffix, depth = self.child, self.suffix, self.depth
