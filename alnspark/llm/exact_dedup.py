@@ -33,7 +33,11 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def add(self, groups: DataFrame) -> DataFrame:
-        """Append the groups whose digest is new, and return them."""
+        """Append the groups whose digest is new, and return them.
+
+        The groups are written first: else the optimizer moves the anti-join below their aggregation, and all rows of a hot digest meet in a task.
+        """
+        groups = materialise(groups, "groups")
         new = materialise(groups.join(self.table().hint("merge"), "digest", "left_anti"), "new-digests")
         new.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
         return new
