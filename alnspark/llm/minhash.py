@@ -33,6 +33,8 @@ BATCH_BYTES = 1 << 19
 MAX_BINS = 360
 #: Shared elements are counted in so many classes to bound what two sets can have in common.
 CLASSES = 32
+#: Parts of a bucket that choose leaders apart from each other.
+SALTS = 64
 
 
 def banding(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
@@ -209,7 +211,9 @@ def near_components(nodes: DataFrame, texts: DataFrame, k: int, percent: int) ->
         now = materialise(now.join(counted, "node"), "members")
         low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("c") * (100 + percent) / percent) - F.col("n")
         outside = now.where("component <> main").join(led, ["key", "node"], "left_anti").withColumn("low", low).withColumn("high", F.least(high, F.floor(F.col("n") * 100 / percent))).where("low <= high")
-        some = outside.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= 16**turn)
+        # a share of the leaders from each of SALTS parts, so that a large bucket is not one task
+        salted = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(SALTS))).orderBy("node")
+        some = outside.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= max(1, 16**turn // SALTS))
         some = materialise(some.select("key", F.col("node").alias("leader"), F.col("component").alias("own"), F.col("n").alias("own_n"), F.col("c").alias("own_c"), "low", "high", *(F.col(f"h{c}").alias(f"own_h{c}") for c in range(CLASSES))), "leaders")
         if not some.limit(1).count():
             return label
