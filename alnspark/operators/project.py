@@ -23,6 +23,8 @@ from .filters import REVERSE, projectable
 from .overlap import BIN
 
 STEP = 1024
+#: Decoded chunks that a task holds at once.
+CHUNKS_HELD = 1024
 Ops = list[tuple[int, str]]
 
 
@@ -202,20 +204,29 @@ def project_cigars(df: DataFrame, blocks: DataFrame, reference: DataFrame, targe
         margin = int(df.agg(F.max(C.reference_length(F.col("cigar")))).first()[0] or 0)
     parts = chunks(blocks, reference, target, margin + 1, step)
     reads = df.select("rec_idx", F.col("chr").alias("r_chr"), F.col("seq_id").alias("r_seq"), F.col("pos").cast("long").alias("pos"), "cigar", "seq", "qual")
-    met = reads.join(parts, (F.col("r_chr") == F.col("c_chr")) & (F.col("r_seq") == F.col("c_seq")) & (F.floor(F.col("pos") / step) == F.col("c_bin")))
-    met = met.select("rec_idx", "pos", "cigar", "seq", "qual", "src", "dst", "before", "bases", "base_start")
+    # by merge: else a few reads may be broadcast to chunks that lie in one partition, and all Python work is one task
+    met = reads.join(parts.hint("merge"), (F.col("r_chr") == F.col("c_chr")) & (F.col("r_seq") == F.col("c_seq")) & (F.floor(F.col("pos") / step) == F.col("c_bin")))
+    met = met.select("rec_idx", "pos", "cigar", "seq", "qual", F.struct("c_chr", "c_seq", "c_bin").alias("chunk"), "src", "dst", "before", "bases", "base_start")
     fields = f"rec_idx long, dst_pos long, dst_cigar array<struct<n:int,op:string>>, ref_ranges {RANGES}, query_ranges {RANGES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}  # many alignments meet a chunk: it is decoded once
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                triple = lambda blocks: Lookup([tuple(b.values()) for b in blocks])
-                first, ops = rewrite([(x["n"], x["op"]) for x in row["cigar"]], row["seq"], row["pos"], triple(row["src"]), triple(row["dst"]), row["before"], row["bases"], row["base_start"])
+            held = [batch.column(name) for name in ("src", "dst", "before", "bases", "base_start")]
+            for k, row in enumerate(batch.select(["rec_idx", "pos", "cigar", "seq", "qual", "chunk"]).to_pylist()):
+                key = tuple(row["chunk"].values())
+                if key not in known:
+                    if len(known) >= CHUNKS_HELD:
+                        known.clear()
+                    src, dst, *rest = (c[k].as_py() for c in held)
+                    known[key] = *(Lookup([tuple(b.values()) for b in x]) for x in (src, dst)), *rest
+                src, dst, before, bases, base_start = known[key]
+                first, ops = rewrite([(x["n"], x["op"]) for x in row["cigar"]], row["seq"], row["pos"], src, dst, before, bases, base_start)
                 quality = [ord(c) - 33 for c in row["qual"]] if use_qualities and row["qual"] and row["qual"] != "*" else None
                 on_ref, on_query = [], []
                 if anew:
-                    ops, on_ref, on_query = realign(first, ops, row["seq"], quality, row["bases"], row["base_start"], gap_open, gap_extend)
+                    ops, on_ref, on_query = realign(first, ops, row["seq"], quality, bases, base_start, gap_open, gap_extend)
                 span = lambda ranges: [{"location": a, "length": n} for a, n in ranges]
                 out.append({"rec_idx": row["rec_idx"], "dst_pos": first, "dst_cigar": [{"n": n, "op": op} for n, op in ops], "ref_ranges": span(on_ref), "query_ranges": span(on_query)})
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
