@@ -78,15 +78,18 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row for each row of ``docs``: id, source, size, source_size, target, taken (words the mix takes of it, repeats counted).
 
+    The columns in ``keep`` come along.
+
     Sources in the order of code points, null as a source of its own and last, have the ``weights`` in turn.  A
     null or blank text has size 0 and takes 0; a source without words has target 0.  Equal rows count each.
     A source's taken words differ from its target by less than a block for each time its quota was rounded, no
     row takes more than ``max_epochs`` times its size (rounded up to whole passes), and the result depends only on the rows and ``seed``.
     """
-    sized = materialise(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size")), "sizes")
+    sized = materialise(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), *(docs[c] for c in keep)), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sources, weights, share, max_epochs)
     whole = Window.partitionBy(F.lit(0))
@@ -98,12 +101,12 @@ def mix(
     few = goal.count() <= 100_000
     dealt = sized.alias("d").join(F.broadcast(goal.alias("g")) if few else goal.alias("g"), on_source)
     shard = F.pmod(F.xxhash64(F.lit(seed), F.col("d.id")), F.col("shards")).cast("int")
-    dealt = dealt.select("d.id", "d.source", "d.size", "g.source_size", "g.target", "g.source_blocks", shard.alias("shard"))
+    dealt = dealt.select("d.id", "d.source", "d.size", "g.source_size", "g.target", "g.source_blocks", shard.alias("shard"), *(f"d.{c}" for c in keep))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
     quota = apportion(shards, ["source"], [F.col("shard")], "shard_size", "source_blocks").select("source", "shard", "quota")
     in_shard = Window.partitionBy("source", "shard")
     dealt = dealt.withColumn("shard_size", F.sum("size").over(in_shard))
-    seeded = in_shard.orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id", "size")
+    seeded = in_shard.orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id", "size", *keep)
     dealt = dealt.withColumn("stop", F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, 0)))
     dealt = dealt.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard"))).select("d.*", "q.quota")
     words = F.least(F.col("quota") * block, (F.col("shard_size") * max_epochs).cast("long"))
@@ -117,12 +120,43 @@ def mix(
 
     end = F.col("from") + F.col("rest")
     run = overlap(F.col("from"), F.least(end, F.col("shard_size"))) + overlap(F.lit(0), end - F.col("shard_size"))
-    return dealt.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + run).cast("long").alias("taken"))
+    return dealt.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + run).cast("long").alias("taken"), *keep)
+
 
+def whole_times(taken: DataFrame, key: list[str], seed: int = 7) -> DataFrame:
+    """``key`` and source with ``times``, the whole copies for the words ``taken`` of rows of ``size``, none of 0.
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as mix() takes it, to the nearest whole time."""
-    dealt = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    times = dealt.groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))).cast("int").alias("__mix_times")).where("__mix_times > 0")
-    met = docs.join(times, docs[id_col].eqNullSafe(F.col("__mix_id")))
-    return met.withColumn("__mix_time", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).drop("__mix_id", "__mix_times", "__mix_time")
+    Rows equal in key and source count together.  What exceeds whole passes is carried along the rows of a source in the order of
+    their size, from a seeded start: a row gets one more copy with a chance of its remainder, and a source's words differ from the
+    words taken by less than its largest row.  A run ends within at most two rows of a shard, so few rows of a source have a remainder.
+    """
+    rows = taken.groupBy(*key, "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).where("taken > 0")
+    rows = rows.withColumn("times", F.floor(F.col("taken") / F.col("size"))).withColumn("rest", F.col("taken") - F.col("times") * F.col("size"))
+    part = F.floor(F.col("rest") / F.col("size") * float(1 << 32))  # whole numbers, so that sums are exact
+    order = Window.partitionBy("source").orderBy("size", F.xxhash64(F.lit(seed + 3), *key), *key)
+    stop = F.sum("part").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.pmod(F.xxhash64(F.lit(seed + 4), F.col("source")), F.lit(1 << 32))
+    open_ = rows.where("rest > 0").withColumn("part", part).withColumn("stop", stop)
+    more = F.shiftright("stop", 32) - F.shiftright(F.col("stop") - F.col("part"), 32)
+    open_ = open_.withColumn("times", F.col("times") + more)
+    names = [*key, "source", "times"]
+    return rows.where("rest = 0").select(*names).unionByName(open_.select(*names)).where("times > 0")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", nearest: bool = True, **how) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as mix() takes it, in whole copies.
+
+    ``nearest`` rounds each id by itself, which takes too few words where runs are shorter than documents; without it
+    remainders are carried by whole_times(), and every source meets its target but for one document.
+    """
+    if nearest:
+        dealt = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+        times = dealt.groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))).cast("int").alias("__mix_times")).where("__mix_times > 0")
+        met = docs.join(times, docs[id_col].eqNullSafe(F.col("__mix_id")))
+    else:
+        docs = docs.withColumn("__mix_text", F.xxhash64(text_col))  # rows may share an id
+        dealt = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep=["__mix_text"], **how)
+        dealt = materialise(dealt.select(F.col(id_col).alias("__mix_id"), F.col("__mix_text").alias("__mix_hash"), "source", "size", "taken"), "taken")
+        times = whole_times(dealt, ["__mix_id", "__mix_hash"], how.get("seed", 7)).withColumnsRenamed({"source": "__mix_source", "times": "__mix_times"})
+        same = docs[id_col].eqNullSafe(F.col("__mix_id")) & docs[source_col].eqNullSafe(F.col("__mix_source")) & (docs["__mix_text"] == F.col("__mix_hash"))
+        met = docs.join(times, same).drop("__mix_text", "__mix_hash", "__mix_source")
+    return met.withColumn("__mix_time", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).drop("__mix_id", "__mix_times", "__mix_time")

@@ -33,8 +33,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in weights of 5, 2, 1; a document comes as often as the mix takes it."""
-    return mixed(docs)
+    """Sources in weights of 5, 2, 1; a document comes as often as the mix takes it, in whole copies that keep each source's share."""
+    return mixed(docs, nearest=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

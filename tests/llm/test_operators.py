@@ -342,6 +342,27 @@ def test_mixing(spark):
     assert [x.taken for x in mixing.mix(documents(spark, [None, " "])).collect()] == [0, 0]
 
 
+def test_mixing_stage_keeps_shares(spark):
+    """A hot source of low weight, whose runs are shorter than its documents; ids are repeated, null, or shared by a blank text."""
+    import corpus_pipeline
+
+    rows = [("s02", f"h{k} " * (300, 900, 2500)[k % 3]) for k in range(225)]  # 27 % of all words, weight 1
+    rows += [(f"s{3 * j:02}", f"x{j}y{k} " * (100, 700)[k % 2]) for j in range(7) for k in range(268)]
+    rows += [(f"s{j:02}", "one two") for j in range(19) if j % 3] + [(None, "a b c"), ("s02", None), ("s02", " ")]
+    schema = "doc_id long, source string, text string"
+    df = spark.createDataFrame([(None if k % 50 == 0 else k // 2, s, t) for k, (s, t) in enumerate(rows)] + [(1, "s02", "")], schema)
+    taken = mixing.mix(df).collect()
+    out = [(x.doc_id, x.source, x.text) for x in corpus_pipeline.sources(spark, df, SMALL).collect()]
+    assert sorted(out, key=str) == sorted(((x.doc_id, x.source, x.text) for x in corpus_pipeline.sources(spark, df.repartition(7), SMALL).collect()), key=str)
+    assert all(t.strip() for _, _, t in out) and max(out.count(x) for x in set(out)) <= 2
+    for s in {x.source for x in taken}:
+        mine = [x for x in taken if x.source == s]
+        got, longest = sum(len(t.split()) for _, o, t in out if o == s), max(x["size"] for x in mine)
+        assert abs(got - sum(x.taken for x in mine)) <= longest and abs(got - mine[0].target) <= longest + 64, s
+    long = [x.taken for x in taken if x["size"] == 2500]
+    assert 0 < sum(long) < 0.3 * 2500 * len(long) and abs(sum(len(t.split()) == 2500 for *_, t in out) - sum(long) / 2500) < 2
+
+
 def test_apportionment_is_sainte_lague(spark):
     sizes = [53000, 24000, 23000, 7, 0, 11111]
     df = spark.createDataFrame([(k, s, 100) for k, s in enumerate(sizes)], "key int, size long, seats long")
