@@ -16,6 +16,21 @@ def coordinate_sort(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("rname").asc_nulls_last(), "pos", "rec_idx")
 
 
+def coordinate_places(df: DataFrame, width: int = 1 << 14) -> DataFrame:
+    """Adds ``place``: 1, 2, ... of every row in the order of coordinate_sort(), over all references, null as the last one.
+
+    Rows are numbered within ranges of positions; only the number of rows of each range meets in one place.
+    """
+    df = df.withColumn("slab", F.floor(F.col("pos") / width))
+    slabs = df.groupBy("rname", "slab").agg(F.count("*").alias("n"))
+    over = Window.partitionBy(F.lit(0)).orderBy(F.col("rname").asc_nulls_last(), "slab")  # a row a range
+    slabs = slabs.withColumn("base", F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    slabs = slabs.select(F.col("rname").alias("slab_rname"), F.col("slab").alias("slab_no"), "base")
+    out = df.join(slabs, F.col("rname").eqNullSafe(F.col("slab_rname")) & F.col("slab").eqNullSafe(F.col("slab_no")))
+    within = Window.partitionBy("rname", "slab").orderBy("pos", "rec_idx")
+    return out.withColumn("place", F.row_number().over(within) + F.col("base")).drop("slab", "slab_rname", "slab_no", "base")
+
+
 def name_sort(df: DataFrame) -> DataFrame:
     """By read name: rows of a read stand together in one partition, as a later grouping by name wants them."""
     return df.repartition("qname").sortWithinPartitions("qname", "rec_idx")

@@ -298,6 +298,11 @@ def coordinate_sort(spark, d):
     return order.coordinate_sort(one).select(F.row_number().over(order.within_reference()).alias("place"), "rec_idx")
 
 
+@query(ALN + "SELECT row_number() OVER (ORDER BY rname NULLS LAST, pos, rec_idx) AS place, rec_idx FROM alignments")
+def coordinate_places(spark, d):
+    return order.coordinate_places(view(spark, d, "alignments")).select("place", "rec_idx")
+
+
 @query(ALN + "SELECT rec_idx, CAST(sum(starts) OVER (ORDER BY rec_idx) AS BIGINT) AS run FROM (SELECT rec_idx, CASE WHEN lag(qname) OVER (ORDER BY rec_idx) = qname THEN 0 ELSE 1 END AS starts FROM alignments)")
 def consecutive_reads(spark, d):
     return order.consecutive_runs(view(spark, d, "alignments")).select("rec_idx", "run")
@@ -320,6 +325,12 @@ def concatenation(spark, d):
     return order.concatenate(df.where("rec_idx % 2 = 0"), df.where("rec_idx % 3 = 0")).select("rec_idx", "part")
 
 
+@query(ALN + "SELECT rec_idx, 0 AS part FROM alignments UNION ALL SELECT rec_idx, 1 FROM alignments")
+def concatenation_whole(spark, d):
+    df = view(spark, d, "alignments")
+    return order.concatenate(df, df).select("rec_idx", "part")
+
+
 # --------------------------------------------------------------------------- headers
 
 

@@ -44,3 +44,17 @@ def test_runs_across_ranges(spark):
     df = spark.createDataFrame(list(enumerate(names)), "rec_idx long, qname string")
     got = order.consecutive_runs(df, width=3).orderBy("rec_idx").collect()
     assert [r.run for r in got] == [1, 1, 2, 2, 2, 3, 4, 4]
+
+
+def test_places_over_all_references(spark):
+    rows = [(k, ("b", "a", None)[k % 3], (k * 7) % 10) for k in range(30)]
+    df = spark.createDataFrame(rows, "rec_idx long, rname string, pos int")
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[2], r[0]))]
+    assert [r.rec_idx for r in order.coordinate_places(df, width=3).orderBy("place").collect()] == want
+    assert sorted(r.place for r in order.coordinate_places(df).collect()) == list(range(1, 31))
+    assert [r.rec_idx for r in order.coordinate_sort(df).collect()] == want
+
+
+def test_whole_views_are_registered(spark):
+    n = spark.read.parquet(f"{SMALL}/events.parquet").count()
+    assert QUERIES["coordinate_places"](spark, SMALL).count() == n and QUERIES["concatenation_whole"](spark, SMALL).count() == 2 * n
