@@ -24,7 +24,7 @@ from .training_pages import CLOSE, OPEN, labelled_pages
 
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas".split())
+RAW = frozenset("script style noscript template textarea iframe svg audio video canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul video".split()
 )
@@ -35,8 +35,8 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
-#: Elements named so hold readers' comments, also where they are marked up as articles.
-REMARK = re.compile("comment|reply|repl|discuss|response")
+#: An element with a whole class, id or role of this form holds readers' comments, also where it is marked up as an article.
+REMARK = re.compile(r"(?:[a-z]+-)?(?:comments?|repl(?:y|ies)|responses?|discussions?)(?:-(?:body|box|content|item|list|text|thread|\d+))?")
 WEIGHTS = 1 << 14
 TEXT = "#text"
 
@@ -61,12 +61,20 @@ class Tree:
 
 def parse(page: str) -> Tree:
     """The tree of a page; what is never shown (comments, scripts, styles, embedded objects) is left out."""
-    tree, at, block = Tree(), 0, 0
+    tree, at, block, last, gap = Tree(), 0, 0, -1, False
     stack = [tree.add(-1, "#page")]
 
     def put(raw: str) -> None:
-        if raw and not raw.isspace() or raw and tree.tag[-1] == TEXT and tree.block[-1] == block:
-            tree.add(stack[-1], TEXT, text=raw, block=block)
+        """A text node; a blank run is given to its neighbours in the block, whichever of them is content."""
+        nonlocal last, gap
+        near = last >= 0 and tree.block[last] == block
+        if raw and not raw.isspace():
+            last = tree.add(stack[-1], TEXT, text=" " + raw if near and gap else raw, block=block)
+            gap = False
+        elif raw:
+            gap = True
+            if near:
+                tree.text[last] += " "
 
     def close(to: int) -> None:
         del stack[to:]
@@ -120,14 +128,21 @@ def named(feature: str) -> int:
 
 @lru_cache(maxsize=1 << 14)
 def class_features(words: str) -> tuple[int, ...]:
-    parts = {p for w in words.split() for p in (w, *re.split(r"[^a-z0-9]+", w)) if p}
-    return tuple(named("c:" + p) for p in sorted(parts))
+    """Whole names, and the parts of compound ones apart from them: a part says less."""
+    names = sorted(set(words.split()))
+    parts = sorted({p for w in names for p in re.split(r"[^a-z0-9]+", w) if p and p != w})
+    return tuple(named("c:" + w) for w in names) + tuple(named("cp:" + p) for p in parts)
 
 
 def bucket(n: int) -> int:
     return min(n.bit_length(), 12)
 
 
+def kind_of(tag: str) -> str:
+    """Elements within a line other than links and parts of forms are one kind, whatever they are called."""
+    return tag if tag in BLOCK or tag in ("a", "label", "input", "ins", TEXT, "#page") else "#line"
+
+
 class Forest:
     """Trees side by side with their features, ready for messages."""
 
@@ -146,7 +161,7 @@ class Forest:
                 p = t.parent[k]
                 if p >= 0:
                     level[k] = level[p] + 1
-                    inside[k] = inside[p] or (t.tag[k] in ("article", "main") and not REMARK.search(t.words[k]))
+                    inside[k] = inside[p] or (t.tag[k] in ("article", "main") and not any(map(REMARK.fullmatch, t.words[k].split())))
                     kept[k] = kept[p] or t.tag[k] == "a"
             for k in range(n - 1, -1, -1):  # children stand after their parents
                 if t.tag[k] == TEXT:
@@ -158,9 +173,9 @@ class Forest:
             has = any(inside)
             for k in range(n):
                 p = t.parent[k]
-                tag = t.tag[k]
-                up = t.tag[p] if p >= 0 else ""
-                names = [f"t:{tag}", f"l:{tag == TEXT}:{bucket(chars[k])}", f"d:{tag == TEXT}:{4 * links[k] // max(1, chars[k])}", f"i:{has}:{inside[k]}:{tag == TEXT}", f"p:{tag == TEXT}:{up}"]
+                tag = kind_of(t.tag[k])
+                up = kind_of(t.tag[p]) if p >= 0 else ""
+                names = [f"t:{tag}", f"tp:{tag}:{up}", f"l:{tag == TEXT}:{bucket(chars[k])}", f"d:{tag == TEXT}:{4 * links[k] // max(1, chars[k])}", f"i:{has}:{inside[k]}:{tag == TEXT}", f"p:{tag == TEXT}:{up}"]
                 if tag == TEXT:
                     names.append(f"e:{t.text[k].rstrip()[-1:] in '.!?'}:{bucket(chars[k])}")
                 found = [named(x) for x in names]
@@ -192,7 +207,9 @@ def marginals(forest: Forest, weight: np.ndarray, pair: np.ndarray) -> tuple[np.
     for nodes in forest.levels[:0:-1]:
         up[nodes] = normal(up[nodes])
         sent[nodes] = np.logaddexp(edges[nodes, :, 0] + up[nodes, :1], edges[nodes, :, 1] + up[nodes, 1:])
-        np.add.at(up, forest.parent[nodes], sent[nodes])
+        above, at = np.unique(forest.parent[nodes], return_inverse=True)
+        for y in (0, 1):
+            up[above, y] += np.bincount(at, weights=sent[nodes, y])
     joint = np.zeros((forest.n, 2, 2))
     belief = np.zeros((forest.n, 2))
     for depth, nodes in enumerate(forest.levels):
@@ -224,7 +241,7 @@ def read_labels(tree: Tree) -> np.ndarray:
 
 
 class ExtractionModel:
-    def __init__(self, steps: int = 150, rate: float = 0.1, penalty: float = 3e-4):
+    def __init__(self, steps: int = 100, rate: float = 0.12, penalty: float = 3e-4):
         self.steps, self.rate, self.penalty = steps, rate, penalty
         self.weight, self.pair = np.zeros(WEIGHTS), np.zeros((WEIGHTS, 2, 2))
 
@@ -240,8 +257,8 @@ class ExtractionModel:
         for step in range(1, self.steps + 1):
             belief, joint = marginals(forest, self.weight, self.pair)
             miss = labels - np.exp(belief[:, 1])
-            expected = np.zeros_like(seen)
-            np.add.at(expected, forest.edge[below], np.exp(joint[below]))
+            p = np.exp(joint[below])
+            expected = np.stack([np.bincount(forest.edge[below], weights=p[:, a, b], minlength=WEIGHTS) for a in (0, 1) for b in (0, 1)], axis=1).reshape(-1, 2, 2)
             slopes = (np.bincount(forest.feature, weights=miss[forest.of], minlength=WEIGHTS), seen - expected)
             for x, slope, (m, v) in zip((self.weight, self.pair), slopes, state, strict=True):
                 slope = slope / len(pages) - self.penalty * x
@@ -266,9 +283,9 @@ class ExtractionModel:
                     if t.block[k] != last:
                         blocks.append([])
                         last = t.block[k]
-                    blocks[-1].append(t.text[k])
+                    blocks[-1].append(html.unescape(t.text[k]))  # a reference ends with its run of text
             start += len(t.tag)
-            lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
+            lines = (" ".join("".join(b).split()) for b in blocks)
             out.append(" ".join(line for line in lines if line))
         return out
 

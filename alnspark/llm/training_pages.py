@@ -19,7 +19,9 @@ COMMENT_CLASSES = "comments comment comment-list responses discussion replies di
 HEADER_CLASSES = "header site-header masthead top-bar branding logo page-header".split()
 FOOTER_CLASSES = "footer site-footer copyright legal bottom colophon".split()
 SHARE_CLASSES = "share social sharing tags meta-links buttons toolbar".split()
-PLAIN_CLASSES = "wrapper container page row layout inner site outer".split()
+PLAIN_CLASSES = "wrapper container page row layout inner site outer has-sidebar no-sidebar with-menu ad-free".split()
+#: Compound names whose parts mislead: the element is an article nevertheless.
+ODD_CLASSES = "comment-worthy ad-free footer-note-style menu-less sidebar-left-layout header-large widget-free nav-below share-ready".split()
 
 
 class Layout:
@@ -79,10 +81,25 @@ class Layout:
         return f"<div {self.name(SHARE_CLASSES)}>{self.words(1, 2)} {self.link()} {self.link()}</div>"
 
     def paragraph(self) -> str:
-        text = self.sentences(1, 6)
+        text = self.sentences(1, 6) if self.r.random() < 0.85 else self.words(1, 4)
         kind = self.r.random()
-        if kind < 0.6:
+        if kind < 0.45:
             return f"<p>{self.good(text)}</p>"
+        if kind < 0.52:
+            return f"<{(t := self.r.choice(['div', 'div', 'section', 'center', 'span', 'figure']))}>{self.good(text)}</{t}>"
+        if kind < 0.56:
+            return f"<div><p>{self.good(text)}</p><p>{self.good(self.sentences(1, 4))}</p></div>"
+        if kind < 0.58:
+            return f"<dl>{''.join(f'<dt>{self.good(self.words(1, 5))}</dt><dd>{self.good(self.sentences(1, 2))}</dd>' for _ in range(self.r.randint(1, 3)))}</dl>"
+        if kind < 0.6:
+            return f"<details><summary>{self.good(self.words(1, 6))}</summary><p>{self.good(text)}</p></details>"
+        if kind < 0.61:
+            return f"<p>{self.good(text)} <{(t := self.r.choice(['math', 'object', 'sub', 'q', 'cite', 'abbr', 'time', 'label']))}>{self.good(self.words(1, 3))}</{t}>{self.good(self.words(1, 6) + '.')}</p>"
+        if kind < 0.615:
+            inner = "".join(f"<mi>{self.good(self.words(1, 1)[:2])}</mi><mo>{self.good('=')}</mo>" for _ in range(self.r.randint(1, 3)))
+            return f"<p>{self.good(text)} <math>{inner}</math> {self.good(self.words(1, 3))} <b><i>{self.good(self.words(1, 2))}</i></b></p>"
+        if kind < 0.625:
+            return f"<figure><img src=x><figcaption>{self.good(self.words(2, 12))}</figcaption></figure>"
         if kind < 0.75:
             return f"<p>{self.good(text)} <{(t := self.r.choice(['b', 'i', 'em', 'strong', 'a', 'span', 'code']))}>{self.good(self.words(1, 4))}</{t}> {self.good(self.words(1, 9) + '.')}</p>"
         if kind < 0.8:
@@ -95,31 +112,38 @@ class Layout:
             return f"<table><tr><td>{self.good(self.words(1, 5))}</td><td>{self.good(self.words(1, 5))}</td></tr></table>"
         if kind < 0.96:
             return f"<pre>{self.good(self.words(4, 20))}</pre>"
-        return f"<{(t := self.r.choice(['h2', 'h3']))}>{self.good(self.words(1, 8))}</{t}>"
+        return f"<{(t := self.r.choice(['h2', 'h2', 'h3', 'h3', 'h4', 'h5', 'h6']))}>{self.good(self.words(1, 8))}</{t}>"
 
     def article(self) -> str:
-        title = f"<h1>{self.good(self.words(1, 12))}</h1>" if self.r.random() < 0.85 else ""
-        if title and self.r.random() < 0.15:
-            title = f"<header>{title}</header>"
-        body = [self.paragraph() for _ in range(self.r.choice([0, 1, 1, 2, 3, 5, 8, 12]) if title else self.r.randint(1, 8))]
+        title = f"<{(t := self.r.choice(['h1', 'h1', 'h1', 'h2', 'h4']))}>{self.good(self.words(1, 12))}</{t}>" if self.r.random() < 0.65 else ""
+        body = [self.paragraph() for _ in range(self.r.choice([0, 1, 1, 2, 3, 5, 8, 12]) if title else self.r.choice([1, 1, 2, 3, 5, 8]))]
         for part in (self.advert, self.share, self.notice, self.aside, self.form):
             if self.r.random() < 0.08:
                 body.insert(self.r.randint(0, len(body)), part())
         if self.r.random() < 0.1:
             body.append(self.comments())
         inner = title + "".join(body)
+        if self.r.random() < 0.2:
+            inner = f"<{(t := self.r.choice(['div', 'section']))}>{inner}</{t}>"
+        odd = "" if self.r.random() < 0.7 else f" {self.name([*ODD_CLASSES, self.words(1, 1), f'{self.words(1, 1)}-{self.words(1, 1)}', *PLAIN_CLASSES])}"
         kind = self.r.random()
-        if kind < 0.4:
-            return f"<article>{inner}</article>"
-        if kind < 0.55:
-            return f"<main>{inner}</main>"
-        if kind < 0.7:
+        if title and kind < 0.62 and self.r.random() < 0.15:
+            inner = inner.replace(title, f"<header>{title}</header>", 1)
+        if kind < 0.35:
+            return f"<article{odd}>{inner}</article>"
+        if kind < 0.52:
+            return f"<main{odd}>{inner}</main>"
+        if kind < 0.62:
             return f"<main><article {self.name(ARTICLE_CLASSES)}>{inner}</article></main>"
-        if kind < 0.92:
+        if kind < 0.82:
             return f"<{(t := self.r.choice(['div', 'section']))} {self.name(ARTICLE_CLASSES)}>{inner}</{t}>"
+        if kind < 0.92:
+            return f"<div{odd}>{inner}</div>"
         return inner
 
     def page(self) -> str:
+        if self.r.random() < 0.06:
+            return "".join(self.paragraph() for _ in range(self.r.randint(1, 4)))
         before = [p() for p in (self.header, self.nav, self.notice, self.advert, self.form) if self.r.random() < 0.35]
         after = [p() for p in (self.comments, self.aside, self.advert, self.nav, self.notice, self.form, self.share) if self.r.random() < 0.3]
         if self.r.random() < 0.2 and before:

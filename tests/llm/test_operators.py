@@ -177,6 +177,37 @@ def test_extraction_of_a_page(spark):
     assert html_text.main_text(df.limit(0)).collect() == []
 
 
+#: Pages written by hand, with their main text; no generator takes part.
+PAGES = [
+    ("<article><p>one<b> </b>two</p></article>", "one two"),
+    ("<p>one<b> </b>two</p>", "one two"),
+    ("<article><p>one<span></span> <i>two</i></p></article>", "one two"),
+    ("<article><p>o<b>n</b>e\n <!-- x --> two</p>\n<p>three</article>", "one two three"),
+    ("<article><p>AT&<b>lt;</b> rest</p></article>", "AT&lt; rest"),
+    ("<article><h1>T</h1><div>Plain div text here.</div><h4>Sub four</h4><h5>Sub five</h5><dl><dt>Term</dt><dd>Meaning of it.</dd></dl><details><summary>More</summary><p>Hidden part.</p></details></article>", "T Plain div text here. Sub four Sub five Term Meaning of it. More Hidden part."),
+    ("<html><body><nav><a href=x>Home</a></nav><main><p>A paragraph.</p><p>Another one with words.</p></main><footer>c</footer></body></html>", "A paragraph. Another one with words."),
+    ("<body><div class=menu><a href=x>Home</a> <a href=y>Away</a></div><div class=content><p>First par of it.</p><p>Second par of it.</p><p>Third one, longer than the others by a few words.</p></div><div class=footer>Copyright us</div></body>", "First par of it. Second par of it. Third one, longer than the others by a few words."),
+    ("<article class=comment-worthy><h1>Title</h1><p>Some text of this article.</p></article>", "Title Some text of this article."),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so. <object data=a>Fallback words</object> end.</p></article>", "Let x=2 be so. Fallback words end."),
+    ("<article><h1>Title here</h1><p>Text.</p><section class=comments><h2>Comments</h2><article class=comment><p>I liked it very much. Really.</p></article></section></article>", "Title here Text."),
+    ("<body><header><h1>Site name</h1></header><div><div><h2>Story</h2><p>It began on a cold day. Nobody knew why.</p><p>Then it ended.</p></div><div><ul><li><a href=1>One link</a><li><a href=2>Two link</a></ul></div></div></body>", "Story It began on a cold day. Nobody knew why. Then it ended."),
+    ("<table><tr><td><p>A page laid out in a table, long ago, with an article in a cell. It goes on for a while.</p></td><td><a href=1>a</a><br><a href=2>b</a></td></tr></table>", "A page laid out in a table, long ago, with an article in a cell. It goes on for a while."),
+    ("<main><div><p>Deep one.</p></div><aside><p>Not me. At all.</p></aside><form><p>Not me.</p><input></form></main>", "Deep one."),
+    ("<article><p>x</p></article>", "x"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_extraction_of_pages_by_hand(page, text):
+    assert html_text.default_model().texts([page]) == [text]
+
+
+def test_extraction_of_a_long_page():
+    model = html_text.default_model()
+    words = "word " * 200_000
+    assert model.texts([f"<nav><a href=x>Home</a></nav><article><p>{words}</p>{'<p>Short one.</p>' * 5000}</article>"]) == [f"{words}{'Short one. ' * 5000}".strip()]
+
+
 def test_marginals_are_exact():
     """Messages against the sum over all labellings of a small tree."""
     tree = html_text.parse("<div><p>a<b>c</b></p><ul><li>d</ul></div>")
