@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_arrow_batches, spans
+from .common import text_slices
 from .training_pages import CLOSE, OPEN, labelled_pages
 
 #: Kinds of elements in HTML.
@@ -38,6 +38,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 #: An element with a whole class, id or role of this form holds readers' comments, also where it is marked up as an article.
 REMARK = re.compile(r"(?:[a-z]+-)?(?:comments?|repl(?:y|ies)|responses?|discussions?)(?:-(?:body|box|content|item|list|text|thread|\d+))?")
 WEIGHTS = 1 << 14
+BATCH_BYTES = 1 << 20
 TEXT = "#text"
 
 
@@ -302,16 +303,14 @@ def main_text(pages: DataFrame, model: ExtractionModel | None = None, id_col: st
     implied or end with the page, stray ones are ignored, and what looks like no tag is text.  Repeated and null ids are
     read row by row, pages whole.
     """
-    small_arrow_batches(pages.sparkSession, 500)
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())
     chosen = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     kinds = [f.dataType.simpleString() for f in chosen.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [h or "" for h in batch.column(2).to_pylist()]
-            for a, b in spans(raw, len, 1 << 20):
-                texts = held.value.texts(raw[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
+            for part, raw in text_slices(batch, 2, BATCH_BYTES):
+                texts = held.value.texts(raw)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     return chosen.mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")

@@ -5,9 +5,10 @@ is hashed to a bin and a value, and a bin keeps the least value of the first rou
 rounds go on until all bins are filled, and in the last rounds element and round alone name the bin, so that every
 coordinate fills.  Two sketches agree in a coordinate with the probability of the sets' similarity, with concentration
 bounds as strong as those of independent samples.  Groups of coordinates (bands) give bucket keys; there are so many bands that a
-linked pair shares none with a probability of at most ``miss``.  Links are confirmed on the full sets.
+linked pair shares none with a probability of at most ``miss``.  Links are confirmed on the full sets of the shingles
+themselves, not of hashes.
 
-Equal sets are one node.  A bucket never expands into its pairs: its members meet one leader first, then only members
+Texts with the same words in a row (by a cryptographic digest) are one node.  A bucket never expands into its pairs: its members meet one leader first, then only members
 outside the bucket's largest component become leaders, for members of other components that they can be linked with by a bound on sizes and shared elements.  A pair of different
 components that shares a bucket is compared unless that bound rules it out, so the components are those of all candidates.
 """
@@ -24,15 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, small_arrow_batches, spans
+from .common import materialise, scratch, text_slices
 from .components import components
-from .hashing import finish, prefix_hash, substring
+from .hashing import finish
 
 BATCH_BYTES = 1 << 19
 #: A sketch has at most so many bins.
 MAX_BINS = 360
 #: Shared elements are counted in so many classes to bound what two sets can have in common.
 CLASSES = 32
+#: Partners of a text that are compared with it in one task.
+PART = 4096
 #: Parts of a bucket that choose leaders apart from each other.
 SALTS = 64
 
@@ -46,28 +49,71 @@ def banding(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
     raise AssertionError
 
 
-def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the k-word shingles of each text: A-Z lower-cased, words parted by ASCII white space, the whole sequence where there are fewer words."""
-    out: list[np.ndarray] = []
-    raw = [b" %b " % t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    for a, b in spans(raw, len, BATCH_BYTES):
-        data = np.frombuffer(b"".join(raw[a:b]), np.uint8)
-        ends = np.cumsum([len(r) for r in raw[a:b]])
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        starts, stops = edge[::2], edge[1::2]
-        word = finish(substring(prefix_hash(data), starts, stops), 5)
-        h = prefix_hash(word)
-        at = np.concatenate(([0], np.searchsorted(starts, ends)))
-        for p, q in zip(at[:-1], at[1:], strict=True):
-            if q - p >= k:
-                first = np.arange(p, q - k + 1)
-                out.append(np.unique(finish(substring(h, first, first + k), 6)))
-            elif q > p:
-                out.append(finish(substring(h, np.array([p]), np.array([q])), 7 + int(q - p)))
-            else:
-                out.append(np.zeros(0, np.uint64))
-    return out
+class Words(dict):
+    """Numbers of words in a worker, and a 64-bit cryptographic hash of each; begun anew when there are more than LIMIT, which is below 2**20."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self):
+        self.hashes = np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+        self.hashes[n] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return n
+
+
+WORDS = Words()
+
+
+def words_of(text: str) -> list[bytes]:
+    """A-Z lower-cased, parted by ASCII white space."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(texts: list[list[bytes]], k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For the words of each text: sorted numbers of its distinct k-word shingles, and a 64-bit hash of each of these.
+
+    Equal shingles, and only these, have equal numbers within a call, so sizes and intersections are exact; hashes are equal across calls.
+    With fewer words the whole sequence is the one shingle.
+    """
+    if len(WORDS) > Words.LIMIT:
+        WORDS.clear()
+    flat = np.fromiter((WORDS[w] for t in texts for w in t), np.int64, sum(map(len, texts)))
+    base, n = len(WORDS) + 1, len(flat)
+    ends = np.cumsum([len(t) for t in texts])
+    number = np.zeros(n, np.int64)
+    top = 1  # numbers are below it
+    for j in range(k):
+        if top * base >= 2**62:
+            found, number = np.unique(number, return_inverse=True)
+            top = len(found)
+        number = number * base
+        number[: max(0, n - j)] += flat[j:] + 1
+        top *= base
+    numbers, hashes = [], []
+    for stop, size in zip(ends.tolist(), map(len, texts), strict=True):
+        start = stop - size
+        if size >= k:
+            value, first = np.unique(number[start : stop - k + 1], return_index=True)
+            at = flat[start + first[:, None] + np.arange(k)]
+        elif size:
+            value, at = None, flat[None, start:stop]
+        else:
+            value, at = np.zeros(0, np.int64), np.zeros((0, 1), np.int64)
+        h = np.full(len(at), finish(np.uint64([at.shape[1]]), 6))
+        for j in range(at.shape[1]):
+            h = finish(h ^ WORDS.hashes[at[:, j]], 7)
+        numbers.append(value)
+        hashes.append(h)
+    # sequences shorter than k words are numbered apart, by themselves
+    short = {}
+    for i, t in enumerate(texts):
+        if numbers[i] is None:
+            numbers[i] = np.array([-1 - short.setdefault(tuple(t), len(short))], np.int64)
+    return numbers, hashes
 
 
 def sketch(sets: list[np.ndarray], bins: int) -> np.ndarray:
@@ -99,66 +145,77 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, digest, keys) of (id, text) rows; an empty set has neither digest nor keys."""
+    """(id, sha, n, digest, keys) of (id, sha, text) rows: the digest is of the sequence of words; without words there are neither digest nor keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in spans(texts, len, BATCH_BYTES):
-                sets = shingle_sets(texts[a:b], k)
-                n = np.fromiter(map(len, sets), np.int64, b - a)
+            for part, texts in text_slices(batch, 2, BATCH_BYTES):
+                words = [words_of(t) for t in texts]
+                sets = shingles(words, k)[1]
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
                 keys = band_keys(sketch(sets, bands * rows), bands, rows)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                digest = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
                 offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0))))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(digest, pa.binary()), lists], ["id", "n", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(digest, pa.binary()), lists], ["id", "sha", "n", "digest", "keys"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "id long, sha binary, n long, digest binary, keys array<long>")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    met = met.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """The (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+
+    The text of ``a`` is sent once for each part of its partners, theirs once a pair; a task reads them as a stream, ``a`` first, so no group is held.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).where("parts > 1")
+    parted = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).alias("part"))
+    right = parted.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    left = parted.select("a", "part").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    met = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader = None
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            distinct = list(dict.fromkeys(left + right))
-            sets = dict(zip(distinct, shingle_sets(distinct, k), strict=True))
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                s, t = sets[x], sets[y]
-                short, long_ = sorted((len(s), len(t)))
-                if 100 * short < percent * long_:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for part, some in text_slices(batch, 3, BATCH_BYTES):
+                words = [words_of(t) for t in some]
+                left, right = part.column(0).to_pylist(), part.column(2).to_pylist()
+                if leader is not None:  # of the rows before
+                    words, left, right = [leader, *words], [None, *left], [None, *right]
+                sets = shingles(words, k)[0]
+                a, b = [], []
+                for i, (x, y) in enumerate(zip(left, right, strict=True)):
+                    if y is None:
+                        leader, own = words[i], sets[i]
+                        continue
+                    small, large = sorted((len(own), len(sets[i])))
+                    if 100 * small < percent * large:
+                        continue
+                    both = len(np.intersect1d(own, sets[i], assume_unique=True))
+                    if 100 * both >= percent * (small + large - both):
+                        a.append(x)
+                        b.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
 
 def common_sizes(texts: DataFrame, k: int) -> DataFrame:
-    """(node, n, c, h0, h1, ...) of (id, text) rows: the size of the shingle set, how many of it any other row has too, and these by CLASSES of their hash."""
+    """(node, n, c, h0, h1, ...) of (node, text) rows: the size of the shingle set, how many of it any other row seems to have too, and these by CLASSES of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            for a, b in spans(raw, len, BATCH_BYTES):
-                sets = shingle_sets(raw[a:b], k)
-                ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+            for part, some in text_slices(batch, 1, BATCH_BYTES):
+                sets = shingles([words_of(t) for t in some], k)[1]
+                nodes = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            for a, b in spans(raw, len, BATCH_BYTES):
-                table = np.array([np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) for s in shingle_sets(raw[a:b], k)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(table[:, c]) for c in range(CLASSES))], ["node", *(f"t{c}" for c in range(CLASSES))])
+            for part, some in text_slices(batch, 1, BATCH_BYTES):
+                table = np.array([np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) for s in shingles([words_of(t) for t in some], k)[1]])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(table[:, c]) for c in range(CLASSES))], ["node", *(f"t{c}" for c in range(CLASSES))])
 
-    texts = texts.select("id", "text")
+    texts = texts.select("node", "text")
     each = texts.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("node"))
     kind = F.pmod(F.col("shingle"), F.lit(CLASSES))  # of the signed hash: CLASSES is a power of two
     alone = each.where("rows = 1").groupBy("node").agg(*[F.sum((kind == c).cast("int")).alias(f"a{c}") for c in range(CLASSES)])
@@ -174,7 +231,7 @@ def size_class(n):
 
 
 def near_components(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes that share a bucket with another one.  ``nodes``: (node, n, keys).
+    """(node, component) of the nodes that share a bucket with another one.  ``nodes``: (node, id, sha, n, keys); ``texts``: (id, sha, text), in which a node is found by id and sha.
 
     After the first leaders, buckets with several components remain.  There a pair must still be compared unless it can't be linked:
     two sets differ at least in the elements that no other open node has, and in each class of hashes by the difference of the
@@ -184,10 +241,15 @@ def near_components(nodes: DataFrame, texts: DataFrame, k: int, percent: int) ->
     placed = nodes.select("node", F.explode("keys").alias("key"))
     leaders = placed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").select("key", "leader")
     members = materialise(placed.join(leaders, "key"), "buckets")
-    sizes = nodes.select(F.col("node").alias("id"), "n")
-    texts = materialise(texts.join(sizes.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "id"), "bucket-texts")
+    of = nodes.select("node", "id", "sha").join(members.select("node").distinct(), "node", "left_semi")
+    texts = materialise(texts.join(of, ["id", "sha"]).select("node", "text"), "bucket-texts")
+    if texts.count() > of.count():  # rows equal in id and text
+        texts = materialise(texts.dropDuplicates(["node"]), "bucket-texts")
     label = members.select("node").distinct().withColumn("component", F.col("node"))
+    sizes = nodes.select("node", "n")
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "m"}), "a").join(sizes.withColumnRenamed("node", "b"), "b")
+    pairs = pairs.where((100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))).select("a", "b")
     led = members.select("key", F.col("leader").alias("node")).distinct()
     seen, turn = None, 0
     while True:
@@ -205,7 +267,7 @@ def near_components(nodes: DataFrame, texts: DataFrame, k: int, percent: int) ->
         parts = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
         now = materialise(now.join(parts, "key"), "members")
         if turn == 1:
-            open_ = texts.join(now.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+            open_ = texts.join(now.select("node").distinct(), "node", "left_semi")
             counted = materialise(common_sizes(open_, k), "common")
             members = now.select("key", "node")
         now = materialise(now.join(counted, "node"), "members")
@@ -228,29 +290,44 @@ def near_components(nodes: DataFrame, texts: DataFrame, k: int, percent: int) ->
         pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
+def judged(docs: DataFrame, k: int, percent: int, miss: float, id_col: str, text_col: str) -> DataFrame:
+    """id, sha (SHA-256 of the text), n, component, kept of each row; see near_duplicates()."""
+    bands, rows = banding(percent / 100, miss)
+    texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    texts = texts.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "text")
+    with scratch(docs.sparkSession):
+        found = materialise(sketched(texts, k, bands, rows), "sketches")
+        first = F.min(F.struct("id", "sha"))
+        nodes = found.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+        nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "first.id", "first.sha", "n", "keys"), "nodes")
+        label = near_components(nodes.drop("digest"), texts, k, percent)
+        of = nodes.select("digest", "node", "id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = of.groupBy("component").agg(F.min("id").alias("least"))
+        of = of.join(least, "component").select("digest", "least")
+        out = found.select("id", "sha", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(of, "digest", "left")
+        component = F.coalesce("least", "id")
+        return materialise(out.select("id", "sha", "n", component.alias("component"), component.eqNullSafe(F.col("id")).alias("kept")), "near-duplicates", keep=True)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links), kept (id = component_id).
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets.  A null, empty or blank text has
     no shingles and is linked with nothing; with fewer than ``k`` words the whole sequence is the one shingle.  A row with
     a null id takes no part: its component is null and it is kept.  Rows that repeat an id are judged by their own
-    texts.  Texts are used whole and no bucket is capped.
+    texts.  Texts are used whole, compared exactly, and no bucket is capped.
     """
-    small_arrow_batches(docs.sparkSession, 500)
-    bands, rows = banding(percent / 100, miss)
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    rows_ = materialise(sketched(texts, k, bands, rows), "sketches")
-    real = rows_.where("n > 0 AND id IS NOT NULL")
-    nodes = materialise(real.groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    label = near_components(nodes.select("node", "n", "keys"), texts, k, percent)
-    of = nodes.select("digest", "node").join(label.dropDuplicates(["node"]), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    of = of.withColumn("has", F.lit(True))
-    out = rows_.select("id", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(of, "digest", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
-
-
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all their columns that stand for their group of near duplicates."""
-    kept = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    out = judged(docs, k, percent, miss, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns that stand for their group of near duplicates: the one with the least id, then the least
+    digest of its text.  Rows equal in both all stay, and so do those with a null id.
+    """
+    rows = judged(docs, k, percent, miss, id_col, text_col).where("kept")
+    empty = rows.where("n = 0 OR id IS NULL").select("id", "sha")
+    kept = rows.where("n > 0 AND id IS NOT NULL").groupBy("id", "component").agg(F.min("sha").alias("sha")).select("id", "sha").unionByName(empty)
+    kept = kept.select(F.col("id").alias("__kept_id"), F.col("sha").alias("__kept_sha"))
+    sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")) & (sha == F.col("__kept_sha")), "left_semi")

@@ -7,6 +7,7 @@ softmax, the fitted vectors are folded to one number a bucket before scoring.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import labelled
-from .common import small_arrow_batches, spans
+from .common import pieces, spans, text_slices
 from .hashing import code_points, finish, prefix_hash, substring, sums
 from .transducer import SP, W, char_classes
 
 GRAMS = (3, 4)
+#: A longer text is taken apart into pieces of so many characters, cut at white space.
+PIECE = 1 << 18
+BLANK = re.compile(r"\s")
 #: Labelled documents that the model is fitted on at most.
 SAMPLE_ROWS = 2000
 #: Few documents are gone through so often that there are so many steps.
@@ -38,7 +42,7 @@ def features(texts: list[str], bits: int):
     word = finish(substring(h, starts, stops), 1)
     again = np.append(False, word[1:] == word[:-1])
     again[np.searchsorted(starts, ends[:-1])[np.searchsorted(starts, ends[:-1]) < len(starts)]] = False
-    word = np.where(again, finish(np.uint64([0]), 2), word)  # a word like the one before it counts as a token of its own
+    word = np.where(again, finish(np.uint64([0]), 2), word)  # a word said twice is one token, whichever it is: a bag can't see repetition otherwise
     yield (word >> shift).astype(np.int64), np.searchsorted(starts, ends)
     before = np.concatenate(([0], np.cumsum(blank)))
     for n in GRAMS:
@@ -66,9 +70,16 @@ class QualityModel:
         out, bias = np.zeros((self.dim, 2), np.float32), np.log([1 - share, share])
         bags = []
         for text, _ in rows:
-            every = np.concatenate([b for b, _ in features([text], self.bits)])
-            bucket, n = np.unique(every, return_counts=True)
-            bags.append((bucket.astype(np.int32), (n / max(1, len(every))).astype(np.float32)))
+            counts = np.zeros(1 << self.bits, np.int32) if len(text) > PIECE else None
+            if counts is None:
+                bucket, n = np.unique(np.concatenate([b for b, _ in features([text], self.bits)]), return_counts=True)
+            else:
+                for a, b in pieces(text, PIECE, (BLANK,)):
+                    for bucket, _ in features([text[a:b]], self.bits):
+                        counts += np.bincount(bucket, minlength=1 << self.bits).astype(np.int32)
+                bucket = np.flatnonzero(counts)
+                n = counts[bucket]
+            bags.append((bucket.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
         epochs = max(self.epochs, -(-LEAST_STEPS // len(rows)))
         steps = epochs * len(rows)
         step = 0
@@ -91,9 +102,13 @@ class QualityModel:
 
     def score(self, texts: list[str]) -> np.ndarray:
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
-        for bucket, ends in features(texts, self.bits):
-            total += sums(self.weight[bucket], ends)
-            n += np.diff(ends, prepend=0)
+        cut = [(k, t[a:b]) for k, t in enumerate(texts) for a, b in pieces(t, PIECE, (BLANK,))]
+        for a, b in spans(cut, lambda x: len(x[1]), PIECE):
+            of, some = zip(*cut[a:b], strict=True)
+            of = np.array(of)
+            for bucket, ends in features(list(some), self.bits):
+                np.add.at(total, of, sums(self.weight[bucket], ends))
+                np.add.at(n, of, np.diff(ends, prepend=0))
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -30, 30)))
 
 
@@ -116,15 +131,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fit) -> DataFrame:
     """The rows of ``docs`` with all their columns that classify_quality() predicts as 1, in one pass without a join."""
-    small_arrow_batches(docs.sparkSession)
     model = QualityModel(**fit).fit(labelled.sample(docs, labels, label_col, SAMPLE_ROWS, id_col=id_col, text_col=text_col))
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in spans(texts, lambda t: len(t) + 2, labelled.BATCH_CHARS):
-                yield batch.slice(a, b - a).filter(pa.array(held.value.score(texts[a:b]) >= threshold))
+            for part, texts in text_slices(batch, at, labelled.BATCH_BYTES):
+                yield part.filter(pa.array(held.value.score(texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

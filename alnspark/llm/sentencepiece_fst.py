@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_arrow_batches, spans
+from .common import spans, text_slices
 from .transducer import UNKNOWN, MergeTransducer
 
 SPACE = "▁"
@@ -133,19 +133,17 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     a literal U+2581 is decoded as a space and round_trip is false there.  Rows are encoded whole and apart from
     each other, repeated ids too; other columns don't take part.
     """
-    small_arrow_batches(docs.sparkSession)
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(model_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in spans(texts, len, 4 * BATCH_BYTES):
-                ids, counts = codec.encode(texts[a:b])
+            for part, texts in text_slices(batch, 1, 4 * BATCH_BYTES):
+                ids, counts = codec.encode(texts)
                 decoded = codec.decode(ids, counts)
                 pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids))
-                same = pa.array([x == y for x, y in zip(decoded, texts[a:b], strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pieces, pa.array(counts), pa.array(decoded), same], [id_col, "pieces", "n_pieces", "decoded", "round_trip"])
+                same = pa.array([x == y for x, y in zip(decoded, texts, strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pieces, pa.array(counts), pa.array(decoded), same], [id_col, "pieces", "n_pieces", "decoded", "round_trip"])
 
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, pieces array<int>, n_pieces long, decoded string, round_trip boolean")

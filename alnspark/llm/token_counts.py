@@ -8,9 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import small_arrow_batches, spans
+from .common import spans, text_slices
 from .transducer import END, MergeTransducer, char_classes, pretoken_starts
 
 #: Characters worked on at once; a longer text is cut where a pre-token surely begins.
@@ -106,15 +107,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     counted on its own.  Other columns don't take part.  Texts of any length are read whole, in parts
     of bounded size.  Rows never meet, so nothing is shuffled and a lost task is simply run again.
     """
-    small_arrow_batches(docs.sparkSession)
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens = count_texts(tokenizer_path, texts)
-            size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(tokens), pa.array(tokens > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            for part, texts in text_slices(batch, 1, 2 * BATCH_CHARS):
+                tokens = count_texts(tokenizer_path, texts)
+                size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(tokens), pa.array(tokens > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

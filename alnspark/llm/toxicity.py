@@ -1,22 +1,28 @@
 """Operator 2: toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  A sentence is toxic with the probability of a logistic model on its hashed words; a
-document is toxic if any sentence is (noisy-or).  Only documents have labels; the fitted model then tells the
-offending sentences apart.
+A document is a bag of sentences.  A sentence with a telling word is toxic with the probability of a logistic model on its hashed
+words; a document is toxic if any sentence is, or by a small chance of its own (noisy-or with a leak), so clean text stays
+clean at any length.  Only documents have labels; the fitted model then tells the offending sentences apart.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import labelled
+from .common import pieces, spans
 from .hashing import code_points, finish, lower_table, prefix_hash, substring
 from .transducer import AP, O, SP, W, char_classes
 
 #: The characters that end a sentence.
 SENTENCE_ENDS = ".!?\n。！？"
+#: A longer text is taken apart into pieces of so many characters, cut after a sentence or else after white space.
+PIECE = 1 << 18
+ENDS = (re.compile(f"[{re.escape(SENTENCE_ENDS)}]"), re.compile(r"\s"))
 #: A word also counts by its beginnings of these lengths.
 STEMS = (4, 5)
 
@@ -59,21 +65,24 @@ def noisy_or(p: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
 class ToxicityModel:
     def __init__(self, bits: int = 20, least_ratio: float = 7.88, steps: int = 120, rate: float = 0.2, penalty: float = 1e-5):
         self.bits, self.least_ratio, self.steps, self.rate, self.penalty = bits, least_ratio, steps, rate, penalty
-        self.weight, self.bias = np.zeros(1 << bits, np.float32), -6.0
+        self.weight, self.bias, self.leak = np.zeros(1 << bits, np.float32), -5.0, -6.0
 
     def fit(self, rows: list[tuple[str, int]]) -> ToxicityModel:
         """Full-batch Adam on the noisy-or likelihood.  A word that telling() leaves out has weight 0."""
         y = np.array([r[1] for r in rows], np.int64)
         if not len(y) or y.min() == y.max():
-            self.bias = -6.0 if not len(y) or not y.max() else 0.0
+            self.leak = -6.0 if not len(y) or not y.max() else 0.0
             return self
-        at, of, texts, base, docs = [], [], [], 0, 0
-        for k in range(0, len(rows), 500):
-            bucket, sentence, text_of, _, _ = words([r[0] for r in rows[k : k + 500]], self.bits)
+        at, of, texts, base = [], [], [], 0
+        cut = [(k, r[0][a:b]) for k, r in enumerate(rows) for a, b in pieces(r[0], PIECE, ENDS)]
+        for a, b in spans(cut, lambda x: len(x[1]), PIECE):
+            owner, some = zip(*cut[a:b], strict=True)
+            bucket, sentence, text_of, _, _ = words(list(some), self.bits)
             at.append(bucket)
             of.append(sentence + base)
-            texts.append(text_of + docs)
-            base, docs = base + len(text_of), docs + len(rows[k : k + 500])
+            texts.append(np.array(owner)[text_of])
+            base += len(text_of)
+        docs = len(rows)
         at, of, texts = map(np.concatenate, (at, of, texts))
         pair = np.unique(texts[of].astype(np.int64) << self.bits | at)
         keep = self.telling(pair >> self.bits, pair & ((1 << self.bits) - 1), y)[at]
@@ -81,19 +90,22 @@ class ToxicityModel:
         of = of[keep]
         pair = np.unique(of.astype(np.int64) * len(used) + at)  # a word counts once a sentence
         of, at = pair // len(used), pair % len(used)
-        theta = np.zeros(len(used) + 1)
-        theta[-1] = -5.0
+        some, of = np.unique(of, return_inverse=True)  # a sentence without a telling word can't be toxic
+        n = len(some)
+        texts = np.concatenate((texts[some], np.arange(docs)))  # then the leak of each document
+        theta = np.zeros(len(used) + 2)
+        theta[-2:] = self.bias, self.leak
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, self.steps + 1):
-            logit = np.bincount(of, weights=theta[at], minlength=base) + theta[-1]
+            logit = np.append(np.bincount(of, weights=theta[at], minlength=n) + theta[-2], np.full(docs, theta[-1]))
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             whole = np.clip(noisy_or(p, texts, docs), 1e-9, 1 - 1e-12)
             pull = np.where(y == 1, (1 - whole) / whole, -1.0)[texts] * p
-            gradient = np.append(np.bincount(at, weights=pull[of], minlength=len(used)), pull.sum()) / docs
-            gradient[:-1] -= self.penalty * theta[:-1]
+            gradient = np.append(np.bincount(at, weights=pull[of], minlength=len(used)), (pull[:n].sum(), pull[n:].sum())) / docs
+            gradient[:-2] -= self.penalty * theta[:-2]
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             theta += self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        self.weight[used], self.bias = theta[:-1], float(theta[-1])
+        self.weight[used], self.bias, self.leak = theta[:-2], float(theta[-2]), float(theta[-1])
         return self
 
     def telling(self, text: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -107,11 +119,25 @@ class ToxicityModel:
 
     def sentences(self, texts: list[str]):
         """Probability, text, start and stop of every sentence."""
-        bucket, sentence, text_of, start, stop = words(texts, self.bits)
-        hit = np.flatnonzero(self.weight[bucket])
-        pair = np.unique(sentence[hit].astype(np.int64) << self.bits | bucket[hit])
-        logit = np.bincount(pair >> self.bits, weights=self.weight[pair & ((1 << self.bits) - 1)], minlength=len(text_of)) + self.bias
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), text_of, start, stop
+        cut = [(k, x, t[x:y]) for k, t in enumerate(texts) for x, y in pieces(t, PIECE, ENDS)]
+        out = []
+        for a, b in spans(cut, lambda x: len(x[2]), PIECE):
+            of, at, some = zip(*cut[a:b], strict=True)
+            bucket, sentence, text_of, start, stop = words(list(some), self.bits)
+            hit = np.flatnonzero(self.weight[bucket])
+            pair = np.unique(sentence[hit].astype(np.int64) << self.bits | bucket[hit])
+            telling, place = np.unique(pair >> self.bits, return_inverse=True)
+            logit = np.bincount(place, weights=self.weight[pair & ((1 << self.bits) - 1)], minlength=len(telling)) + self.bias
+            p = np.zeros(len(text_of))
+            p[telling] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            offset = np.array(at)[text_of]
+            out.append((p, np.array(of)[text_of], start + offset, stop + offset))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0), *(np.zeros(0, np.int64) for _ in range(3)))
+
+    def documents(self, p: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
+        """Probability of each text from those of its sentences."""
+        leak = 1 / (1 + np.exp(-self.leak))
+        return noisy_or(np.append(p, np.full(n, leak)), np.append(text_of, np.arange(n)), n)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **fit) -> DataFrame:
@@ -119,8 +145,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
     sentences with at least that probability as (start, stop, score), offsets counted in code points.
 
     Fitted on labelled.sample(); rows with crc32(id as text) mod 5 = 0 are never in it.  A null or empty text is one empty
-    sentence, scored by the bias.  Repeated and null ids are scored row by row; without labels of both classes
-    every sentence has the same probability.
+    sentence and has the score of the leak.  Repeated and null ids are scored row by row; without labels of both classes
+    every text has the same score.
     """
     rows = labelled.sample(docs, labels, label_col, id_col=id_col, text_col=text_col)
     model = ToxicityModel(**fit).fit(rows)
@@ -128,7 +154,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
 
     def run(model: ToxicityModel, texts: list[str]) -> list[pa.Array]:
         p, text_of, start, stop = model.sentences(texts)
-        score = noisy_or(p, text_of, len(texts))
+        score = model.documents(p, text_of, len(texts))
         bad = np.flatnonzero(p >= threshold)
         found = pa.StructArray.from_arrays([pa.array(start[bad]), pa.array(stop[bad]), pa.array(p[bad])], fields=list(item))
         offsets = np.concatenate(([0], np.cumsum(np.bincount(text_of[bad], minlength=len(texts)))))

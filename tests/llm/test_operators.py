@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from alnspark.llm import exact_dedup, html_text, minhash, mixing, quality, sentencepiece_fst, token_counts, topk, toxicity, transducer, training_pages, url_filter
+from alnspark.llm import common, exact_dedup, html_text, minhash, mixing, quality, sentencepiece_fst, token_counts, topk, toxicity, transducer, training_pages, url_filter
 from tests.oracle import compare, connect
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -140,6 +140,34 @@ def test_toxicity_finds_the_sentence(spark):
     assert sum(len(x.offending) for x in got) >= 110
 
 
+def test_toxicity_of_long_texts(spark):
+    """Long clean text stays clean, one bad sentence in it is found where it is; long texts are trained on too."""
+    r = random.Random(8)
+    lines = [filler(r, 8).capitalize() + ". " for _ in range(3000)]
+    texts = ["".join(r.sample(lines, 5)) + ("vilewort again. " if k % 4 == 0 else "") for k in range(300)]
+    texts += ["".join(lines) * 7, "".join(lines) * 2 + "vilewort again. " + "".join(lines) * 5]
+    y = [int(k % 4 == 0) for k in range(300)] + [0, 1]
+    assert len(texts[-1]) > 1_000_000
+    got = {x.doc_id: x for x in toxicity.score_toxicity(documents(spark, texts), labelled(spark, texts, y, "toxic")).collect()}
+    assert got[300].predicted == 0 and not got[300].offending
+    assert got[301].predicted == 1 and [texts[301][s.start : s.stop].strip() for s in got[301].offending] == ["vilewort again."]
+    long = ["".join(lines), "".join(lines[:1000]) + "vilewort again. " + "".join(lines[1000:])] * 20  # all of them long
+    only = toxicity.score_toxicity(documents(spark, long), labelled(spark, long, [0, 1] * 20, "toxic")).collect()
+    assert [x.predicted for x in sorted(only, key=lambda x: x.doc_id)] == [0, 1] * 20
+
+
+def test_quality_of_long_texts():
+    r = random.Random(8)
+    model = quality.QualityModel().fit([(filler(r, 40) if k % 2 else "buy now " * 30, k % 2) for k in range(100)])
+    text = filler(r, 150_000)
+    assert len(text) > 4 * quality.PIECE
+    at = list(common.pieces(text, quality.PIECE, (quality.BLANK,)))
+    assert len(at) > 2 and at[0][0] == 0 and at[-1][1] == len(text) and all(a[1] == b[0] and text[a[1] - 1] == " " for a, b in zip(at[:-1], at[1:], strict=True))
+    whole = [np.concatenate([b for b, _ in quality.features([t], 18)]) for t in (text, *(text[a:b] for a, b in at))]
+    assert np.array_equal(np.sort(whole[0]), np.sort(np.concatenate(whole[1:])))
+    assert model.score([text])[0] > 0.9 and model.score(["x" * 2_000_000]).shape == (1,)
+
+
 @pytest.mark.parametrize("f", [quality.classify_quality, toxicity.score_toxicity])
 def test_classifiers_edges(spark, f):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -303,6 +331,62 @@ def test_near_duplicates_edges(spark):
     assert sorted((x.doc_id or -1, x.n_shingles, x.component_id or -1, x.kept) for x in got) == [(-1, 1, -1, True), (4, 1, 4, True), (4, 1, 4, True), (5, 0, 5, True)]
 
 
+def test_shingles_are_exact():
+    """Words that collide under any polynomial hash modulo 2**64, and texts whose words so do."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    spaced = lambda t: " ".join(t)
+    texts = [a, b, a + " x", spaced(a), spaced(b), spaced(a) + " b", "a b", "a b c", "A  b\tC"]
+    for k in (1, 3, 5):
+        numbers, hashes = minhash.shingles([minhash.words_of(t) for t in texts], k)
+        sets = []
+        for t in texts:
+            w = t.lower().split()
+            sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+        assert [len(n) for n in numbers] == [len(h) for h in hashes] == [len(s) for s in sets]
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                both = len(sets[i] & sets[j])
+                assert len(np.intersect1d(numbers[i], numbers[j])) == len(np.intersect1d(hashes[i], hashes[j])) == both
+
+
+def test_unlike_texts_that_collide_are_not_linked(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    got = minhash.near_duplicates(documents(spark, [a, b, a.upper()])).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows are judged by their own texts; keep_one() loses no text that nothing else stands for."""
+    r = random.Random(3)
+    x, y = filler(r, 40), filler(r, 40)
+    z = y + " zz"
+    df = documents(spark, [x, y, z, x + " q", None, None, "", x], [4, 4, 2, 7, 9, 9, None, 4])
+    got = minhash.near_duplicates(df).collect()
+    assert sorted((-1 if g.doc_id is None else g.doc_id, -1 if g.component_id is None else g.component_id, g.kept) for g in got) == [(-1, -1, True), (2, 2, True), (4, 2, False), (4, 4, True), (4, 4, True), (7, 4, False), (9, 9, True), (9, 9, True)]
+    assert sorted((g.doc_id or 0, g.text or "") for g in minhash.keep_one(df).collect()) == sorted([(0, ""), (2, z), (4, x), (4, x), (9, ""), (9, "")])
+    one = documents(spark, [y, z], [3, 3])
+    assert [g.component_id for g in minhash.near_duplicates(one).collect()] == [3, 3] and minhash.keep_one(one).count() == 1
+
+
+def test_near_duplicates_of_long_texts(spark):
+    r = random.Random(4)
+    w = filler(r, 150_000).split()
+    edited = list(w)
+    for k in range(0, len(w), 100):
+        edited[k] = "zz"
+    far = list(w)
+    for k in range(0, len(w), 10):
+        far[k] = "zz"
+    texts = [" ".join(w), " ".join(edited), " ".join(far), "x" * 1_000_000]
+    assert len(texts[0]) > 1_000_000
+    got = minhash.near_duplicates(documents(spark, texts)).collect()
+    assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == brute_components(texts, [0, 1, 2, 3], 5, 80)
+
+
 def test_sketches_fill_and_estimate():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 5, 40, 3000)]
@@ -430,6 +514,58 @@ def test_index_persists(spark, tmp_path):
     spark.sql("DROP TABLE digest_test")
 
 
+def test_a_batch_may_be_run_again(spark, tmp_path, monkeypatch):
+    """A job that fails after the append, or amid it, gives the rows of an undisturbed one when it is run again."""
+    index = exact_dedup.DigestIndex(spark, "digest_retry", str(tmp_path / "index"))
+    exact_dedup.exact_dedup(documents(spark, ["old", "a"], [90, 91]), index)
+    batch = documents(spark, ["A", "b", "B", "c", None, "d"])
+    want = [(0, 91, False), (1, 2, False), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True)]
+
+    def stop(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "materialise", lambda df, tag, **kw: stop() if tag == "known" else common.materialise(df, tag, **kw))
+        with pytest.raises(RuntimeError, match="killed"):
+            exact_dedup.exact_dedup(batch, index)
+    assert index.table().count() == 6
+    for _ in range(2):
+        got = exact_dedup.exact_dedup(batch, index).collect()
+        assert sorted((x.doc_id, x.keep_id, x.kept) for x in got) == want
+    # half of the append of a named batch, as a failed commit leaves it
+    half = exact_dedup.digests(documents(spark, ["x"], [20])).selectExpr("digest", "id keep_id", "1L group_size", "'b2' batch")
+    half.write.format("parquet").mode("append").bucketBy(index.buckets, "digest").sortBy("digest").option("path", index.path).saveAsTable(index.name)
+    got = exact_dedup.exact_dedup(documents(spark, ["x", "y"], [20, 21]), index, batch="b2").collect()
+    assert sorted((x.doc_id, x.kept) for x in got) == [(20, True), (21, True)]
+    assert [x.kept for x in exact_dedup.exact_dedup(documents(spark, ["y"], [30]), index, batch="b3").collect()] == [False]
+    assert index.table().count() == index.table().select("digest").distinct().count() == 8
+    index.drop()
+
+
+def test_no_table_is_left(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.exact_dedup(documents(spark, ["a", "a"])).count() == 2
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_dir", lambda _: str(tmp_path))
+    minhash.near_duplicates(documents(spark, ["a b c d", "a b c d e"])).collect()
+    exact_dedup.exact_dedup(documents(spark, ["a", "a"])).collect()
+    assert sorted(re.sub("-[0-9a-f]{32}$", "", p.name) for p in tmp_path.iterdir()) == ["exact-dedup", "near-duplicates"]
+
+
+def test_scratch_needs_a_shared_folder():
+    class Cluster:
+        master = "spark://host:7077"
+        conf = sparkContext = property(lambda self: self)
+        get = staticmethod(lambda key, default=None: default)
+        getConf = lambda self: self
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Cluster())
+
+
 @pytest.mark.parametrize("name", ["op4_url_filters", "op10_exact_dedup"])
 def test_queries_equal_their_sql(spark, name):
     from alnspark.llm.queries import ORACLES, QUERIES
