@@ -1,10 +1,11 @@
 """Operator 5: SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The normaliser (dummy prefix, U+0020 to U+2581), the pieces and the byte fallback are compiled to one
-transducer.  Composing it with an input gives a lattice of pieces; an arc costs nothing
+Composition is associative: the normaliser (dummy prefix, U+0020 to U+2581), a transducer of one state, is applied to the input first, then
+the one of pieces and byte fallback.  That gives a lattice of pieces; an arc costs nothing
 if ranked merging leaves its piece beside the one before it, infinity otherwise, so the
 shortest path in the tropical semiring is the only one of finite cost and equals the library's result.
-The forward pass keeps the best last piece at each byte, the backward pass reads the path.
+The forward pass keeps the best last piece at each byte, the backward pass reads the path.  Models of another kind, or with another
+normaliser, are refused.
 """
 
 from __future__ import annotations
@@ -21,6 +22,62 @@ from .transducer import UNKNOWN, MergeTransducer
 
 SPACE = "▁"
 BATCH_BYTES = 1 << 19
+#: Bytes of a segment from which on it is read back by itself.
+LONG = 4096
+
+
+def check_supported(path: str) -> None:
+    """Raise an error unless the model is BPE with byte fallback, keeps spaces as they are, adds the dummy prefix and has no character map."""
+    with open(path, "rb") as f:
+        model = fields(f.read(), {2, 3})
+    train = fields(model.get(2, [b""])[-1], {3, 24, 35})
+    normal = fields(model.get(3, [b""])[-1], {2, 3, 4, 5})
+    one = lambda found, number, default: found.get(number, [default])[-1]
+    wrong = [
+        name
+        for name, bad in {
+            "the model isn't BPE": one(train, 3, 1) != 2,
+            "it has no byte fallback": not one(train, 35, 0),
+            "white space is a suffix": bool(one(train, 24, 0)),
+            "it maps characters": bool(one(normal, 2, b"")),
+            "it adds no dummy prefix": not one(normal, 3, 1),
+            "it drops extra white space": bool(one(normal, 4, 1)),
+            "it doesn't escape white space": not one(normal, 5, 1),
+        }.items()
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"{path} can't be compiled: {', '.join(wrong)}")
+
+
+def fields(data: bytes, wanted: set[int]) -> dict[int, list]:
+    """Values of some fields of a protocol buffer message: numbers, or bytes of strings and messages."""
+    found: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            value = number()
+        else:
+            size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            value = data[at : at + size]
+            at += size
+        if key >> 3 in wanted:
+            found.setdefault(key >> 3, []).append(value)
+    return found
 
 
 class Codec:
@@ -29,6 +86,7 @@ class Codec:
     def __init__(self, path: str):
         import sentencepiece
 
+        check_supported(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         special = {i for i in ids if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
@@ -86,7 +144,10 @@ class Codec:
         last = np.empty(n, np.int32)
         self.machine.run(data, starts, lengths, last)
         out = np.full(n, -1, np.int32)
-        at, stop = starts + lengths - 1, starts
+        long = lengths > LONG
+        for stop, size in zip(starts[long].tolist(), lengths[long].tolist(), strict=True):
+            self._read_back(data, last, out, stop, stop + size - 1)
+        at, stop = (starts + lengths - 1)[~long], starts[~long]
         while len(at):
             piece = last[at]
             unknown = piece == UNKNOWN
@@ -106,6 +167,21 @@ class Codec:
         where = np.flatnonzero(out >= 0)
         return out[where], where
 
+    def _read_back(self, data: np.ndarray, last: np.ndarray, out: np.ndarray, stop: int, at: int) -> None:
+        """The path of one long segment, whose pieces are read one after another."""
+        raw, piece, length = data[stop : at + 1].tobytes(), last[stop : at + 1].tolist(), self.length
+        found, where, base, at, inner = [], [], stop, at - stop, False
+        while at >= 0:
+            if inner or piece[at] == UNKNOWN:
+                found.append(int(self.byte_id[raw[at]]))
+                step, inner = 1, raw[at] & 0xC0 == 0x80
+            else:
+                found.append(piece[at])
+                step = int(length[piece[at]])
+            where.append(at)
+            at -= step
+        out[np.array(where) + base] = found
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of each run of ids: pieces joined, the dummy prefix's space left out."""
         length = self.said_length[ids]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +17,7 @@ from .transducer import END, MergeTransducer, char_classes, pretoken_starts
 
 #: Characters worked on at once; a longer text is cut where a pre-token surely begins.
 BATCH_CHARS = 1 << 19
+LETTERS_END = re.compile(r"[^\W\d_](?=[\s!-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,14 +45,14 @@ def load_byte_bpe(path: str) -> tuple[MergeTransducer, tuple[str, ...]]:
 
 
 def cut(text: str, limit: int) -> Iterator[str]:
-    """Parts of about ``limit`` characters, cut before a space that follows a word: a pre-token begins there in any case."""
+    """Parts of about ``limit`` characters, cut after a letter that no letter follows: a pre-token begins there in any case."""
     at = 0
     while len(text) - at > limit:
-        to = at + limit
-        while to < len(text) and not (text[to] == " " and not text[to - 1].isspace()):
-            to += 1
-        yield text[at:to]
-        at = to
+        found = LETTERS_END.search(text, at + limit)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
     yield text[at:]
 
 
@@ -105,7 +107,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     A null text counts as empty: 0 bytes and 0 tokens.  Ids may be null or repeated; each row is
     counted on its own.  Other columns don't take part.  Texts of any length are read whole, in parts
-    of bounded size.  Rows never meet, so nothing is shuffled and a lost task is simply run again.
+    that end where letters do; only a run of letters is never parted.  Rows never meet, so nothing is shuffled and a lost task is simply run again.
     """
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()

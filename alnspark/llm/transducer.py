@@ -13,8 +13,8 @@ Two machines are used.
   gives back these two pieces; under that constraint each prefix of an input has exactly one
   segmentation, which is the one that ranked merging yields.  So the constrained lattice has one path
   of finite weight and the transition into each position names its last piece.  Transitions
-  carry the change in the number of emitted pieces.  States are made when first met and
-  kept for the life of the Python worker, within ``MAX_STATES``.
+  carry the change in the number of emitted pieces, and a state holds no absolute count, so chunks of a long segment
+  have state maps too: see run().  States are made when first met and kept for the life of the Python worker, within ``MAX_STATES``.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ import numpy as np
 #: When a worker holds more states than this, it drops them before the next batch and begins anew.
 MAX_STATES = 300_000
 CHUNK = 256
+#: Bytes of a chunk of a long segment.
+LANE = 512
 
 # --------------------------------------------------------------------------- boundaries
 
@@ -303,13 +305,53 @@ class MergeTransducer:
             self.keys[at], self.to[at], self.change[at], self.last[at] = keys[done], to[done], change[done], last[done]
             left = np.delete(left, first)
 
-    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
-        """Number of pieces of each segment of ``data``; ``last`` gets the last piece at each byte."""
+    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, last: np.ndarray | None = None, lane: int = LANE) -> np.ndarray:
+        """Number of pieces of each segment of ``data``; ``last`` gets the last piece at each byte.
+
+        A long segment is cut to chunks.  A chunk's state map is known for the states it can be entered in: the start, as a first
+        guess, and every state in which the chunk before it can end.  The machine forgets quickly, so there are few; all chunks
+        are run for all new ones at once until none is left, the maps are followed from the start of each segment, and the last pass runs from the then known states.
+        """
         if len(self.info) > MAX_STATES:
             self.reset()
+        long = np.flatnonzero(lengths > 2 * lane)
+        if not len(long):
+            return self._run(data, starts, lengths, np.zeros(len(starts), np.int64), last)[0]
+        begin, size, owner, first = [], [], [], []
+        for i in long.tolist():
+            cuts = np.arange(starts[i], starts[i] + lengths[i], lane)
+            for _ in range(3):  # a chunk begins with a symbol
+                cuts[1:] += (data[cuts[1:]] & 0xC0) == 0x80
+            cuts = cuts[cuts < starts[i] + lengths[i]]
+            first.append(len(owner))
+            begin += cuts.tolist()
+            size += np.diff(np.append(cuts, starts[i] + lengths[i])).tolist()
+            owner += [i] * len(cuts)
+        begin, size, owner = np.array(begin), np.array(size), np.array(owner)
+        maps: list[dict[int, int]] = [{} for _ in owner]
+        new = [(c, 0) for c in range(len(owner))]
+        while new:
+            at, entry = (np.array(x) for x in zip(*new, strict=True))
+            leave = self._run(data, begin[at], size[at], entry, None)[1]
+            for c, i, o in zip(at.tolist(), entry.tolist(), leave.tolist(), strict=True):
+                maps[c][i] = o
+            follow = {(c + 1, o) for c, o in zip(at.tolist(), leave.tolist(), strict=True) if c + 1 < len(owner) and owner[c + 1] == owner[c]}
+            new = [x for x in sorted(follow) if x[1] not in maps[x[0]]]
+        entry, state, heads = [], 0, set(first)
+        for c in range(len(owner)):
+            state = 0 if c in heads else state
+            entry.append(state)
+            state = maps[c][state]
+        short = np.delete(np.arange(len(starts)), long)
+        entry = np.concatenate((np.zeros(len(short), np.int64), entry)).astype(np.int64)
+        pieces = self._run(data, np.concatenate((starts[short], begin)), np.concatenate((lengths[short], size)), entry, last)[0]
+        return np.bincount(np.concatenate((short, owner)), weights=pieces, minlength=len(starts)).astype(np.int64)
+
+    def _run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Change of the number of pieces over each stretch from its entry state, and the state at its end; all stretches side by side, a byte at a time."""
         order = np.argsort(-lengths, kind="stable")
         begin, longest = starts[order], lengths[order]
-        state, pieces = np.zeros(len(order), np.int64), np.zeros(len(order), np.int32)
+        state, pieces = entry[order], np.zeros(len(order), np.int32)
         live = len(order)
         for k in range(int(longest[0]) if len(order) else 0):
             if longest[live - 1] <= k:
@@ -325,6 +367,6 @@ class MergeTransducer:
             pieces[:live] += self.change[slots]
             if last is not None:
                 last[at] = self.last[slots]
-        out = np.empty(len(order), np.int64)
-        out[order] = pieces
-        return out
+        out, leave = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        out[order], leave[order] = pieces, state
+        return out, leave

@@ -86,6 +86,51 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece_fst.encode_decode(documents(spark, []), PIECES).collect() == []
 
 
+def long_texts():
+    """With and without spaces, of one letter and of many, with a letter run that nothing parts."""
+    r = random.Random(2)
+    letters = lambda n: "".join(r.choices("etaoinshrdlucm", k=n))
+    return ["x" * 300_000, letters(60_000), "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(1_000_000)), "-=" * 50_000, "hello world, " * 80_000, letters(9_000) + " 1" + letters(3_000) + "😀" * 5_000]
+
+
+def test_long_texts_equal_the_libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = long_texts()
+    want = [len(e.ids) for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    assert list(token_counts.count_texts(BPE, texts)) == want
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(texts, num_threads=1)
+    codec = sentencepiece_fst.load_codec(PIECES)
+    ids, counts = codec.encode(texts)
+    assert counts.tolist() == [len(p) for p in pieces] and ids.tolist() == [i for p in pieces for i in p]
+    assert codec.decode(ids, counts) == texts
+
+
+def test_count_maps_of_chunks_compose():
+    """Any length of chunk gives the counts and the last pieces of one pass."""
+    machine, _ = token_counts.load_byte_bpe(BPE)
+    r = random.Random(4)
+    data = np.frombuffer("".join(r.choices("ab é中x", weights=[4, 4, 1, 1, 1, 9], k=3000)).encode(), np.uint8)
+    starts = np.array([0, 10, 1500])
+    lengths = np.array([10, 1490, len(data) - 1500])
+    ends = [np.zeros(len(data), np.int32) for _ in range(3)]
+    counts = [machine.run(data, starts, lengths, last, lane).tolist() for last, lane in zip(ends, (10_000, 64, 7), strict=True)]
+    assert counts[0] == counts[1] == counts[2]
+    assert np.array_equal(ends[0], ends[1]) and np.array_equal(ends[0], ends[2])
+
+
+def test_other_models_are_refused(tmp_path):
+    """The file with one field of its normaliser or trainer set otherwise (the last value of a field counts)."""
+    whole = open(PIECES, "rb").read()
+    message = lambda number, body: bytes([number << 3 | 2, len(body)]) + body
+    for name, part in {"kind": message(2, b"\x18\x01"), "map": message(3, b"\x12\x01x\x20\x00"), "prefix": message(3, b"\x18\x00\x20\x00"), "spaces": message(3, b"\x20\x01")}.items():
+        (tmp_path / name).write_bytes(whole + part)
+        with pytest.raises(ValueError, match="can't be compiled"):
+            sentencepiece_fst.check_supported(str(tmp_path / name))
+    sentencepiece_fst.check_supported(PIECES)
+
+
 # 2 and 8
 
 
