@@ -39,9 +39,12 @@ def mapq_histogram(spark, d):
     return stats.mapq_histogram(filters.countable(view(spark, d, "alignments")))
 
 
-@query(ALN + "SELECT CASE WHEN (flag & 1540) <> 0 THEN 'flags' ELSE 'kept' END AS outcome, count(*) AS n FROM alignments GROUP BY 1")
+@query(ALN + "SELECT CASE WHEN (flag & 1540) <> 0 THEN 'flags' WHEN rec_idx % 13 = 5 THEN 'no_reference' WHEN rec_idx % 17 IN (3, 8) THEN 'no_position' WHEN rec_idx % 19 IN (2, 7) THEN 'no_sequence' ELSE 'kept' END AS outcome, count(*) AS n FROM alignments GROUP BY 1")
 def projection_counters(spark, d):
-    return filters.projection_counters(view(spark, d, "alignments"))
+    """Over records of which some lack a reference, a position or a sequence."""
+    df = view(spark, d, "alignments").withColumn("rname", F.expr("IF(rec_idx % 13 <> 5, rname, NULL)"))
+    df = df.withColumn("pos", F.expr("CASE rec_idx % 17 WHEN 3 THEN NULL WHEN 8 THEN -1 ELSE pos END")).withColumn("seq", F.expr("CASE rec_idx % 19 WHEN 2 THEN NULL WHEN 7 THEN '' ELSE seq END"))
+    return filters.projection_counters(df)
 
 
 @query(ALN + "SELECT rec_idx, flag FROM alignments WHERE (flag & 3844) = 0")
@@ -110,8 +113,9 @@ def cigar_text(spark, d):
 
 @query(
     ITEMS
-    + """SELECT rec_idx, CAST(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) AS BIGINT) AS ref_length, CAST(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) AS BIGINT) AS read_length,
-    CAST(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) AS BIGINT) AS anchored, CAST(sum(n) AS BIGINT) AS clipped FROM items GROUP BY rec_idx"""
+    + """SELECT rec_idx, CAST(sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) AS BIGINT) AS ref_length, CAST(sum(CASE WHEN op IN ('M', '=', 'X', 'I', 'S') THEN n ELSE 0 END) AS BIGINT) AS read_length,
+    CAST(sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') AND k <= last THEN n ELSE 0 END) AS BIGINT) AS anchored, CAST(sum(CASE WHEN op NOT IN ('H', 'P') THEN n ELSE 0 END) AS BIGINT) AS clipped
+    FROM (SELECT *, max(CASE WHEN op IN ('M', '=', 'X') THEN k END) OVER (PARTITION BY rec_idx) AS last FROM items) GROUP BY rec_idx"""
 )
 def cigar_lengths(spark, d):
     c = F.col("cigar")
@@ -130,7 +134,7 @@ def cigar_collapse(spark, d):
     return alignments(spark, d).select("rec_idx", C.render(C.collapse(changed)).alias("cigar"))
 
 
-@query(ITEMS + "SELECT rec_idx, cigar_text AS cigar FROM alignments")
+@query(ITEMS + "SELECT rec_idx, translate(cigar_text, '=X', 'MM') AS cigar FROM alignments")
 def cigar_alignment_match(spark, d):
     changed = F.transform("cigar", lambda x: C.item(x["n"], F.when(x["op"] == "M", F.when(x["n"] % 2 == 0, "=").otherwise("X")).otherwise(x["op"])))
     return alignments(spark, d).select("rec_idx", C.render(C.to_alignment_match(changed)).alias("cigar"))
@@ -146,10 +150,10 @@ def cigar_equivalence(spark, d):
 
 @query(
     ITEMS
-    + """, with_run AS (SELECT rec_idx, pos, k, n, op FROM items UNION ALL SELECT rec_idx, pos, 7, 1 + rec_idx % 3, 'I' FROM alignments UNION ALL SELECT rec_idx, pos, 8, 2, 'D' FROM alignments UNION ALL SELECT rec_idx, pos, 9, 1, 'M' FROM alignments),
-    placed AS (SELECT *, CAST(pos + coalesce(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) OVER w, 0) AS BIGINT) AS r, CAST(coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER w, 0) AS BIGINT) AS q
+    + """, with_run AS (SELECT rec_idx, pos, k, n, op FROM items UNION ALL SELECT rec_idx, pos, 100, 1 + rec_idx % 3, 'I' FROM alignments UNION ALL SELECT rec_idx, pos, 101, 2, 'D' FROM alignments UNION ALL SELECT rec_idx, pos, 102, 1, 'M' FROM alignments),
+    placed AS (SELECT *, CAST(pos + coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) OVER w, 0) AS BIGINT) AS r, CAST(coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'I', 'S') THEN n ELSE 0 END) OVER w, 0) AS BIGINT) AS q
         FROM with_run WINDOW w AS (PARTITION BY rec_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT a.rec_idx, a.r AS ref_start, a.r + 2 AS ref_end, a.q AS query_start, CAST(a.q + a.n AS BIGINT) AS query_end FROM placed a WHERE a.k = 7"""
+    SELECT a.rec_idx, a.r AS ref_start, a.r + 2 AS ref_end, a.q AS query_start, CAST(a.q + a.n AS BIGINT) AS query_end FROM placed a WHERE a.k = 100"""
 )
 def indel_runs(spark, d):
     df = alignments(spark, d)
@@ -158,7 +162,7 @@ def indel_runs(spark, d):
     return each.select("rec_idx", "x.ref_start", "x.ref_end", "x.query_start", "x.query_end")
 
 
-_BASES = """, placed AS (SELECT i.*, a.seq, 1 + i.pos + coalesce(sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) OVER w, 0) AS r, 1 + coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER w, 0) AS q
+_BASES = """, placed AS (SELECT i.*, a.seq, 1 + i.pos + coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) OVER w, 0) AS r, 1 + coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'I', 'S') THEN n ELSE 0 END) OVER w, 0) AS q
         FROM items i JOIN alignments a USING (rec_idx) WHERE rec_idx % 1 = 0 WINDOW w AS (PARTITION BY i.rec_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     reference AS (SELECT repeat('ACGTNACCA', 600) AS ref),
     bases AS (SELECT rec_idx, k, j, CASE WHEN substr(seq, CAST(q + j AS INT), 1) = substr(ref, CAST(r + j AS INT), 1) THEN '=' ELSE 'X' END AS op
@@ -175,7 +179,7 @@ def cigar_sequence_match(spark, d):
 
 @query(
     ITEMS
-    + """, span AS (SELECT rec_idx, pos, sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) AS len FROM items GROUP BY rec_idx, pos)
+    + """, span AS (SELECT rec_idx, pos, sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) AS len FROM items GROUP BY rec_idx, pos)
     SELECT rec_idx, count(*) FILTER (WHERE (pos + j) % 9 = 4) AS n_bases, CAST(coalesce(sum(j) FILTER (WHERE (pos + j) % 9 = 4), 0) AS BIGINT) AS offsets
     FROM span, LATERAL (SELECT unnest(range(CAST(len AS INT))) AS j) GROUP BY rec_idx"""
 )
@@ -203,7 +207,7 @@ def mapq_box_plot(spark, d):
     return stats.mapq_box_plot(view(spark, d, "alignments"), 500)
 
 
-_COVER = """, span AS (SELECT a.rname, a.pos AS s, a.pos + sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) AS e, a.mapq, a.rec_idx FROM alignments a JOIN items i USING (rec_idx) WHERE (flag & 3588) = 0 GROUP BY a.rec_idx, a.rname, a.pos, a.mapq),
+_COVER = """, span AS (SELECT a.rname, a.pos AS s, a.pos + sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) AS e, a.mapq, a.rec_idx FROM alignments a JOIN items i USING (rec_idx) WHERE (flag & 3588) = 0 GROUP BY a.rec_idx, a.rname, a.pos, a.mapq),
     coverage AS (SELECT rname, CAST(position AS BIGINT) AS position, count(*) AS coverage FROM span, LATERAL (SELECT unnest(range(s, CAST(e AS INT))) AS position) GROUP BY rname, position) """
 COVER = ITEMS + _COVER
 
@@ -466,7 +470,7 @@ def _scored(df):
 _CASE = "CASE " + " ".join(f"WHEN apart >= {t} THEN CASE " + " ".join(f"WHEN share >= {s} THEN {q}" for s, q in sorted(row, reverse=True)) + " END" for t, row in sorted(mapq.DIFFERENCE_TABLE.items(), reverse=True)) + " END"
 MAPQ_SQL = (
     ALN
-    + f""", u AS (SELECT * FROM (SELECT *, rnext IS NOT NULL AS has_mate, min(CASE WHEN rnext IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY qname) AS lo, max(CASE WHEN rnext IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY qname) AS hi FROM alignments WHERE (flag & 4) = 0) WHERE lo = hi),
+    + f""", u AS (SELECT * FROM (SELECT *, rnext IS NOT NULL AS has_mate, min(CASE WHEN rnext IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY qname) AS lo, max(CASE WHEN rnext IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY qname) AS hi FROM alignments WHERE (flag & 4) = 0) WHERE lo = hi AND as_score IS NOT NULL),
     best AS (SELECT qname, rname, pos, max(as_score) AS s FROM u GROUP BY 1, 2, 3),
     lens AS (SELECT b.qname, b.rname, b.pos, b.s, max(u.seq_length) AS l FROM best b JOIN u ON u.qname = b.qname AND u.rname = b.rname AND u.pos = b.pos AND u.as_score = b.s GROUP BY 1, 2, 3, 4),
     p AS (SELECT u.*, as_score + coalesce(m.s, 0) AS total, coalesce(m.l, 0) AS mate_length, CASE WHEN has_mate THEN '' ELSE seq END AS own_seq,
@@ -487,7 +491,18 @@ def recalculate_mapq(spark, d):
     return mapq.recalculate_mapq(_scored(alignments(spark, d))).select("rec_idx", "old_mapq", "mapq", "pair_score")
 
 
-@query()
+@query(
+    ITEMS
+    + _BASES
+    + """, spans AS (SELECT rec_idx, k, op, r + j AS r, q + j AS q, seq, n, 1 AS each FROM (SELECT b.rec_idx, b.k, b.op, p.r, p.q, p.seq, b.j, 1 AS n FROM bases b JOIN placed p ON p.rec_idx = b.rec_idx AND p.k = b.k UNION ALL
+            SELECT rec_idx, k, op, r, q, seq, j, 1 FROM placed, LATERAL (SELECT unnest(range(CAST(n AS INT))) AS j) WHERE op IN ('=', 'X'))),
+    costs AS (SELECT s.rec_idx, CASE WHEN op = '=' THEN CASE WHEN substr(s.seq, CAST(q AS INT), 1) IN ('A', 'C', 'G', 'T') THEN 0 ELSE 1 END
+            WHEN substr(s.seq, CAST(q AS INT), 1) NOT IN ('A', 'C', 'G', 'T') OR substr(ref, CAST(r AS INT), 1) = 'N' THEN 1
+            ELSE floor(least(ascii(substr(a.qual, CAST(q AS INT), 1)) - 33, 40) / 40.0 * 4 + 2) END AS cost FROM spans s JOIN alignments a USING (rec_idx), reference
+        UNION ALL SELECT rec_idx, CASE WHEN coalesce(lag(op) OVER (PARTITION BY rec_idx ORDER BY k), '') IN ('I', 'D') THEN 0 ELSE 5 END + 3 * n FROM items WHERE op NOT IN ('H', 'P', 'N') QUALIFY op IN ('I', 'D')),
+    summed AS (SELECT rec_idx, -CAST(sum(cost) AS DOUBLE) AS new_score FROM costs GROUP BY rec_idx)
+    SELECT rec_idx, new_score, CASE WHEN as_score IS NOT NULL THEN CAST(as_score AS STRING) END AS old_score, CAST(CAST(floor(new_score) AS BIGINT) AS STRING) AS as_tag FROM alignments JOIN summed USING (rec_idx)"""
+)
 def rescore(spark, d):
     ref = F.repeat(F.lit("ACGTNACCA"), F.lit(600))
     df = alignments(spark, d)
@@ -500,14 +515,15 @@ def rescore(spark, d):
 
 # --------------------------------------------------------------------------- support
 
-_READS = """, reads AS (SELECT a.rec_idx, split_part(a.rname, '/', 1) AS chrom, a.pos, a.pos + sum(CASE WHEN op IN ('M', 'D') THEN n ELSE 0 END) AS e FROM alignments a JOIN items i USING (rec_idx) WHERE (flag & 3588) = 0 GROUP BY 1, 2, 3) """
+_READS = """, reads AS (SELECT rec_idx, split_part(rname, '/', 1) AS chrom, pos, seq, any_value(pos) + sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) AS e, any_value(pos) + sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') AND k <= last THEN n ELSE 0 END) AS anchor
+    FROM (SELECT a.rec_idx, rname, flag, a.pos, seq, k, n, op, max(CASE WHEN op IN ('M', '=', 'X') THEN k END) OVER (PARTITION BY rec_idx) AS last FROM alignments a JOIN items i USING (rec_idx)) WHERE (flag & 3588) = 0 GROUP BY rec_idx, rname, pos, seq) """
 
 
 def _reads(spark, d):
     return filters.countable(alignments(spark, d))
 
 
-@query(cte("alignments", "items", "variants") + _READS + "SELECT var_id, rec_idx AS r_idx FROM variants v JOIN reads r ON r.chrom = v.chrom AND r.pos <= v.pos AND v.pos < r.e AND v.pos + v.ref_len < r.e")
+@query(cte("alignments", "items", "variants") + _READS + "SELECT var_id, rec_idx AS r_idx FROM variants v JOIN reads r ON r.chrom = v.chrom AND r.pos <= v.pos AND v.pos < r.e AND v.pos + v.ref_len < r.anchor")
 def support_join(spark, d):
     return support.candidates(view(spark, d, "variants"), _reads(spark, d), contig_prefix=True, width=512).select("var_id", "r_idx")
 
@@ -517,30 +533,50 @@ def support_join_left_anchored(spark, d):
     return support.candidates(view(spark, d, "variants"), _reads(spark, d), left_anchored=True, contig_prefix=True).select("var_id", "r_idx")
 
 
-@query()
-def supporting_reads(spark, d):
+#: The allele that a read shows, item by item: phase 0 reads up to the end of the allele, 1 what goes on with the item that ended there, 2 is past it.
+_SHOWN = """, cigars AS (SELECT rec_idx, list(struct_pack(n := n, op := op) ORDER BY k) AS ops FROM items GROUP BY rec_idx),
+    walk(var_id, rec_idx, k, pos, seq, ops, here, q, r, a, shown, phase, kind) AS (
+        SELECT v.var_id, r.rec_idx, 1, v.pos, r.seq, c.ops, CAST(r.pos AS BIGINT), CAST(0 AS BIGINT), v.ref_len, v.alt_len, '', 0, ''
+        FROM variants v JOIN reads r ON r.chrom = v.chrom AND r.pos <= v.pos AND v.pos < r.e AND v.pos + v.ref_len < r.anchor JOIN cigars c USING (rec_idx)
+        UNION ALL
+        SELECT var_id, rec_idx, k + 1, pos, seq, ops, here2, q2 + CASE WHEN phase = 0 AND m = 0 THEN 0 WHEN phase = 0 AND op IN ('M', '=', 'X') THEN take WHEN phase = 0 AND op IN ('I', 'S') THEN m WHEN phase = 1 AND goes AND op IN ('I', 'S') THEN n ELSE 0 END,
+            r2, CASE WHEN phase = 0 AND m > take AND r2 = 0 AND op IN ('M', '=', 'X') THEN 0 ELSE a2 END,
+            shown || CASE WHEN phase = 0 AND m = 0 THEN '' WHEN phase = 0 AND op IN ('M', '=', 'X') THEN substr(seq, q2 + 1, take) WHEN phase = 0 AND op = 'I' OR phase = 1 AND goes AND op = 'I' THEN substr(seq, q2 + 1, n)
+                WHEN phase = 0 AND op IN ('D', 'N') AND r < m AND shown NOT LIKE '%~' OR phase = 1 AND goes AND op IN ('D', 'N') AND shown NOT LIKE '%~' THEN '~' ELSE '' END,
+            CASE WHEN phase = 0 AND m > 0 AND r2 = 0 AND (a2 = 0 OR m > take AND op IN ('M', '=', 'X')) THEN CASE WHEN m > take AND op IN ('M', '=', 'X') THEN 2 ELSE 1 END WHEN phase = 1 AND NOT goes THEN 2 ELSE phase END,
+            CASE WHEN phase = 0 THEN kin ELSE kind END
+        FROM (SELECT *, CASE WHEN m = 0 OR phase > 0 THEN a WHEN op IN ('M', '=', 'X') THEN greatest(0, a - take) WHEN op IN ('I', 'S') THEN greatest(0, a - m) ELSE a END AS a2,
+                CASE WHEN m = 0 OR phase > 0 THEN r WHEN op IN ('M', '=', 'X') THEN r - take WHEN op IN ('D', 'N') THEN greatest(0, r - m) ELSE r END AS r2
+            FROM (SELECT *, least(m, r) AS take, here + CASE WHEN phase = 0 AND op IN ('M', '=', 'X', 'D', 'N') THEN n - m ELSE 0 END AS here2, q + CASE WHEN phase = 0 AND op IN ('M', '=', 'X', 'I', 'S') THEN n - m ELSE 0 END AS q2, op = 'S' OR kin = kind AND op NOT IN ('M', '=', 'X') AS goes
+                FROM (SELECT w.*, ops[k].n AS n, ops[k].op AS op, CASE ops[k].op WHEN 'N' THEN 'D' WHEN 'P' THEN 'H' ELSE ops[k].op END AS kin,
+                    CASE WHEN here >= pos THEN ops[k].n WHEN ops[k].op IN ('M', '=', 'X', 'D', 'N') THEN greatest(0, ops[k].n - (pos - here)) ELSE 0 END AS m FROM walk w WHERE k <= len(ops) AND phase < 2)))),
+    shown AS (SELECT var_id, rec_idx, arg_max(shown, k) AS allele FROM walk GROUP BY var_id, rec_idx HAVING arg_max(phase, k) > 0),
+    support AS (SELECT var_id, allele, count(*) AS n FROM shown GROUP BY var_id, allele) """
+_SUPPORT_SQL = cte("alignments", "items", "variants").replace("WITH ", "WITH RECURSIVE ", 1) + _READS + _SHOWN
+
+
+def _supporting(spark, d):
     return support.supporting_reads(view(spark, d, "variants"), _reads(spark, d), contig_prefix=True)
 
 
-_SUPPORT = """, support AS (SELECT v.var_id, CASE WHEN r.rec_idx % 3 = 0 THEN v.alt WHEN r.rec_idx % 7 = 0 THEN 'N' ELSE v.ref END AS allele, count(*) AS n
-    FROM variants v JOIN reads r ON r.chrom = v.chrom AND r.pos <= v.pos AND v.pos < r.e AND v.pos + v.ref_len < r.e GROUP BY 1, 2),
-    bias AS (SELECT var_id, CAST(sum(CASE WHEN allele = ref THEN n ELSE 0 END) AS BIGINT) AS ref_n, CAST(sum(CASE WHEN allele = alt AND alt <> ref THEN n ELSE 0 END) AS BIGINT) AS alt_n FROM support JOIN variants USING (var_id) GROUP BY var_id) """
+@query(_SUPPORT_SQL + "SELECT var_id, allele, n FROM support")
+def supporting_reads(spark, d):
+    return _supporting(spark, d)
+
+
+_BIAS = """, bias AS (SELECT var_id, CAST(sum(CASE WHEN allele = ref THEN n ELSE 0 END) AS BIGINT) AS ref_n, CAST(sum(CASE WHEN allele = alt AND alt <> ref THEN n ELSE 0 END) AS BIGINT) AS alt_n FROM support JOIN variants USING (var_id) GROUP BY var_id) """
 
 
 def _bias(spark, d):
-    variants = view(spark, d, "variants")
-    met = support.candidates(variants, _reads(spark, d), contig_prefix=True)
-    shown = F.when(F.col("r_idx") % 3 == 0, F.col("alt")).when(F.col("r_idx") % 7 == 0, "N").otherwise(F.col("ref"))
-    counts = met.groupBy("var_id", shown.alias("allele")).agg(F.count(F.lit(1)).alias("n"))
-    return support.reference_bias(variants, counts, 2)
+    return support.reference_bias(view(spark, d, "variants"), _supporting(spark, d), 2)
 
 
-@query(cte("alignments", "items", "variants") + _READS + _SUPPORT + "SELECT var_id, ref_n, alt_n, ref_n / (ref_n + alt_n) AS ratio FROM bias WHERE ref_n + alt_n >= 2")
+@query(_SUPPORT_SQL + _BIAS + "SELECT var_id, ref_n, alt_n, ref_n / (ref_n + alt_n) AS ratio FROM bias WHERE ref_n + alt_n >= 2")
 def reference_bias(spark, d):
     return _bias(spark, d)
 
 
-@query(cte("alignments", "items", "variants") + _READS + _SUPPORT + "SELECT CAST(sum(ref_n) AS BIGINT) AS ref_n, CAST(sum(alt_n) AS BIGINT) AS alt_n, sum(ref_n) / (sum(ref_n) + sum(alt_n)) AS ratio FROM bias WHERE ref_n + alt_n >= 2")
+@query(_SUPPORT_SQL + _BIAS + "SELECT CAST(sum(ref_n) AS BIGINT) AS ref_n, CAST(sum(alt_n) AS BIGINT) AS alt_n, sum(ref_n) / (sum(ref_n) + sum(alt_n)) AS ratio FROM bias WHERE ref_n + alt_n >= 2")
 def overall_bias(spark, d):
     return support.overall_bias(_bias(spark, d))
 
@@ -548,7 +584,7 @@ def overall_bias(spark, d):
 @query(
     cte("alignments", "items", "variants")
     + _READS
-    + """, why AS (SELECT CASE WHEN chrom <> 'chr1' THEN 'chromosome mismatches' WHEN zygosity <> 1 THEN 'zygosity mismatches' WHEN EXISTS (SELECT 1 FROM reads r WHERE r.chrom = v.chrom AND r.pos <= v.pos AND v.pos < r.e AND v.pos + v.ref_len < r.e) THEN 'counted' ELSE 'zero coverage' END AS metric FROM variants v)
+    + """, why AS (SELECT CASE WHEN chrom <> 'chr1' THEN 'chromosome mismatches' WHEN zygosity <> 1 THEN 'zygosity mismatches' WHEN EXISTS (SELECT 1 FROM reads r WHERE r.chrom = v.chrom AND r.pos <= v.pos AND v.pos < r.e AND v.pos + v.ref_len < r.anchor) THEN 'counted' ELSE 'zero coverage' END AS metric FROM variants v)
     SELECT metric, count(*) AS n FROM why GROUP BY metric UNION ALL SELECT 'total variants', count(*) FROM variants UNION ALL SELECT 'reads processed', count(*) FROM alignments UNION ALL SELECT 'flags not matched', count(*) FROM alignments WHERE (flag & 3588) <> 0"""
 )
 def support_metrics(spark, d):

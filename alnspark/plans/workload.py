@@ -18,7 +18,7 @@ def _i(x: str) -> str:
 
 
 def _rname(e: str) -> str:
-    return f"concat('chr', CAST(({_i(f'({e})/4')} * 3 + {_i(f'({e})/2')}) % 5 AS STRING), '/s', CAST(({_i(f'({e})/2')} * 7) % 5 AS STRING))"
+    return f"concat('chr', CAST(({_i(f'({e})/4')} + {_i(f'({e})/2')}) % 5 AS STRING), '/s', CAST(({_i(f'({e})/2')} * 7) % 5 AS STRING))"
 
 
 def _pos(e: str) -> str:
@@ -28,6 +28,16 @@ def _pos(e: str) -> str:
 _MATE = "(event_id + 1 - 2 * (event_id % 2))"
 _LENGTHS = {"s": "1 + event_id % 4", "m1": "20 + event_id % 17", "i": "1 + event_id % 3", "m2": "10 + event_id % 7", "d": "1 + event_id % 5", "m3": "5 + event_id % 6"}
 _TEXT = {k: f"CAST({v} AS STRING)" for k, v in _LENGTHS.items()}
+#: CIGARs with every operation; what they take of the read and the reference is the same.
+_SHAPES = {1: "3:H s:S m1:M i:I m2:M d:D m3:M", 2: "s:S m1:= i:I m2:X d:N m3:M", 3: "s:S m1:M 2:P i:I m2:M d:D m3:M 1:P", 4: "m1:M i:I m2:M d:D m3:M s:S 1:H", 5: "m1:M i:I m2:M d:D m3:M 2:N s:S"}
+#: Some reads have no mates, some have them only for a part of their records.
+_PAIRED = f"{_i('event_id/4')} % 43 <> 0 AND event_id % 101 <> 0"
+
+
+def _shape(items: str) -> str:
+    return "concat(" + ", ".join(f"{_TEXT.get(n, repr(n))}, '{op}'" for n, op in (x.split(":") for x in items.split())) + ")"
+
+
 _QUERY = "CAST(" + " + ".join(f"({_LENGTHS[k]})" for k in ("s", "m1", "i", "m2", "m3")) + " AS INT)"
 
 ALIGNMENTS = f"""
@@ -36,12 +46,12 @@ SELECT event_id AS rec_idx, concat('r', CAST({_i("event_id/4")} AS STRING)) AS q
         + CASE WHEN event_id % 37 = 0 THEN 1024 ELSE 0 END + CASE WHEN event_id % 41 = 0 THEN 2048 ELSE 0 END AS INT) AS flag,
     {_rname("event_id")} AS rname, {_pos("event_id")} AS pos,
     CAST(CASE WHEN event_id % 11 = 0 THEN 255 ELSE (event_id * 13) % 43 END AS INT) AS mapq,
-    concat({_TEXT["s"]}, 'S', {_TEXT["m1"]}, 'M', {_TEXT["i"]}, 'I', {_TEXT["m2"]}, 'M', {_TEXT["d"]}, 'D', {_TEXT["m3"]}, 'M') AS cigar_text,
-    CASE WHEN {_i("event_id/4")} % 43 <> 0 THEN {_rname(_MATE)} END AS rnext,
-    CASE WHEN {_i("event_id/4")} % 43 <> 0 THEN {_pos(_MATE)} END AS pnext,
+    CASE event_id % 7 {" ".join(f"WHEN {k} THEN {_shape(v)}" for k, v in _SHAPES.items())} ELSE {_shape("s:S m1:M i:I m2:M d:D m3:M")} END AS cigar_text,
+    CASE WHEN {_PAIRED} THEN {_rname(_MATE)} END AS rnext,
+    CASE WHEN {_PAIRED} THEN {_pos(_MATE)} END AS pnext,
     substr(repeat('ACGTTGCANGTCA', 10), CAST(1 + event_id % 13 AS INT), {_QUERY}) AS seq,
     substr(repeat('I5?A+7', 20), CAST(1 + event_id % 6 AS INT), {_QUERY}) AS qual,
-    CAST({_QUERY} AS BIGINT) AS seq_length, CAST(-(event_id % 31) AS INT) AS as_score
+    CAST({_QUERY} AS BIGINT) AS seq_length, CASE WHEN event_id % 47 <> 0 THEN CAST(-(event_id % 31) AS INT) END AS as_score
 FROM events"""
 
 REFS = """

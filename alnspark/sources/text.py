@@ -91,8 +91,8 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, description, seq): records are cut at ``>``, so one is read by one task and many are spread."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    """(name, description, seq): records are cut where a line begins with ``>``, so one is read by one task and many are spread; a header may hold others."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.length(F.regexp_replace("value", "\\s", "")) > 0)
     head = F.regexp_extract("value", "^([^\n\r]*)", 1)
     body = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), "\\s", "")
     return records.select(F.regexp_extract(head, "^(\\S*)", 1).alias("name"), F.regexp_extract(head, "^\\S*\\s*(.*)$", 1).alias("description"), body.alias("seq"))

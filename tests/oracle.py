@@ -58,6 +58,8 @@ def compare(spark: SparkSession, query, sql: str, sf_dir: str) -> str:
     other = rows(names, got.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
+    if not mine:
+        return "no rows, so nothing is compared"
     if mine != other:
         odd = next((a, b) for a, b in zip(mine + [None], other + [None], strict=False) if a != b) if mine and other else (mine[:1], other[:1])
         return f"{len(mine)} and {len(other)} rows; first differing: {odd}"

@@ -93,12 +93,33 @@ def test_sequence_match(spark):
     assert got[0] == "1S2=1X1=1I2X2D1=" and got[1] == [2, 4, 5]
 
 
-@pytest.mark.parametrize(("cigar", "seq", "ref", "alt", "want"), [("10M", "ACGTACGTAC", 1, 1, "T"), ("4M2I4M", "ACGTGGACGT", 1, 3, "TGG"), ("10M", "ACGTACGTAC", 1, 3, "T"), ("4M2D4M", "ACGTGTAC", 3, 1, "T"), ("4M3D4M", "ACGTTACG", 3, 1, "T~"), ("3M2S", "ACGTT", 1, 1, None)])
-def test_read_allele(cigar, seq, ref, alt, want):
-    import re
+#: Worked by hand: CIGAR, read, lengths of the alleles, what the read shows at position 3 without and with clipped bases.
+ALLELES = [
+    ("10M", "ACGTACGTAC", 1, 1, "T", "T"),
+    ("4M2I4M", "ACGTGGACGT", 1, 3, "TGG", "TGG"),
+    ("10M", "ACGTACGTAC", 1, 3, "T", "T"),
+    ("4M2D4M", "ACGTGTAC", 3, 1, "T", "T"),
+    ("4M3D4M", "ACGTTACG", 3, 1, "T~", "T~"),
+    ("4M1D2N4M", "ACGTTACG", 2, 1, "T~", "T~"),
+    ("4M2I1P1I4M", "ACGTGGCACGT", 1, 3, "TGG", "TGG"),
+    ("2=1X1=2I4X", "ACGTGGACGT", 1, 3, "TGG", "TGG"),
+    ("2M9H2M2P2I4M", "ACGTGGACGT", 1, 3, "TGG", "TGG"),
+    ("3M2I4M", "ACGggTACG", 1, 1, "ggT", "ggT"),
+    ("3M1I4M", "ACGgTACG", 1, 2, "gT", "gT"),
+    ("4M2S", "ACGTCC", 1, 3, "T", "Tcc"),
+    ("4M2S1H", "ACGTCC", 1, 1, "T", "Tcc"),
+    ("3M2S", "ACGTT", 1, 1, None, None),
+    ("2S4M", "TTACGT", 1, 1, "T", "T"),
+    ("*", "ACGT", 1, 1, None, None),
+]
+
 
-    ops = [(int(n), op) for n, op in re.findall(r"(\d+)(.)", cigar)]
-    assert support.read_allele(ops, seq, 0, 3, ref, alt, False) == want
+def test_read_allele(spark):
+    schema = "var_id int, t string, r_seq string, ref_len long, alt_len long, want string, clipped string"
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(ALLELES)], schema).withColumns({"r_cigar": C.parse(F.col("t")), "r_pos": F.lit(0), "pos": F.lit(3)})
+    for clip, want in ((False, 4), (True, 5)):
+        got = {r.var_id: r.allele for r in support.shown_alleles(df.coalesce(1), clip).collect()}
+        assert got == {k: x[want] for k, x in enumerate(ALLELES) if x[want] is not None}
 
 
 def test_mapq(spark):

@@ -149,3 +149,9 @@ def test_streams(spark, tmp_path):
     assert run(streaming.running_contig_counts(stream), "complete", "contigs").first().n == 20
     assert run(streaming.first_of_each_read(stream), "append", "firsts").count() == 10
     assert run(streaming.windowed_coverage_starts(stream, late="1 minute"), "append", "starts").agg(F.sum("n")).first()[0] >= 15
+
+
+def test_fasta_headers_may_hold_more_signs(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">s1 a->b text >c\nAC\nGT\n>s2\n>s3\td>\r\nTT\r\n")
+    got = sorted(map(tuple, text.read_fasta(spark, str(tmp_path / "x.fa")).collect()))
+    assert got == [("s1", "a->b text >c", "ACGT"), ("s2", "", ""), ("s3", "d>", "TT")]
