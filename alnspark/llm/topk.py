@@ -1,7 +1,7 @@
 """Operator 7: exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
-Vectors are integers (floor of a multiple).  The index is a table of blocks of vectors; in a block every dimension's postings
-are cut to segments by quantised impact, the binary magnitude of the component.  For a block of queries the segments are
+Vectors are integers (floor of a multiple).  The index is a table of blocks of vectors; in a block the components are cut to
+segments by quantised impact, their binary magnitude, as dense masks rather than lists, for the vectors are dense.  For a block of queries the segments are
 processed by descending impact, all those of one magnitude at a time: after each, a query has accumulated the large part of
 every score, and what the segments to come can still add is bounded by the norms of the rest.  The k best so far are scored exactly, which
 gives a threshold; a query stops only when few enough vectors can still reach it, and these are rescored
