@@ -451,6 +451,34 @@ def test_top_k_against_sql(spark):
     assert compare(spark, QUERIES["op7_topk"], ORACLES["op7_topk"], SMALL) == ""
 
 
+def test_top_k_kernel_against_brute_force():
+    """Blocks of posting lists one after the other, thresholds carried along; skewed, tied, zero, few and very large components."""
+    r = np.random.default_rng(3)
+    cases = [np.floor(r.standard_cauchy((700, 16)) * 2).astype(np.int64), r.integers(0, 2, (700, 4)), np.zeros((300, 4), np.int64), r.integers(-3, 3, (5, 4)), r.integers(-(2**26), 2**26, (300, 8)), r.integers(-(2**62), 2**62, (300, 3)) * 2]
+    for v in cases:
+        ids, asked = np.arange(len(v)), np.arange(0, len(v), 20)
+        best, got = np.full((len(asked), 7), -np.inf), {int(i): [] for i in asked}
+        for a in range(0, len(v), 200):
+            block = topk.Block(ids[a : a + 200], v.shape[1], topk.impact_segments(v[a : a + 200]))
+            assert (block.v == v[a : a + 200]).all()
+            for row, vec, score in zip(*topk.search_block(v[asked], asked, block, 7, best, few=2), strict=True):
+                got[int(asked[row])].append((-int(score), int(block.ids[vec])))
+        whole = v[asked].astype(object) @ v.astype(object).T
+        for k, i in enumerate(asked):
+            assert sorted(got[int(i)])[:7] == sorted((-min(max(int(s), topk.LEAST), topk.MOST), int(j)) for s, j in zip(whole[k], ids, strict=True) if j != i)[:7]
+
+
+def test_top_k_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "ROUND_BYTES", 1)
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in r.normal(size=3)]) for k in range(90)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), k=4, block=16).collect()
+    v = np.floor(64 * np.array([x for _, x in rows])).astype(int)
+    want = [(q, n + 1, i, -s) for q in range(0, 90, 20) for n, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in range(90) if i != q)[:4])]
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == want
+
+
 def test_top_k_edges(spark):
     r = np.random.default_rng(4)
     rows = [(k, [float(x) for x in r.normal(size=4)], 0) for k in range(60)]
