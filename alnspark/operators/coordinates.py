@@ -92,6 +92,21 @@ def check_sequences(df: DataFrame, blocks: DataFrame, chr_: str = "chr", seq: st
     return df.select(chr_, seq).distinct().join(known, [chr_, seq], "left_anti")
 
 
+def missing_sequences(named: list[tuple[DataFrame, str, str]], blocks: DataFrame, like: DataFrame) -> DataFrame:
+    """No rows, with the columns of ``like``; running it fails if the index lacks a (chromosome, sequence) of ``named`` (table and its two columns).
+
+    A union with it makes a join on the index fail where it would drop rows.
+    """
+    every = None
+    for df, chr_, seq in named:
+        one = df.select(F.col(chr_).alias("chr"), F.col(seq).alias("seq_id")).where("chr IS NOT NULL").distinct()
+        every = one if every is None else every.unionByName(one)
+    lacks = F.concat(F.lit("the index lacks sequence "), F.coalesce("seq_id", F.lit("null")), F.lit(" of "), "chr")
+    found = check_sequences(every, blocks).agg(F.min(lacks).alias("lacks"))  # a filter would move below the anti-join
+    failed = F.when(F.col("lacks").isNotNull(), F.raise_error(F.col("lacks")))
+    return found.where(failed.isNotNull()).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
 def lift_regions(regions: DataFrame, blocks: DataFrame, src: str, dst: str, dst_chr: str | None = None) -> DataFrame:
     """Regions (chr, lb, rb) of sequence ``src`` on ``dst``: (chr, lb, rb).  An end at the source's length becomes the target's length."""
     two = regions.withColumn("region", F.monotonically_increasing_id())

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions.text import chr_of, seq_of
-from .coordinates import project_positions, sequence_position
+from .coordinates import missing_sequences, project_positions, sequence_position
 from .filters import REVERSE, projectable
 from .overlap import BIN
 
@@ -260,17 +260,22 @@ def project_mates(df: DataFrame, blocks: DataFrame, target: str, separator: str
 
 def project_alignments(df: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, separator: str = "/", **how) -> DataFrame:
     """Alignments on the target: new rname, pos, cigar, rnext, pnext, the original places (o_rname, o_pos, o_rnext, o_pnext), oa, and the ranges
-    aligned anew as flat arrays (xb on the read, yb on the target).  Rows that projectable() drops are left out."""
+    aligned anew as flat arrays (xb on the read, yb on the target).  Rows that projectable() drops are left out; it is an
+    error if the index lacks a chromosome and sequence that a read or its mate lies on, or the target on that chromosome."""
     df = projectable(df).withColumn("chr", chr_of(F.col("rname"), separator)).withColumn("seq_id", seq_of(F.col("rname"), separator))
     done = project_cigars(df, blocks, reference, target, **how)
     met = project_mates(df, blocks, target, separator).join(done, "rec_idx")
     nm = F.regexp_extract(F.try_element_at("tags", F.lit("NM")), ":(.*)$", 1) if "tags" in df.columns else F.lit(None)
     before = F.regexp_extract(F.try_element_at("tags", F.lit("OA")), ":(.*)$", 1) if "tags" in df.columns else F.lit(None)
     oa = original_alignment(F.col("rname"), F.col("pos"), F.col("flag"), F.col("cigar"), F.col("mapq"), nm, before)
-    return met.select(
+    out = met.select(
         "rec_idx", "qname", "flag", F.col("chr").alias("rname"), F.col("dst_pos").alias("pos"), "mapq", F.col("dst_cigar").alias("cigar"), F.col("mate_chr").alias("rnext"), F.col("mate_pos").alias("pnext"), "seq", "qual",
         F.col("rname").alias("o_rname"), F.col("pos").alias("o_pos"), F.col("rnext").alias("o_rnext"), F.col("pnext").alias("o_pnext"), oa.alias("oa"), flat_ranges(F.col("query_ranges")).alias("xb"), flat_ranges(F.col("ref_ranges")).alias("yb"),
     )
+    has = F.col("rnext").isNotNull() & F.col("pnext").isNotNull()
+    mates = df.select(F.when(has, chr_of(F.col("rnext"), separator)).alias("chr"), F.when(has, seq_of(F.col("rnext"), separator)).alias("seq_id"))
+    on = df.select("chr", "seq_id", F.lit(target).alias("target"))
+    return out.unionByName(missing_sequences([(on, "chr", "seq_id"), (on, "chr", "target"), (mates, "chr", "seq_id")], blocks, out))
 
 
 #: Default names of the tags that keep where an alignment came from.

@@ -1,28 +1,35 @@
-"""BAM: a Python data source that reads records, and a writer of one file a partition.
-
-A BGZF block is a gzip member; a task reads one file as a stream of members.
-"""
+"""BAM: a Python data source that reads records, a file split where its index says that records begin, and writes a file a partition."""
 
 from __future__ import annotations
 
-import gzip
 import io
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schema import ALIGNMENTS
+from .bgzf import BlockStream, content, exists, located
 
 #: Fixed values of the format.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 FIXED = struct.Struct("<iiBBHHHiiii")
 SCALARS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
+#: The bin of an index that holds counts rather than chunks.
+COUNTS_BIN = 37450
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
+#: Bytes of a block before compression; qualities as letters.
+BLOCK_BYTES = 60_000
+SHIFT = bytes((b + 33) & 255 for b in range(256))
+
 
 def read_tags(data: bytes) -> dict[str, str]:
     """Tags as "type:value"; integers of all widths are i."""
@@ -79,42 +86,140 @@ def read_header(stream) -> tuple[str, list[tuple[str, int]]]:
     return text, refs
 
 
-def read_records(stream, refs: list[tuple[str, int]]) -> Iterator[tuple]:
+def read_records(stream: BlockStream, refs: list[tuple[str, int]], names: list[str], stop: int | None = None) -> Iterator[tuple]:
+    """The named columns of the records before virtual offset ``stop``; others aren't decoded.  rec_idx is a record's virtual offset."""
     name_of = lambda k: refs[k][0] if k >= 0 else None
-    place = 0
-    while head := stream.read(4):
+    place = lambda k: k if k >= 0 else None
+    while (at := stream.tell()) < (1 << 63 if stop is None else stop) and (head := stream.read(4)):
         data = stream.read(struct.unpack("<i", head)[0])
         ref, pos, n_name, q, _, n_ops, flag, n_seq, mate, mate_pos, tlen = FIXED.unpack_from(data)
-        at = FIXED.size
-        name = data[at : at + n_name - 1].decode()
-        at += n_name
-        ops = [(x >> 4, OPS[x & 15]) for x in struct.unpack_from(f"<{n_ops}I", data, at)]
-        at += 4 * n_ops
-        packed = data[at : at + (n_seq + 1) // 2]
-        at += len(packed)
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
-        raw = data[at : at + n_seq]
-        at += n_seq
-        qual = None if not n_seq or raw[0] == 255 else bytes(b + 33 for b in raw).decode()
-        yield (place, None if name == "*" else name, flag, name_of(ref), pos if pos >= 0 else None, q, [Row(n=n, op=o) for n, o in ops], name_of(mate), mate_pos if mate_pos >= 0 else None, tlen, seq or None, qual, read_tags(data[at:]))
-        place += 1
+        ops_at = FIXED.size + n_name
+        seq_at = ops_at + 4 * n_ops
+        qual_at = seq_at + (n_seq + 1) // 2
+        got = {"rec_idx": at, "flag": flag, "rname": name_of(ref), "pos": place(pos), "mapq": q, "rnext": name_of(mate), "pnext": place(mate_pos), "tlen": tlen}
+        if "qname" in names:
+            name = data[FIXED.size : ops_at - 1].decode()
+            got["qname"] = None if name == "*" else name
+        if "cigar" in names:
+            got["cigar"] = [Row(n=x >> 4, op=OPS[x & 15]) for x in struct.unpack_from(f"<{n_ops}I", data, ops_at)]
+        if "seq" in names:
+            got["seq"] = "".join(BASES[b >> 4] + BASES[b & 15] for b in data[seq_at:qual_at])[:n_seq] or None
+        if "qual" in names:
+            raw = data[qual_at : qual_at + n_seq]
+            got["qual"] = None if not n_seq or raw[0] == 255 else raw.translate(SHIFT).decode()
+        if "tags" in names:
+            got["tags"] = read_tags(data[qual_at + n_seq :])
+        yield tuple(got[n] for n in names)
+
+
+def record_starts(bai: bytes) -> list[int]:
+    """Virtual offsets at which a record begins, from a .bai: the starts of its chunks."""
+    if bai[:4] != b"BAI\1":
+        raise ValueError("not a BAM index")
+    out, at = set(), 8
+    for _ in range(struct.unpack_from("<i", bai, 4)[0]):
+        bins = struct.unpack_from("<i", bai, at)[0]
+        at += 4
+        for _ in range(bins):
+            bin_, n = struct.unpack_from("<Ii", bai, at)
+            at += 8
+            if bin_ != COUNTS_BIN:
+                out.update(struct.unpack_from("<Q", bai, at + 16 * k)[0] for k in range(n))
+            at += 16 * n
+        at += 4 + 8 * struct.unpack_from("<i", bai, at)[0]
+    return sorted(out)
+
+
+@dataclass
+class Span(InputPartition):
+    """Records of a file from one virtual offset to another, each open where None."""
+
+    path: str
+    start: int | None
+    stop: int | None
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = options["path"].split(",")
+    def __init__(self, options: dict, names: list[str]):
+        self.paths, self.names, self.split = options["path"].split(","), names, int(options.get("splitBytes", 64 << 20))
+
+    def files(self) -> Iterator[str]:
+        for path in self.paths:
+            fs, at = located(path)
+            if fs.get_file_info(at).type == pafs.FileType.Directory:
+                found = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.endswith(".bam"))
+                yield from (f"{path.rstrip('/')}/{name}" for name in found)
+            else:
+                yield path
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with gzip.open(partition.value) as stream:
+        out = []
+        for path in self.files():
+            cuts: list[int] = []
+            if exists(path + ".bai"):
+                for start in record_starts(content(path + ".bai")):
+                    if (start >> 16) - ((cuts[-1] if cuts else 0) >> 16) >= self.split:
+                        cuts.append(start)
+            out += [Span(path, a, b) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+        return out
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        fs, at = located(partition.path)
+        with fs.open_input_file(at) as file:
+            stream = BlockStream(file)
             _, refs = read_header(stream)
-            yield from read_records(stream, refs)
+            if partition.start is not None:
+                stream = BlockStream(file, partition.start >> 16, partition.start & 0xFFFF)
+            yield from read_records(stream, refs, self.names, partition.stop)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    name: str
+
+
+class BamWriter(DataSourceWriter):
+    """One file a partition, each with the header; files appear under their names when all are written."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.header, self.overwrite = options["path"].rstrip("/"), options.get("header", ""), overwrite
+        self.staged = f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05}-{task.taskAttemptId()}-{self.staged[-8:]}.bam"
+        fs, at = located(self.path)
+        fs.create_dir(f"{at}/{self.staged}", recursive=True)
+        refs = header_references(self.header)
+        with fs.open_output_stream(f"{at}/{self.staged}/{name}", compression=None) as out:
+            for block in bam_blocks(iterator, refs, self.header):
+                out.write(block)
+        return Written(name)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, at = located(self.path)
+        fs.create_dir(at, recursive=True)
+        if self.overwrite:
+            for f in fs.get_file_info(pafs.FileSelector(at)):
+                if f.base_name.endswith(".bam"):
+                    fs.delete_file(f.path)
+        for m in messages:
+            if m is not None:
+                fs.move(f"{at}/{self.staged}/{m.name}", f"{at}/{m.name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, at = located(self.path)
+        if fs.get_file_info(f"{at}/{self.staged}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{at}/{self.staged}")
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam").load(path)``; several files as a comma-separated list of paths that executors can open."""
+    """``spark.read.format("bam").load(path)``: files, folders of them, or a comma-separated list, on file systems that executors open.
+
+    A file with its .bai beside it is split at record starts at least ``splitBytes`` apart, others are one task each.  With
+    ``.schema(...)`` only those columns of ALIGNMENTS are decoded.  ``df.write.format("bam").option("header", text).mode("append").save(path)`` writes.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -124,18 +229,22 @@ class BamSource(DataSource):
         return ALIGNMENTS
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
+        return BamReader(self.options, schema.fieldNames())
+
+    def writer(self, schema, overwrite: bool) -> BamWriter:
+        return BamWriter(self.options, overwrite)
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files that Spark's file systems reach: a file is a row of bytes up to 2 GB; use the ``bam`` format for larger ones on a mounted store."""
+    """Alignments of BAM files that only Spark's file systems reach: a file is a row of bytes up to 2 GB; the ``bam`` format has no such bound."""
     files = spark.read.format("binaryFile").load(path).select("content")
+    names = ALIGNMENTS.fieldNames()
 
     def run(rows):
         for row in rows:
-            stream = gzip.open(io.BytesIO(row["content"]))
+            stream = BlockStream(io.BytesIO(row["content"]))
             _, refs = read_header(stream)
-            yield from read_records(stream, refs)
+            yield from read_records(stream, refs, names)
 
     return spark.createDataFrame(files.rdd.mapPartitions(run), ALIGNMENTS)
 
@@ -162,20 +271,35 @@ def bgzf_block(data: bytes) -> bytes:
     return struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def bam_files(df: DataFrame, refs: list[tuple[str, int]], header: str) -> DataFrame:
-    """(part, content): each partition's alignments as a whole BAM file, for a writer of the target store."""
+def header_references(header: str) -> list[tuple[str, int]]:
+    """(name, length) of the @SQ lines."""
+    lines = [dict(f.split(":", 1) for f in line.split("\t")[1:] if ":" in f) for line in header.splitlines() if line.startswith("@SQ\t")]
+    return [(f["SN"], int(f.get("LN", 0))) for f in lines]
+
+
+def bam_blocks(rows: Iterator[Row], refs: list[tuple[str, int]], header: str) -> Iterator[bytes]:
+    """The blocks of a BAM file, each made as soon as it is full."""
     index = {name: k for k, (name, _) in enumerate(refs)}
-    head = b"BAM\1" + struct.pack("<i", len(header)) + header.encode() + struct.pack("<i", len(refs))
-    head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in refs)
+    text = header.encode()
+    block = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)))
+    for n, length in refs:
+        block += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length)
+    for row in rows:
+        block += bam_record(row, index)
+        if len(block) >= BLOCK_BYTES:
+            full = len(block) // BLOCK_BYTES * BLOCK_BYTES
+            yield from (bgzf_block(bytes(block[k : k + BLOCK_BYTES])) for k in range(0, full, BLOCK_BYTES))
+            del block[:full]
+    for k in range(0, len(block), BLOCK_BYTES):
+        yield bgzf_block(bytes(block[k : k + BLOCK_BYTES]))
+    yield END_BLOCK
+
+
+def bam_files(df: DataFrame, refs: list[tuple[str, int]], header: str) -> DataFrame:
+    """(part, content): each partition's alignments as a whole BAM file in one value; for files of any size use the ``bam`` format."""
 
     def run(part, rows):
-        out, block = [], head
-        for row in rows:
-            block += bam_record(row, index)
-            while len(block) >= 60_000:
-                out.append(bgzf_block(block[:60_000]))
-                block = block[60_000:]
-        yield part, b"".join([*out, bgzf_block(block), END_BLOCK])
+        yield part, b"".join(bam_blocks(rows, refs, header))
 
     names = [f.name for f in ALIGNMENTS]
     return df.sparkSession.createDataFrame(df.select(*names).rdd.mapPartitionsWithIndex(run), "part int, content binary").orderBy(F.col("part"))

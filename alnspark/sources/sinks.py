@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions.text import ungapped
+from ..schema import ALIGNMENTS
 
 
 def wrapped(seq: Column, width: int) -> Column:
@@ -45,6 +49,27 @@ def header_lines(refs: DataFrame, programs: DataFrame | None = None, order: str
     return out.orderBy("part", "k").select("value")
 
 
+def write_sam(df: DataFrame, refs: DataFrame, path: str, programs: DataFrame | None = None, order: str = "unsorted") -> None:
+    """Alignments as SAM files, one a partition, each with the whole header; a header has a line a reference and program."""
+    head = "\n".join(r["value"] for r in header_lines(refs, programs, order).collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+    sam_lines(df).mapInArrow(run, "value string").write.text(path)
+
+
+def write_bam(df: DataFrame, refs: DataFrame, path: str, programs: DataFrame | None = None, order: str = "unsorted") -> None:
+    """Alignments as BAM files, one a partition, each with the whole header."""
+    from .bam import BamSource
+
+    head = "".join(r["value"] + "\n" for r in header_lines(refs, programs, order).collect())
+    df.sparkSession.dataSource.register(BamSource)
+    df.select(*ALIGNMENTS.fieldNames()).write.format("bam").option("header", head).mode("append").save(path)
+
+
 def write_split(df: DataFrame, path: str) -> None:
     """Alignments with a target, one folder of Parquet for each."""
     df.where("target IS NOT NULL").write.partitionBy("target").parquet(path)

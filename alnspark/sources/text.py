@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..schema import ALIGNMENTS, REGIONS
+from .bgzf import indexed, read_indexed_fasta
 
 GZI_ENTRY = "<QQ"
 
@@ -157,7 +158,14 @@ def read_gzi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reference(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """(name, seq) of FASTA, plain or compressed, for all or the named sequences."""
+    """(name, seq) of FASTA, plain or compressed, for all or the named sequences.
+
+    Named sequences of a bgzip file with .fai and .gzi beside it, on a store that executors open, are read by seeking; a
+    name that the index lacks is an error then.
+    """
+    if names is not None and path.endswith((".gz", ".bgz")) and indexed(path):
+        pieces = read_indexed_fasta(spark, path, names).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("p"))  # a sequence is a row here in any case
+        return pieces.select("name", F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("seq"))
     df = read_fasta(spark, path).select("name", "seq")
     return df if names is None else df.where(F.col("name").isin(*names))
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from alnspark.functions import cigar as C
 from alnspark.functions import text as T
-from alnspark.operators import coordinates, headers, stats, subset, support
-from alnspark.sources import bam, sinks, text
+from alnspark.operators import coordinates, headers, project, stats, subset, support
+from alnspark.sources import bam, bgzf, sinks, text
 from alnspark.streaming import alignments as streaming
 
 SAM = """@HD\tVN:1.6
@@ -61,6 +61,98 @@ def test_bam_round_trip(spark, sam, tmp_path):
         assert [tuple(r)[1:] for r in back.orderBy("rec_idx").collect()] == want
 
 
+def test_bam_is_split_where_its_index_says(spark, tmp_path):
+    """Blocks of 300 bytes, so that records and even their lengths lie across blocks; the index is written by hand."""
+    rows = [(k, f"q{k}", 0, "c1/a", k, 30, "20M", None, None, 0, "ACGTT" * 4, "I" * 20, {"AS": f"i:{k}"}) for k in range(400)]
+    df = spark.createDataFrame(rows, "rec_idx long, qname string, flag int, rname string, pos int, mapq int, c string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>").withColumn("cigar", C.parse(F.col("c"))).drop("c")
+    df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in text.ALIGNMENTS])
+    some, size = df.collect(), bam.BLOCK_BYTES
+    bam.BLOCK_BYTES = 300
+    try:
+        whole = b"".join(bam.bam_blocks(iter(some), [("c1/a", 1000)], "@SQ\tSN:c1/a\tLN:1000\n"))
+    finally:
+        bam.BLOCK_BYTES = size
+    path = tmp_path / "b.bam"
+    path.write_bytes(whole)
+    spark.dataSource.register(bam.BamSource)
+    load = lambda: spark.read.format("bam").option("splitBytes", 2000).load(str(path))
+    one = load()
+    assert one.rdd.getNumPartitions() == 1
+    want = [tuple(r)[1:] for r in some]
+    begun = [r.rec_idx for r in one.orderBy("rec_idx").collect()]
+    assert [tuple(r)[1:] for r in one.orderBy("rec_idx").collect()] == want
+    chunks = begun[::7]
+    index = b"BAI\1" + struct.pack("<ii", 1, 2) + struct.pack("<Ii", 4681, len(chunks)) + b"".join(struct.pack("<QQ", c, c + 1) for c in chunks)
+    index += struct.pack("<Ii4Q", bam.COUNTS_BIN, 2, 5, 6, 7, 8) + struct.pack("<iQ", 1, chunks[0]) + struct.pack("<Q", 0)
+    (tmp_path / "b.bam.bai").write_bytes(index)
+    many = load()
+    assert many.rdd.getNumPartitions() > 3
+    assert [tuple(r)[1:] for r in many.orderBy("rec_idx").collect()] == want and [r.rec_idx for r in many.orderBy("rec_idx").collect()] == begun
+    narrow = spark.read.format("bam").schema("pos int, mapq int").load(str(path))
+    assert sorted(map(tuple, narrow.collect())) == [(k, 30) for k in range(400)]
+    path.write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(Exception, match="ends within|unpack|buffer"):
+        spark.read.format("bam").schema("pos int").load(str(path)).collect()
+
+
+def test_files_with_headers(spark, sam, tmp_path):
+    df = text.read_sam(spark, str(sam)).repartition(3, "pos")
+    refs, programs, *_ = text.read_sam_header(spark, str(sam))
+    want = sorted(str(tuple(r)[1:]) for r in df.collect())
+    sinks.write_sam(df, refs, str(tmp_path / "s"), programs)
+    assert sorted(str(tuple(r)[1:]) for r in text.read_sam(spark, str(tmp_path / "s")).collect()) == want
+    for part in (tmp_path / "s").glob("part-*"):
+        assert part.read_text().startswith("@HD\tVN:1.6\tSO:unsorted\n@SQ\tSN:c1/a\tLN:100\n@SQ\tSN:c2/a\tLN:50\n@PG\tID:x.3")
+    sinks.write_bam(df, refs, str(tmp_path / "b"), programs)
+    names = sorted(p.name for p in (tmp_path / "b").iterdir())
+    assert names and all(n.endswith(".bam") for n in names)
+    back = spark.read.format("bam").load(str(tmp_path / "b"))
+    assert sorted(str(tuple(r)[1:]) for r in back.collect()) == want
+    header, of = bam.read_header(bgzf.BlockStream((tmp_path / "b" / names[0]).open("rb")))
+    assert of == [("c1/a", 100), ("c2/a", 50)] and "@PG\tID:x.3" in header
+    assert gzip.decompress((tmp_path / "b" / names[0]).read_bytes())[:4] == b"BAM\1"
+    df.write.format("bam").option("header", header).mode("overwrite").save(str(tmp_path / "b"))
+    assert spark.read.format("bam").load(str(tmp_path / "b")).count() == 3
+
+
+def test_bgzip_fasta_by_its_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bgzf, "PIECE", 25)
+    seqs = {"a": "ACGTACGTTA" * 12 + "ACG", "b": "T" * 10, "e": "", "z": "GATTACA" * 30}
+    plain, fai = "", ""
+    for name, seq in seqs.items():
+        plain += f">{name} text\n"
+        fai += f"{name}\t{len(seq)}\t{len(plain)}\t10\t11\n"
+        plain += "".join(seq[k : k + 10] + "\n" for k in range(0, len(seq), 10))
+    blocks, starts = b"", []
+    for k in range(0, len(plain), 37):
+        starts.append((len(blocks), k))
+        blocks += bam.bgzf_block(plain[k : k + 37].encode())
+    path = tmp_path / "g.fa.gz"
+    path.write_bytes(blocks + bam.END_BLOCK)
+    (tmp_path / "g.fa.gz.fai").write_text(fai)
+    (tmp_path / "g.fa.gz.gzi").write_bytes(struct.pack("<Q", len(starts) - 1) + b"".join(struct.pack("<QQ", *s) for s in starts[1:]))
+    whole = {}
+    for r in bgzf.read_indexed_fasta(spark, str(path)).orderBy("name", "start").collect():
+        assert r.start == len(whole.get(r["name"], ""))
+        whole[r["name"]] = whole.get(r["name"], "") + r.seq
+    assert whole == seqs
+    assert {tuple(r) for r in text.read_reference(spark, str(path), ["z", "b"]).collect()} == {("z", seqs["z"]), ("b", seqs["b"])}
+    with pytest.raises(Exception, match="no sequence nowhere"):
+        text.read_reference(spark, str(path), ["nowhere"]).collect()
+    assert {tuple(r) for r in text.read_reference(spark, str(path)).collect()} == set(seqs.items())
+
+
+def test_sequences_that_the_index_lacks(spark):
+    aligned = spark.createDataFrame([("c", "s", "ACGTACGTAC"), ("c", "t", "ACGTACGTAC")], "chr string, seq_id string, seq string")
+    blocks, reference = coordinates.build_msa_index(aligned), spark.createDataFrame([("c", "ACGTACGTAC")], "name string, seq string")
+    columns = "rec_idx long, qname string, flag int, rname string, pos int, mapq int, c string, rnext string, pnext int, tlen int, seq string, qual string"
+    reads = lambda rname, rnext: spark.createDataFrame([(0, "q", 1, "c/s", 1, 9, "3M", None, None, 0, "CGT", None), (1, "r", 1, rname, 2, 9, "3M", rnext, 4, 0, "GTA", None)], columns).withColumn("cigar", C.parse(F.col("c"))).drop("c")
+    assert [(r.rname, r.pos) for r in project.project_alignments(reads("c/s", "c/s"), blocks, reference, "t").orderBy("rec_idx").collect()] == [("c", 1), ("c", 2)]
+    for rname, rnext, target, message in (("c/u", "c/s", "t", "sequence u of c"), ("c/s", "d/s", "t", "sequence s of d"), ("c/s", "c/s", "v", "sequence v of c")):
+        with pytest.raises(Exception, match=f"lacks {message}"):
+            project.project_alignments(reads(rname, rnext), blocks, reference, target).collect()
+
+
 def test_vcf_and_bed(spark, tmp_path):
     (tmp_path / "v.vcf").write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\nc\t11\tv1;v2\tAC\tA\t.\tPASS\tCO;DP=3\tGT:DP\t0|1:9\nc\t21\t.\tA\t<DEL>\t9\tPASS\tEND=25\tDP:GT\t1:./1\nd\t1\t.\tA\tT\t.\tPASS\t.\tGT\t1/1\n")
     (tmp_path / "r.bed").write_text("track x\nc\t11\t12\nc\t100\t200\nc\t24\t25\n")
