@@ -8,7 +8,7 @@
 3. Within a shard the documents stand in seeded order.  A quota of blocks is first spent on whole passes over the shard;
    the rest is a run of blocks from a seeded block on, around the end.
 
-Only sources and shards meet in a window of one task; a source has at most ``MAX_SHARDS`` of them, and documents
+Only sources and shards meet in a window of one task; a source has at most ``MAX_SHARDS`` of them with about four quotients each, and documents
 meet by shard.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialise
 
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -50,20 +50,22 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, max_epoc
 def apportion(df: DataFrame, part: list[str], key: list[Column], size: str, seats: str) -> DataFrame:
     """Sainte-Lague: adds ``quota``; the ``seats`` of each ``part`` go to the highest quotients size / (2 k + 1).
 
-    A row surely gets all but about one seat in a hundred of its proportional share, so only the quotients around it compete.
+    With m rows and e = m / (2 seats), a divisor of 1 + e times the proportional one deals at most the seats and one of
+    1 - e times at least those, as m roundings lose or win half a seat each; so a row gets between (1 - e) and (1 + e) times its share, rounded.  Only
+    the quotients between compete: about 4 a row however many seats there are.
     ``seats`` is a column that is equal within a part.  Ties go to the row first in ``key``.
     """
     group = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     fair = F.when(F.sum(size).over(group) > 0, F.col(size) / F.sum(size).over(group) * F.col(seats)).otherwise(F.lit(0.0))
-    slack = F.lit(2) + F.floor(F.col("fair") / 100)
-    df = df.withColumn("fair", fair).withColumn("sure", F.greatest(F.lit(0), F.floor("fair") - slack).cast("long"))
+    spare = F.when(F.col(seats) > 0, F.col("fair") * F.count(F.lit(1)).over(group) / (F.col(seats) * 2)).otherwise(F.lit(0.0))
+    df = df.withColumn("fair", fair).withColumn("spare", spare).withColumn("sure", F.greatest(F.lit(0), F.round(F.col("fair") - F.col("spare")) - 1).cast("long"))
     df = df.withColumn("open", F.col(seats) - F.sum("sure").over(group))
-    tries = F.explode(F.sequence(F.col("sure"), (F.floor("fair") + slack).cast("long")))
+    tries = F.explode(F.sequence(F.col("sure"), (F.round(F.col("fair") + F.col("spare")) + 1).cast("long")))
     bids = df.select(*[c for c in df.columns], tries.alias("k")).withColumn("quotient", F.col(size) / (2 * F.col("k") + 1))
     place = F.row_number().over(group.orderBy(F.col("quotient").desc(), *key, "k"))
     won = ((F.col("place") <= F.col("open")) & (F.col(size) > 0)).cast("long")
     bids = bids.withColumn("place", place)
-    keep = [c for c in df.columns if c not in ("fair", "sure", "open")]
+    keep = [c for c in df.columns if c not in ("fair", "spare", "sure", "open")]
     return bids.groupBy(*keep).agg((F.first("sure") + F.sum(won)).alias("quota"))
 
 

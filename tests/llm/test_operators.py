@@ -551,12 +551,59 @@ def test_mixing_stage_keeps_shares(spark):
     assert 0 < sum(long) < 0.3 * 2500 * len(long) and abs(sum(len(t.split()) == 2500 for *_, t in out) - sum(long) / 2500) < 2
 
 
+def lague(sizes, seats):
+    """Seats of each size by the highest quotients, ties to the first."""
+    bids = sorted((-s / (2 * n + 1), k, n) for k, s in enumerate(sizes) if s for n in range(seats))[:seats]
+    return [sum(b[1] == k for b in bids) for k in range(len(sizes))]
+
+
 def test_apportionment_is_sainte_lague(spark):
-    sizes = [53000, 24000, 23000, 7, 0, 11111]
-    df = spark.createDataFrame([(k, s, 100) for k, s in enumerate(sizes)], "key int, size long, seats long")
-    got = {r.key: r.quota for r in mixing.apportion(df, [], [F.col("key")], "size", "seats").collect()}
-    bids = sorted(((-s / (2 * n + 1), k) for k, s in enumerate(sizes) if s for n in range(100)))[:100]
-    assert got == {k: sum(b[1] == k for b in bids) for k in range(len(sizes))}
+    r = random.Random(2)
+    cases = [([53000, 24000, 23000, 7, 0, 11111], 100), ([1] * 9, 4), ([5, 5, 5, 1], 7), ([10**6] + [1] * 40, 500), ([0, 0], 3), ([3, 2], 0), ([r.randint(0, 999) for _ in range(60)], 200), ([int(1.5**k) for k in range(30)], 3000)]
+    rows = [(c, k, s, n) for c, (sizes, n) in enumerate(cases) for k, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "part int, key int, size long, seats long")
+    got = {(x.part, x.key): x.quota for x in mixing.apportion(df, ["part"], [F.col("key")], "size", "seats").collect()}
+    assert got == {(c, k): q for c, (sizes, n) in enumerate(cases) for k, q in enumerate(lague(sizes, n))}
+    many = spark.createDataFrame([(k, 1000 + k % 7, 10**8) for k in range(100)], "key int, size long, seats long")
+    done = mixing.apportion(many, [], [F.col("key")], "size", "seats")
+    assert done.agg(F.sum("quota")).first()[0] == 10**8 and all(abs(x.quota - x["size"] * 10**8 / sum(1000 + k % 7 for k in range(100))) <= 1 for x in done.collect())
+
+
+def test_mixing_against_brute_force(spark):
+    """taken of every row, by dealing the blocks of each shard one by one; ids are unique, sources hot, small, blank and null."""
+    import xxhash
+
+    def chained(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64(v.encode() if isinstance(v, str) else v, seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    number, wide = (lambda v: v.to_bytes(4, "little")), (lambda v: v.to_bytes(8, "little"))
+    r = random.Random(8)
+    rows = [(k, r.choice(["a", "a", "a", "b", "c", None]), "w " * r.choice([0, 1, 3, 40, 300])) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {x.doc_id: x for x in mixing.mix(df, shard_words=1000).collect()}
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s))
+    size = {k: len(t.split()) for k, _, t in rows}
+    target = [next(x.target for x in got.values() if x.source == s) for s in names]
+    seats = lague(target, round(sum(target) / 16))
+    for s, n in zip(names, seats, strict=True):
+        mine = [k for k, o, _ in rows if o == s]
+        shards = min(mixing.MAX_SHARDS, max(1, -(-sum(size[k] for k in mine) // 1000)))
+        of = {k: chained(number(7), wide(k)) % shards for k in mine}
+        used = sorted(set(of.values()))
+        quota = dict(zip(used, lague([sum(size[k] for k in mine if of[k] == h) for h in used], n), strict=True))
+        for h in used:
+            order = sorted((k for k in mine if of[k] == h), key=lambda k: (chained(number(8), wide(k)), k))
+            words = [k for k in order for _ in range(size[k])]
+            begin = chained(number(9), s, number(h)) % max(1, -(-len(words) // 16)) * 16
+            n_words = min(quota[h] * 16, 2 * len(words))
+            taken = {k: n_words // len(words) * size[k] if words else 0 for k in order}
+            for j in range(n_words % len(words) if words else 0):
+                taken[words[(begin + j) % len(words)]] += 1
+            assert {k: got[k].taken for k in order} == taken
 
 
 # 10
