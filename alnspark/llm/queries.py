@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversation_repair import damaged, repair_conversations, transcript_digests
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .html_text import main_text
 from .minhash import near_duplicates
+from .periodic_runs import periodic_runs, with_planted_period
 from .quality import classify_quality
 from .sentencepiece_fst import encode_decode
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .topk import top_k
 from .toxicity import score_toxicity
@@ -70,6 +73,42 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four periods and six words, in texts of which a tenth have a period planted."""
+    docs = table(spark, sf_dir, "documents")
+    done = periodic_runs(docs.select("doc_id", with_planted_period(docs).alias("text")), least_exponent=4, least_length=6)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair; every original conversation has a row."""
+    conversations = table(spark, sf_dir, "conversations")
+    done = repair_conversations(damaged(conversations))
+    every = conversations.select(F.col("conv_id").alias("c")).distinct()
+    hashed = transcript_digests(done.turns).select(F.col("conv_id").alias("h"), "sha256")
+    found = every.join(done.conversations, F.col("c").eqNullSafe(F.col("conv_id")), "left").join(hashed, F.col("c").eqNullSafe(F.col("h")), "left")
+    counts = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select(F.col("c").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", empty).alias("repaired_sha256"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by an earlier string of 100 bytes go."""
+    done = remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -81,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
