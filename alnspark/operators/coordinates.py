@@ -92,19 +92,24 @@ def check_sequences(df: DataFrame, blocks: DataFrame, chr_: str = "chr", seq: st
     return df.select(chr_, seq).distinct().join(known, [chr_, seq], "left_anti")
 
 
-def missing_sequences(named: list[tuple[DataFrame, str, str]], blocks: DataFrame, like: DataFrame) -> DataFrame:
-    """No rows, with the columns of ``like``; running it fails if the index lacks a (chromosome, sequence) of ``named`` (table and its two columns).
+def positions_within(df: DataFrame, blocks: DataFrame, chr_: str, seq: str, pos: str, length: str | None = None, target: str | None = None) -> DataFrame:
+    """``df`` as it is; running it fails, and names them, if the index lacks a row's sequence or, on its chromosome, ``target``, or if [pos, pos + length)
+    (one base without ``length``) isn't within the sequence.  Rows without a chromosome pass.
 
-    A union with it makes a join on the index fail where it would drop rows.
+    The check is a part of the position's own expression, so whatever works with the position comes after it.
     """
-    every = None
-    for df, chr_, seq in named:
-        one = df.select(F.col(chr_).alias("chr"), F.col(seq).alias("seq_id")).where("chr IS NOT NULL").distinct()
-        every = one if every is None else every.unionByName(one)
-    lacks = F.concat(F.lit("the index lacks sequence "), F.coalesce("seq_id", F.lit("null")), F.lit(" of "), "chr")
-    found = check_sequences(every, blocks).agg(F.min(lacks).alias("lacks"))  # a filter would move below the anti-join
-    failed = F.when(F.col("lacks").isNotNull(), F.raise_error(F.col("lacks")))
-    return found.where(failed.isNotNull()).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
+    ends = sequence_lengths(blocks)
+    known = ends.select(F.col("chr").alias("k_chr"), F.col("seq_id").alias("k_seq"), F.col("seq_length").alias("k_end"))
+    met = df.join(known, (F.col(chr_) == F.col("k_chr")) & (F.col(seq) == F.col("k_seq")), "left")
+    name = F.concat_ws("", F.lit("sequence "), F.coalesce(F.col(seq), F.lit("null")), F.lit(" of "), F.col(chr_))
+    checked = F.when(F.col(chr_).isNull(), F.col(pos)).when(F.col("k_end").isNull(), F.raise_error(F.concat(F.lit("the index lacks "), name)).cast("long"))
+    if target is not None:
+        met = met.join(ends.where(F.col("seq_id") == target).select(F.col("chr").alias("t_chr"), F.lit(True).alias("t_has")), F.col(chr_) == F.col("t_chr"), "left")
+        checked = checked.when(F.col("t_has").isNull(), F.raise_error(F.concat(F.lit(f"the index lacks sequence {target} of "), F.col(chr_))).cast("long"))
+    stop = F.col(pos) + (F.greatest(F.col(length), F.lit(1)) if length else 1)
+    beyond = F.concat_ws("", F.lit("positions "), F.col(pos), F.lit(" to "), stop, F.lit(" aren't within the "), F.col("k_end"), F.lit(" bases of "), name)
+    checked = checked.when((F.col(pos) < 0) | (stop > F.col("k_end")), F.raise_error(beyond).cast("long")).otherwise(F.col(pos))
+    return met.withColumn(pos, checked).drop("k_chr", "k_seq", "k_end", "t_chr", "t_has")
 
 
 def lift_regions(regions: DataFrame, blocks: DataFrame, src: str, dst: str, dst_chr: str | None = None) -> DataFrame:

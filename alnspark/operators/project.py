@@ -1,241 +1,147 @@
 """Projection of alignments to another sequence of the multiple alignment, with runs of indels aligned anew.
 
-Alignments meet *chunks*: for each sequence and window of its positions, the blocks of it and of the target over that
-window and the target's bases.  A window is as much longer than its step as the longest alignment, so an alignment is worked on
-with the one chunk its start falls in, and neither index nor reference is held as a whole anywhere.
+Alignments meet *chunks*: for a window of the positions of a sequence, the blocks of it and of the target over that window and the
+target's bases.  A window is twice as long as its step, and the step is at least as long as the alignment, so an alignment is worked on
+with the one chunk its start falls in, and neither index nor reference is held as a whole anywhere.  Steps double from level to
+level: a long alignment meets a long chunk and leaves those of the others as they are.  A group of alignments and its chunk are sent once, by cogroup;
+a chunk of many alignments is dealt in several groups.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import cigar as C
 from ..functions.text import chr_of, seq_of
-from .coordinates import missing_sequences, project_positions, sequence_position
+from ..schema import CIGAR_DDL
+from .align import Scores
+from .coordinates import positions_within, project_positions, sequence_position
 from .filters import REVERSE, projectable
 from .overlap import BIN
+from .rewrite import CODE_OF, CODES, Chunk, Ops, realign, rewrite
 
 STEP = 1024
-#: Decoded chunks that a task holds at once.
-CHUNKS_HELD = 1024
-Ops = list[tuple[int, str]]
-
-
-def push(out: list[list], n: int, op: str) -> None:
-    if n > 0:
-        if out and out[-1][1] == op:
-            out[-1][0] += n
-        else:
-            out.append([n, op])
+#: Alignments worked on together at most, about.
+GROUP = 20_000
+RANGES = "array<struct<location:bigint,length:bigint>>"
+KEY = ["chr", "seq_id", "level", "bin"]
+
+
+def chunks(wanted: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, step: int = STEP) -> DataFrame:
+    """``wanted`` (chr, seq_id, level, bin) with src, dst, before, bases, base_start of the window [bin * size, (bin + 2) * size), size = step * 2 ** level."""
+    size = F.lit(step) * F.pow(F.lit(2), F.col("level")).cast("long")
+    spread = lambda lo, hi, width=BIN: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
+    windows = wanted.withColumn("w_lo", F.col("bin") * size).withColumn("w_hi", (F.col("bin") + 2) * size).withColumn("b_bin", spread(F.col("w_lo"), F.col("w_hi") - 1))
+    own = blocks.select(F.col("chr").alias("b_chr"), F.col("seq_id").alias("b_seq"), "seq_start", "aln_start", "len", spread(F.col("seq_start"), F.col("seq_start") + F.col("len") - 1).alias("o_bin"))
+    meets = (F.col("chr") == F.col("b_chr")) & (F.col("seq_id") == F.col("b_seq")) & (F.col("b_bin") == F.col("o_bin")) & (F.col("seq_start") < F.col("w_hi")) & (F.col("seq_start") + F.col("len") > F.col("w_lo"))
+    lo = F.col("aln_start") + F.greatest("seq_start", F.col("w_lo")) - F.col("seq_start")
+    hi = F.col("aln_start") + F.least(F.col("seq_start") + F.col("len"), F.col("w_hi")) - 1 - F.col("seq_start")
+    grouped = windows.join(own, meets).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("seq_start", "aln_start", "len"))).alias("src"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    grouped = grouped.withColumn("target", F.lit(target))
+    placed = sequence_position(grouped, blocks, "chr", "target", "lo", "before", "lo_gap")
+    placed = sequence_position(placed, blocks, "chr", "target", "hi", "after", "hi_gap")
+    t = blocks.where(F.col("seq_id") == target).select(F.col("chr").alias("t_chr"), F.col("seq_start").alias("t_seq"), F.col("aln_start").alias("t_aln"), F.col("len").alias("t_len"))
+    t = t.withColumn("t_bin", spread(F.col("t_aln"), F.col("t_aln") + F.col("t_len") - 1))
+    met = (F.col("chr") == F.col("t_chr")) & (F.col("a_bin") == F.col("t_bin")) & (F.col("t_aln") <= F.col("hi")) & (F.col("t_aln") + F.col("t_len") > F.col("lo"))
+    dst = placed.select(*KEY, "lo", "hi", spread(F.col("lo"), F.col("hi")).alias("a_bin")).join(t, met).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("t_seq", "t_aln", "t_len"))).alias("dst"))
+    if "start" not in reference.columns:
+        reference = reference.select("name", F.lit(0).cast("long").alias("start"), "seq")
+    # pieces of the target, those of one record cut at multiples of the step
+    at = F.sequence(F.floor(F.col("start") / step), F.floor((F.col("start") + F.length("seq") - 1) / step))
+    from_ = lambda k: F.greatest(k * step, F.col("start"))
+    cut = lambda k: F.struct(k.alias("piece"), from_(k).alias("begin"), F.substring(F.col("seq"), (from_(k) - F.col("start") + 1).cast("int"), ((k + 1) * step - from_(k)).cast("int")).alias("text"))
+    pieces = reference.where(F.length("seq") > 0).select(F.col("name").alias("chr"), F.explode(F.transform(at, cut)).alias("p")).select("chr", "p.*")
+    needed = placed.select(*KEY, spread(F.col("before"), F.col("after"), step).alias("piece"))
+    texts = needed.join(pieces, ["chr", "piece"]).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("begin", "text"))).alias("texts"))
+    out = placed.join(dst, KEY, "left").join(texts, KEY, "left")
+    return out.select(
+        *KEY, "src", F.coalesce("dst", F.array().cast("array<struct<t_seq:bigint,t_aln:bigint,t_len:bigint>>")).alias("dst"), "before",
+        F.coalesce(F.array_join(F.transform("texts", lambda x: x["text"]), ""), F.lit("")).alias("bases"), F.coalesce(F.col("texts")[0]["begin"], F.lit(0)).alias("base_start"),
+    )
 
 
-class Lookup:
-    """Columns and ranks from lists of blocks (seq_start, aln_start, len) in order."""
+def blocks_array(items: list[dict]) -> np.ndarray:
+    return np.array([tuple(x.values()) for x in items], np.int64).reshape(-1, 3)
 
-    def __init__(self, blocks: list[tuple[int, int, int]]):
-        self.blocks = blocks
-        self.seq, self.aln = [b[0] for b in blocks], [b[1] for b in blocks]
 
-    def column(self, pos: int) -> int:
-        s, a, _ = self.blocks[bisect_right(self.seq, pos) - 1]
-        return a + pos - s
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed at every level, as Python may give them."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind])
+    return T.MapType(kind.keyType, nullable(kind.valueType)) if isinstance(kind, T.MapType) else kind
 
-    def rank(self, column: int, before: int) -> tuple[int, bool]:
-        """Bases before the column, and whether it is a gap; ``before`` holds where no block has begun."""
-        k = bisect_right(self.aln, column) - 1
-        if k < 0:
-            return before, True
-        s, a, n = self.blocks[k]
-        return s + min(column - a, n), column - a >= n
 
+def joined_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, null as empty, and where each begins."""
+    texts = [(x or "").encode() for x in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])[:-1]
 
-def rewrite(ops: Ops, seq: str, start: int, src: Lookup, dst: Lookup, before: int, bases: str, base_start: int) -> tuple[int, Ops]:
-    """Position on the target and the CIGAR there, before indels are aligned anew.
 
-    Each base of the source stands in a column of the alignment: what the target has between two columns is deleted, a
-    target gap makes the read's base an insertion and a deleted one nothing, else the bases are compared.
-    """
-    out: list[list] = []
-    q, at = 0, start
-    first = done = dst.rank(src.column(start), before)[0]
-    for n, op in ops:
-        if op in "ISHP":
-            push(out, n, op)
-            q += n if op in "IS" else 0
-            continue
-        for _ in range(n):
-            rank, gap = dst.rank(src.column(at), before)
-            push(out, rank - done, "D")
-            done = rank if gap else rank + 1
-            if op in "DN":
-                push(out, 0 if gap else 1, "D")
-            elif gap:
-                push(out, 1, "I")
-            else:
-                push(out, 1, "=" if bases[rank - base_start] == seq[q] else "X")
-            q += op not in "DN"
-            at += 1
-    return first, [(n, op) for n, op in out]
-
-
-def quality_score(equal: bool, a: int, b: int) -> float:
-    """Log-odds of two bases by their Phred qualities."""
-    x, y = 10 ** (-a / 10), 10 ** (-b / 10)
-    e = x + y - 4 / 3 * x * y
-    return 2 + math.log2(1 - e) if equal else 2 - math.log2(3) + math.log2(e)
-
-
-def align_global(ref: str, query: str, quality: list[int] | None = None, gap_open: float = 0, gap_extend: float = -1, match: float = 0, mismatch: float = -1, best_quality: int = 41) -> tuple[float, Ops]:
-    """Best global alignment with affine gaps (open + n * extend): score and CIGAR of = X I D."""
-    low = -math.inf
-    n, m = len(ref), len(query)
-    # three tables: ending in a pair, in a deletion (reference alone), in an insertion (read alone)
-    pair = [[low] * (m + 1) for _ in range(n + 1)]
-    gone, added = ([row[:] for row in pair] for _ in range(2))
-    pair[0][0] = 0.0
-    for i in range(1, n + 1):
-        gone[i][0] = gap_open + gap_extend * i
-    for j in range(1, m + 1):
-        added[0][j] = gap_open + gap_extend * j
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            equal = ref[i - 1] == query[j - 1]
-            s = (match if equal else mismatch) if quality is None else quality_score(equal, best_quality, quality[j - 1])
-            pair[i][j] = s + max(pair[i - 1][j - 1], gone[i - 1][j - 1], added[i - 1][j - 1])
-            gone[i][j] = gap_extend + max(gone[i - 1][j], gap_open + max(pair[i - 1][j], added[i - 1][j]))
-            added[i][j] = gap_extend + max(added[i][j - 1], gap_open + max(pair[i][j - 1], gone[i][j - 1]))
-    i, j = n, m
-    best = max(pair[n][m], gone[n][m], added[n][m])
-    table = added if added[n][m] == best else gone if gone[n][m] == best else pair  # of equals, gaps stand last
-    back: list[list] = []
-    near = lambda a, b: a == b or abs(a - b) < 1e-9
-    while i or j:
-        here = table[i][j]
-        if table is pair:
-            equal = ref[i - 1] == query[j - 1]
-            push(back, 1, "=" if equal else "X")
-            s = (match if equal else mismatch) if quality is None else quality_score(equal, best_quality, quality[j - 1])
-            i, j = i - 1, j - 1
-            table = next((t for t in (added, gone, pair) if near(t[i][j] + s, here)), pair)
-        else:
-            own = table
-            push(back, 1, "D" if own is gone else "I")
-            i, j = (i - 1, j) if own is gone else (i, j - 1)
-            if not near(own[i][j] + gap_extend, here):
-                table = next((t for t in (added if own is gone else gone, pair) if near(t[i][j] + gap_open + gap_extend, here)), pair)
-    return best, [(k, op) for k, op in reversed(back)]
-
-
-def realign(first: int, ops: Ops, seq: str, quality: list[int] | None, bases: str, base_start: int, gap_open: float, gap_extend: float) -> tuple[Ops, list[tuple[int, int]], list[tuple[int, int]]]:
-    """Runs of indels that have both kinds replaced by their best alignment: CIGAR, and the (location, length) of the runs on target and read."""
-    out: list[list] = []
-    on_ref, on_query = [], []
-    r, q, k = first, 0, 0
-    while k < len(ops):
-        stop = k
-        while stop < len(ops) and ops[stop][1] in "ID":
-            stop += 1
-        if stop == k:
-            n, op = ops[k]
-            push(out, n, op)
-            r += n if op in "M=XN" else 0
-            q += n if op in "M=XS" else 0
-            k += 1
-            continue
-        gone, added = (sum(n for n, op in ops[k:stop] if op == o) for o in "DI")
-        if gone and added:
-            new = align_global(bases[r - base_start : r - base_start + gone], seq[q : q + added], quality and quality[q : q + added], gap_open, gap_extend)[1]
-            on_ref.append((r, gone))
-            on_query.append((q, added))
-        else:
-            new = ops[k:stop]
-        for n, op in new:
-            push(out, n, op)
-        r, q, k = r + gone, q + added, stop
-    return [(n, op) for n, op in out], on_ref, on_query
-
-
-def chunks(blocks: DataFrame, reference: DataFrame, target: str, margin: int, step: int = STEP) -> DataFrame:
-    """(c_chr, c_seq, c_bin, src, dst, before, bases, base_start) for the windows [bin * step, bin * step + step + margin) of every sequence."""
-    window = step + margin
-    low = F.greatest(F.lit(0), F.ceil((F.col("seq_start") - window + 1) / step))
-    cut = blocks.withColumn("bin", F.explode(F.sequence(low.cast("long"), F.floor((F.col("seq_start") + F.col("len") - 1) / step))))
-    lo = F.greatest("seq_start", F.col("bin") * step)
-    hi = F.least(F.col("seq_start") + F.col("len"), F.col("bin") * step + window)
-    cut = cut.withColumn("lo", F.col("aln_start") + lo - F.col("seq_start")).withColumn("hi", F.col("aln_start") + hi - 1 - F.col("seq_start"))
-    grouped = cut.groupBy("chr", "seq_id", "bin").agg(F.sort_array(F.collect_list(F.struct("seq_start", "aln_start", "len"))).alias("src"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    grouped = grouped.withColumn("target", F.lit(target))
-    placed = sequence_position(grouped, blocks, "chr", "target", "lo", "before", "lo_gap")
-    placed = sequence_position(placed, blocks, "chr", "target", "hi", "after", "hi_gap")
-    t = blocks.where(F.col("seq_id") == target).select(F.col("chr").alias("t_chr"), F.col("seq_start").alias("t_seq"), F.col("aln_start").alias("t_aln"), F.col("len").alias("t_len"))
-    t = t.withColumn("t_bin", F.explode(F.sequence(F.floor(F.col("t_aln") / BIN), F.floor((F.col("t_aln") + F.col("t_len") - 1) / BIN))))
-    spread = placed.select("chr", "seq_id", "bin", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))).alias("a_bin"))
-    meets = (F.col("chr") == F.col("t_chr")) & (F.col("a_bin") == F.col("t_bin")) & (F.col("t_aln") <= F.col("hi")) & (F.col("t_aln") + F.col("t_len") > F.col("lo"))
-    dst = spread.join(t, meets).groupBy("chr", "seq_id", "bin").agg(F.sort_array(F.collect_set(F.struct("t_seq", "t_aln", "t_len"))).alias("dst"))
-    pieces = reference.select(F.col("name").alias("chr"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / step).cast("int")), lambda k: F.struct(k.alias("piece"), F.substring(F.col("seq"), k * step + 1, F.lit(step)).alias("text")))).alias("p"))
-    pieces = pieces.select("chr", F.col("p.piece").alias("piece"), F.col("p.text").alias("text"))
-    wanted = placed.select("chr", "seq_id", "bin", F.explode(F.sequence(F.floor(F.col("before") / step), F.floor(F.col("after") / step))).alias("piece"))
-    texts = wanted.join(pieces, ["chr", "piece"]).groupBy("chr", "seq_id", "bin").agg(F.min("piece").alias("piece"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "").alias("bases"))
-    key = ["chr", "seq_id", "bin"]
-    out = placed.join(dst, key, "left").join(texts, key, "left")
-    return out.select(
-        F.col("chr").alias("c_chr"), F.col("seq_id").alias("c_seq"), F.col("bin").alias("c_bin"), "src", F.coalesce("dst", F.array().cast("array<struct<t_seq:bigint,t_aln:bigint,t_len:bigint>>")).alias("dst"),
-        "before", F.coalesce("bases", F.lit("")).alias("bases"), (F.coalesce("piece", F.lit(0)) * step).alias("base_start"),
-    )
+def cigar_ops(column: pa.ChunkedArray) -> Ops:
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    owner = np.repeat(np.arange(len(flat)), pa.compute.fill_null(pa.compute.list_value_length(flat), 0).to_numpy(zero_copy_only=False))
+    items = flat.flatten()
+    return Ops(owner, items.field("n").to_numpy(zero_copy_only=False).astype(np.int64), CODE_OF[np.frombuffer("".join(items.field("op").to_pylist()).encode(), np.uint8)])
 
 
-RANGES = "array<struct<location:bigint,length:bigint>>"
+def lists(owner: np.ndarray, total: int, **fields: pa.Array) -> pa.ListArray:
+    """A list for each of ``total`` owners of structs of the fields."""
+    offsets = pa.array(np.searchsorted(owner, np.arange(total + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
-def project_cigars(df: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, gap_open: float = 0, gap_extend: float = -1, use_qualities: bool = False, anew: bool = True, margin: int | None = None, step: int = STEP) -> DataFrame:
-    """(rec_idx, dst_pos, dst_cigar, ref_ranges, query_ranges) of alignments (rec_idx, chr, seq_id, pos, cigar, seq, qual).
+def project_cigars(df: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, gap_open: float = 0, gap_extend: float = -1, use_qualities: bool = False, anew: bool = True, step: int = STEP, group: int = GROUP) -> DataFrame:
+    """``df`` (chr, seq_id, pos, cigar, seq, qual and other columns) with dst_pos, dst_cigar, ref_ranges, query_ranges.
 
-    ``blocks`` is the index, ``reference`` (name, seq) the target's bases for each chromosome, ``target`` its sequence id.
-    ``margin`` bounds the reference length of an alignment; without it the data are asked.
+    ``blocks`` is the index, ``reference`` (name, seq and, if in pieces, start) the target's bases for each chromosome, ``target`` its sequence
+    id.  A sequence or target that the index lacks, and an alignment that doesn't lie within its sequence, are errors that name them.
     """
-    if margin is None:
-        margin = int(df.agg(F.max(C.reference_length(F.col("cigar")))).first()[0] or 0)
-    parts = chunks(blocks, reference, target, margin + 1, step)
-    reads = df.select("rec_idx", F.col("chr").alias("r_chr"), F.col("seq_id").alias("r_seq"), F.col("pos").cast("long").alias("pos"), "cigar", "seq", "qual")
-    # by merge: else a few reads may be broadcast to chunks that lie in one partition, and all Python work is one task
-    met = reads.join(parts.hint("merge"), (F.col("r_chr") == F.col("c_chr")) & (F.col("r_seq") == F.col("c_seq")) & (F.floor(F.col("pos") / step) == F.col("c_bin")))
-    met = met.select("rec_idx", "pos", "cigar", "seq", "qual", F.struct("c_chr", "c_seq", "c_bin").alias("chunk"), "src", "dst", "before", "bases", "base_start")
-    fields = f"rec_idx long, dst_pos long, dst_cigar array<struct<n:int,op:string>>, ref_ranges {RANGES}, query_ranges {RANGES}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}  # many alignments meet a chunk: it is decoded once
-        for batch in batches:
-            out = []
-            held = [batch.column(name) for name in ("src", "dst", "before", "bases", "base_start")]
-            for k, row in enumerate(batch.select(["rec_idx", "pos", "cigar", "seq", "qual", "chunk"]).to_pylist()):
-                key = tuple(row["chunk"].values())
-                if key not in known:
-                    if len(known) >= CHUNKS_HELD:
-                        known.clear()
-                    src, dst, *rest = (c[k].as_py() for c in held)
-                    known[key] = *(Lookup([tuple(b.values()) for b in x]) for x in (src, dst)), *rest
-                src, dst, before, bases, base_start = known[key]
-                first, ops = rewrite([(x["n"], x["op"]) for x in row["cigar"]], row["seq"], row["pos"], src, dst, before, bases, base_start)
-                quality = [ord(c) - 33 for c in row["qual"]] if use_qualities and row["qual"] and row["qual"] != "*" else None
-                on_ref, on_query = [], []
-                if anew:
-                    ops, on_ref, on_query = realign(first, ops, row["seq"], quality, bases, base_start, gap_open, gap_extend)
-                span = lambda ranges: [{"location": a, "length": n} for a, n in ranges]
-                out.append({"rec_idx": row["rec_idx"], "dst_pos": first, "dst_cigar": [{"n": n, "op": op} for n, op in ops], "ref_ranges": span(on_ref), "query_ranges": span(on_query)})
-            yield pa.RecordBatch.from_pylist(out, schema=ARROW)
-
-    return met.mapInArrow(run, fields)
-
-
-_RANGE = pa.list_(pa.struct([("location", pa.int64()), ("length", pa.int64())]))
-ARROW = pa.schema([("rec_idx", pa.int64()), ("dst_pos", pa.int64()), ("dst_cigar", pa.list_(pa.struct([("n", pa.int32()), ("op", pa.string())]))), ("ref_ranges", _RANGE), ("query_ranges", _RANGE)])
+    length = C.reference_length(F.col("cigar")).cast("long")
+    reads = positions_within(df.withColumn("at", F.col("pos").cast("long")).withColumn("of", F.coalesce(length, F.lit(0))), blocks, "chr", "seq_id", "at", "of", target)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("of", F.lit(1)) / step))).cast("int")
+    reads = reads.withColumn("level", level).withColumn("bin", F.floor(F.col("at") / (F.lit(step) * F.pow(F.lit(2), F.col("level")).cast("long"))))
+    counts = reads.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
+    every = [c for c in reads.columns if c not in ("of", *KEY)]
+    hashed = F.xxhash64(*[f.name for f in reads.schema if f.name not in KEY and f.dataType.typeName() != "map"])
+    dealt = reads.join(counts, KEY).withColumn("part", F.pmod(hashed, F.col("parts")).cast("int"))
+    dealt = dealt.select(*KEY, "part", *every)
+    made = chunks(counts.select(*KEY), blocks, reference, target, step).join(counts, KEY).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    made = made.select(*[F.col(c).alias(f"c_{c}") for c in made.columns])
+    kept = [c for c in df.columns if c not in ("chr", "seq_id")]
+    new = T.StructType.fromDDL(f"chr string, seq_id string, dst_pos bigint, dst_cigar {CIGAR_DDL}, ref_ranges {RANGES}, query_ranges {RANGES}")
+    schema = T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in [*(f for f in df.schema if f.name in kept), *new]])
+    arrow = to_arrow_schema(schema)
+    scores = Scores(gap_open, gap_extend)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = right.slice(0, 1).to_pylist()[0]
+        chunk = Chunk(blocks_array(c["c_src"]), blocks_array(c["c_dst"]), c["c_before"], c["c_bases"].encode(), c["c_base_start"])
+        starts, total = left["at"].to_numpy(), len(left)
+        reads, read_at = joined_bytes(left["seq"])
+        first, ops = rewrite(cigar_ops(left["cigar"]), starts, reads, read_at, chunk)
+        none = np.zeros(0, np.int64)
+        mine, on_ref, gone, on_read, added = none, none, none, none, none
+        if anew:
+            quality = [np.frombuffer(q.encode(), np.uint8).astype(np.int64) - 33 if q and q != "*" else None for q in left["qual"].to_pylist()] if use_qualities else None
+            ops, mine, on_ref, gone, on_read, added = realign(ops, first, reads, read_at, quality, chunk, scores)
+        out = left.select([*kept, "chr", "seq_id"])
+        out = out.append_column("dst_pos", pa.array(first, pa.int64()))
+        names = pa.array(list(CODES)).take(pa.array(ops.op))
+        out = out.append_column("dst_cigar", lists(ops.owner, total, n=pa.array(ops.n.astype(np.int32)), op=names))
+        out = out.append_column("ref_ranges", lists(mine, total, location=pa.array(on_ref), length=pa.array(gone)))
+        return out.append_column("query_ranges", lists(mine, total, location=pa.array(on_read), length=pa.array(added))).cast(arrow)
+
+    return dealt.groupBy(*KEY, "part").cogroup(made.groupBy(*[f"c_{c}" for c in (*KEY, "part")])).applyInArrow(run, schema)
 
 
 def original_alignment(rname: Column, pos: Column, flag: Column, cigar: Column, mapq: Column, nm: Column, before: Column, one_based: bool = True) -> Column:
@@ -250,32 +156,32 @@ def flat_ranges(ranges: Column) -> Column:
     return F.flatten(F.transform(ranges, lambda x: F.array(x["location"], x["location"] + x["length"])))
 
 
-def project_mates(df: DataFrame, blocks: DataFrame, target: str, separator: str = "/") -> DataFrame:
-    """Adds ``mate_chr`` and ``mate_pos``: the mate's place on the target, by the mate's own sequence; null without one."""
+def project_mates(df: DataFrame, blocks: DataFrame, target: str, separator: str = "/", strict: bool = False) -> DataFrame:
+    """Adds ``mate_chr`` and ``mate_pos``: the mate's place on the target, by the mate's own sequence; null without one.
+
+    A mate on a sequence that the index lacks, or beyond its end, has a null place or, if ``strict``, is an error that names it.
+    """
     has = F.col("rnext").isNotNull() & F.col("pnext").isNotNull()
     df = df.withColumn("mate_chr", F.when(has, chr_of(F.col("rnext"), separator))).withColumn("mate_seq", F.when(has, seq_of(F.col("rnext"), separator))).withColumn("mate_at", F.when(has, F.col("pnext").cast("long"))).withColumn("mate_dst", F.lit(target))
+    if strict:
+        df = positions_within(df, blocks, "mate_chr", "mate_seq", "mate_at", None, target)
     met = project_positions(df, blocks, "mate_chr", "mate_seq", "mate_dst", "mate_at", "mate_pos")
     return met.drop("mate_seq", "mate_at", "mate_dst", "aln", "dst_gap")
 
 
 def project_alignments(df: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, separator: str = "/", **how) -> DataFrame:
     """Alignments on the target: new rname, pos, cigar, rnext, pnext, the original places (o_rname, o_pos, o_rnext, o_pnext), oa, and the ranges
-    aligned anew as flat arrays (xb on the read, yb on the target).  Rows that projectable() drops are left out; it is an
-    error if the index lacks a chromosome and sequence that a read or its mate lies on, or the target on that chromosome."""
+    aligned anew as flat arrays (xb on the read, yb on the target).  Rows that projectable() drops are left out; a read or mate on a sequence that
+    the index lacks or beyond its end, and a chromosome without the target, are errors that name them."""
     df = projectable(df).withColumn("chr", chr_of(F.col("rname"), separator)).withColumn("seq_id", seq_of(F.col("rname"), separator))
-    done = project_cigars(df, blocks, reference, target, **how)
-    met = project_mates(df, blocks, target, separator).join(done, "rec_idx")
+    met = project_mates(project_cigars(df, blocks, reference, target, **how), blocks, target, separator, strict=True)
     nm = F.regexp_extract(F.try_element_at("tags", F.lit("NM")), ":(.*)$", 1) if "tags" in df.columns else F.lit(None)
     before = F.regexp_extract(F.try_element_at("tags", F.lit("OA")), ":(.*)$", 1) if "tags" in df.columns else F.lit(None)
     oa = original_alignment(F.col("rname"), F.col("pos"), F.col("flag"), F.col("cigar"), F.col("mapq"), nm, before)
-    out = met.select(
+    return met.select(
         "rec_idx", "qname", "flag", F.col("chr").alias("rname"), F.col("dst_pos").alias("pos"), "mapq", F.col("dst_cigar").alias("cigar"), F.col("mate_chr").alias("rnext"), F.col("mate_pos").alias("pnext"), "seq", "qual",
         F.col("rname").alias("o_rname"), F.col("pos").alias("o_pos"), F.col("rnext").alias("o_rnext"), F.col("pnext").alias("o_pnext"), oa.alias("oa"), flat_ranges(F.col("query_ranges")).alias("xb"), flat_ranges(F.col("ref_ranges")).alias("yb"),
     )
-    has = F.col("rnext").isNotNull() & F.col("pnext").isNotNull()
-    mates = df.select(F.when(has, chr_of(F.col("rnext"), separator)).alias("chr"), F.when(has, seq_of(F.col("rnext"), separator)).alias("seq_id"))
-    on = df.select("chr", "seq_id", F.lit(target).alias("target"))
-    return out.unionByName(missing_sequences([(on, "chr", "seq_id"), (on, "chr", "target"), (mates, "chr", "seq_id")], blocks, out))
 
 
 #: Default names of the tags that keep where an alignment came from.

@@ -11,7 +11,7 @@ from ..functions import cigar as C
 from ..functions import text as T
 from ..operators import coordinates, filters, headers, mapq, order, overlap, project, stats, subset, support
 from ..streaming import alignments as streaming
-from .workload import alignments, cte, view, view_of
+from .workload import alignments, cte, view, stored, view_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -360,7 +360,7 @@ def append_program(spark, d):
 
 
 def _blocks(spark, d):
-    return coordinates.build_msa_index(view(spark, d, "aligned"))
+    return stored(coordinates.build_msa_index(view(spark, d, "aligned")))
 
 
 ALIGNED = cte("aligned", "blocks")
@@ -429,9 +429,50 @@ def unaligned_fasta(spark, d):
 
 
 def _projected(spark, d, **how):
-    aligned = view(spark, d, "aligned")
-    reference = aligned.where("seq_id = 's0'").select(F.col("chr").alias("name"), T.ungapped(F.col("seq")).alias("seq"))
-    return project.project_alignments(alignments(spark, d), coordinates.build_msa_index(aligned), reference, "s0", margin=120, **how)
+    reference = view(spark, d, "aligned").where("seq_id = 's0'").select(F.col("chr").alias("name"), T.ungapped(F.col("seq")).alias("seq"))
+    return project.project_alignments(alignments(spark, d), _blocks(spark, d), stored(reference), "s0", **how)
+
+
+#: The rules of projection base by base, before runs of indels are aligned anew: ``plain`` has the items of each CIGAR on s0.
+_REWRITTEN = cte("aligned", "alignments", "items") + """,
+    letters AS (SELECT chr, seq_id, i, substr(seq, CAST(i + 1 AS INT), 1) AS b FROM aligned, (SELECT unnest(range(6000)) AS i)),
+    src AS (SELECT chr, seq_id, i, row_number() OVER (PARTITION BY chr, seq_id ORDER BY i) - 1 AS p FROM letters WHERE b <> '-'),
+    dst AS (SELECT chr, i, b, coalesce(sum(CASE WHEN b <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rank FROM letters WHERE seq_id = 's0'),
+    each AS (SELECT rec_idx, pos, k, j, op, op IN ('M', '=', 'X', 'D', 'N') AS on_ref, op IN ('M', '=', 'X', 'I', 'S') AS on_read FROM (
+        SELECT *, unnest(range(n)) AS j FROM items SEMI JOIN (SELECT rec_idx FROM alignments WHERE (flag & 1540) = 0) USING (rec_idx))),
+    walked AS (SELECT *, coalesce(sum(CAST(on_ref AS INT)) OVER w, 0) AS r, coalesce(sum(CAST(on_read AS INT)) OVER w, 0) AS q FROM each
+        WINDOW w AS (PARTITION BY rec_idx ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    met AS (SELECT w.*, dst.rank, dst.b, substr(a.seq, CAST(w.q + 1 AS INT), 1) AS base FROM walked w JOIN alignments a USING (rec_idx)
+        LEFT JOIN src ON w.on_ref AND src.chr = split_part(a.rname, '/', 1) AND src.seq_id = split_part(a.rname, '/', 2) AND src.p = w.pos + w.r
+        LEFT JOIN dst ON dst.chr = src.chr AND dst.i = src.i),
+    jumps AS (SELECT *, coalesce(rank - lag(rank + CASE WHEN b = '-' THEN 0 ELSE 1 END) OVER (PARTITION BY rec_idx, on_ref ORDER BY k, j), 0) AS jump FROM met),
+    written AS (SELECT rec_idx, k, j, 0 AS turn, jump AS n, 'D' AS op FROM jumps WHERE on_ref UNION ALL
+        SELECT rec_idx, k, j, 1, CASE WHEN on_ref AND NOT on_read AND b = '-' THEN 0 ELSE 1 END,
+            CASE WHEN NOT on_ref THEN op WHEN NOT on_read THEN 'D' WHEN b = '-' THEN 'I' WHEN b = base THEN '=' ELSE 'X' END FROM jumps),
+    changes AS (SELECT *, CASE WHEN lag(op) OVER (PARTITION BY rec_idx ORDER BY k, j, turn) = op THEN 0 ELSE 1 END AS starts FROM written WHERE n > 0),
+    places AS (SELECT rec_idx, min(rank) AS dst_pos FROM met WHERE on_ref GROUP BY rec_idx),
+    plain AS (SELECT rec_idx, item, CAST(sum(n) AS BIGINT) AS n, min(op) AS op FROM (
+        SELECT *, sum(starts) OVER (PARTITION BY rec_idx ORDER BY k, j, turn) AS item FROM changes) GROUP BY rec_idx, item)"""
+
+#: Runs of indels of both kinds, where they lie on s0 and on the read.
+_RANGES = """,
+    lain AS (SELECT *, op IN ('I', 'D') AS indel, coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) OVER w, 0) AS r, coalesce(sum(CASE WHEN op IN ('M', '=', 'X', 'I', 'S') THEN n ELSE 0 END) OVER w, 0) AS q,
+        item - row_number() OVER (PARTITION BY rec_idx, op IN ('I', 'D') ORDER BY item) AS run FROM plain WINDOW w AS (PARTITION BY rec_idx ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    runs AS (SELECT rec_idx, CAST(dst_pos + min(r) AS BIGINT) AS location, CAST(sum(CASE WHEN op = 'D' THEN n ELSE 0 END) AS BIGINT) AS length, CAST(min(q) AS BIGINT) AS read_at, CAST(sum(CASE WHEN op = 'I' THEN n ELSE 0 END) AS BIGINT) AS added
+        FROM lain JOIN places USING (rec_idx) WHERE indel GROUP BY rec_idx, run, dst_pos HAVING count(DISTINCT op) = 2)"""
+
+
+@query(_REWRITTEN + "SELECT rec_idx, CAST(dst_pos AS BIGINT) AS pos, string_agg(CAST(n AS STRING) || op, '' ORDER BY item) AS cigar FROM plain JOIN places USING (rec_idx) GROUP BY rec_idx, dst_pos")
+def rewritten_alignments(spark, d):
+    return _projected(spark, d, anew=False).select("rec_idx", "pos", C.render(F.col("cigar")).alias("cigar"))
+
+
+@query(_REWRITTEN + _RANGES + """SELECT rec_idx, string_agg(CAST(read_at AS STRING) || ',' || CAST(read_at + added AS STRING), ',' ORDER BY read_at) AS xb, string_agg(CAST(location AS STRING) || ',' || CAST(location + length AS STRING), ',' ORDER BY read_at) AS yb
+    FROM runs GROUP BY rec_idx""")
+def realigned_parts(spark, d):
+    """The tags XB and YB as text."""
+    tagged = project.provenance_tags(_projected(spark, d).where(F.size("xb") > 0))
+    return tagged.select("rec_idx", *(F.regexp_replace(T.tag(F.col("tags"), n.upper()), "^I,", "").alias(n) for n in ("xb", "yb")))
 
 
 @query()
@@ -455,7 +496,7 @@ def provenance_tags(spark, d):
     return tagged.select("rec_idx", *(T.tag(F.col("tags"), n.upper()).alias(n) for n in ("xr", "xp", "yr", "yp", "xi")))
 
 
-@query()
+@query(_REWRITTEN + _RANGES + "SELECT DISTINCT split_part(rname, '/', 1) AS rname, location, length FROM runs JOIN alignments USING (rec_idx)")
 def realigned_ranges(spark, d):
     return project.realigned_ranges(_projected(spark, d))
 

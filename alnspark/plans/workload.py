@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +119,17 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = view(spark, sf_dir, "alignments").withColumn("cigar", C.parse(F.col("cigar_text")))
     df = df.withColumn("tags", F.map_from_arrays(F.array(F.lit("AS"), F.when(F.col("rec_idx") % 2 == 0, "OQ").otherwise("ZZ"), F.lit("XM")), F.array(F.concat(F.lit("i:"), F.col("as_score").cast("string")), F.lit("Z:x"), F.lit("i:0"))))
     return df.withColumn("score", F.col("as_score").cast("double"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, as an index is that many lookups read.
+
+    ``spark.checkpoint.dir`` names the folder; only a session on one machine may leave it unset.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if base is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir isn't set: an index needs a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="alnspark-"))
+    return df.checkpoint()
