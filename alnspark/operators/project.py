@@ -22,7 +22,7 @@ from ..functions import cigar as C
 from ..functions.text import chr_of, seq_of
 from ..schema import CIGAR_DDL
 from .align import Scores
-from .coordinates import positions_within, project_positions, sequence_position
+from .coordinates import positions_within, project_positions
 from .filters import REVERSE, projectable
 from .overlap import BIN
 from .rewrite import CODE_OF, CODES, Chunk, Ops, realign, rewrite
@@ -34,37 +34,45 @@ RANGES = "array<struct<location:bigint,length:bigint>>"
 KEY = ["chr", "seq_id", "level", "bin"]
 
 
+#: One statement is analysed once, where as many DataFrame calls would each analyse all before them.
+_CHUNKS = """
+WITH windows AS (SELECT *, bin * size AS w_lo, (bin + 2) * size AS w_hi FROM (SELECT chr, seq_id, level, bin, {step} * CAST(pow(2, level) AS BIGINT) AS size FROM {wanted})),
+own AS (SELECT chr, seq_id, seq_start, aln_start, len, explode(sequence(floor(seq_start / {width}), floor((seq_start + len - 1) / {width}))) AS b_bin FROM {blocks}),
+grouped AS (
+    SELECT w.chr, w.seq_id, level, bin, sort_array(collect_set(struct(seq_start, aln_start, len))) AS src, min(aln_start + greatest(seq_start, w_lo) - seq_start) AS lo, max(aln_start + least(seq_start + len, w_hi) - 1 - seq_start) AS hi
+    FROM (SELECT *, explode(sequence(floor(w_lo / {width}), floor((w_hi - 1) / {width}))) AS b_bin FROM windows) w JOIN own b ON w.chr = b.chr AND w.seq_id = b.seq_id AND w.b_bin = b.b_bin AND seq_start < w_hi AND seq_start + len > w_lo
+    GROUP BY w.chr, w.seq_id, level, bin),
+target AS (
+    SELECT chr, seq_start AS t_seq, aln_start AS t_aln, len AS t_len, coalesce(lead(aln_start) OVER (PARTITION BY chr ORDER BY aln_start), aln_start + len) AS t_next, lag(aln_start) OVER (PARTITION BY chr ORDER BY aln_start) IS NULL AS t_first
+    FROM {blocks} WHERE seq_id = {target}),
+spread AS (SELECT *, explode(sequence(CASE WHEN t_first THEN 0 ELSE floor(t_aln / {width}) END, floor((t_next - 1) / {width}))) AS a_bin FROM target),
+dst AS (
+    SELECT g.chr, seq_id, level, bin, sort_array(collect_set(CASE WHEN t_aln <= hi AND t_aln + t_len > lo THEN struct(t_seq, t_aln, t_len) END)) AS dst,
+        max(CASE WHEN t_aln <= lo THEN t_seq + least(lo - t_aln, t_len) END) AS before, max(CASE WHEN t_aln <= hi THEN t_seq + least(hi - t_aln, t_len) END) AS after
+    FROM (SELECT *, explode(sequence(floor(lo / {width}), floor(hi / {width}))) AS a_bin FROM grouped) g JOIN spread t ON g.chr = t.chr AND g.a_bin = t.a_bin GROUP BY g.chr, seq_id, level, bin),
+ends AS (SELECT chr, max(seq_start + len) AS t_end FROM {blocks} WHERE seq_id = {target} GROUP BY chr),
+placed AS (
+    SELECT g.*, coalesce(dst, array()) AS dst, CASE WHEN bits.before IS NOT NULL THEN bits.before WHEN bits.chr IS NULL THEN t_end ELSE 0 END AS before, CASE WHEN bits.after IS NOT NULL THEN bits.after WHEN bits.chr IS NULL THEN t_end ELSE 0 END AS after
+    FROM grouped g LEFT JOIN dst bits ON g.chr = bits.chr AND g.seq_id = bits.seq_id AND g.level = bits.level AND g.bin = bits.bin JOIN ends ON g.chr = ends.chr),
+pieces AS (
+    SELECT name AS chr, piece, greatest(piece * {step}, start) AS begin, substring(seq, CAST(greatest(piece * {step}, start) - start + 1 AS INT), CAST((piece + 1) * {step} - greatest(piece * {step}, start) AS INT)) AS text
+    FROM (SELECT *, explode(sequence(floor(start / {step}), floor((start + length(seq) - 1) / {step}))) AS piece FROM {reference} WHERE length(seq) > 0)),
+texts AS (
+    SELECT p.chr, seq_id, level, bin, sort_array(collect_list(struct(begin, text))) AS texts FROM (SELECT chr, seq_id, level, bin, explode(sequence(floor(before / {step}), floor(after / {step}))) AS piece FROM placed) p
+    JOIN pieces t ON p.chr = t.chr AND p.piece = t.piece GROUP BY p.chr, seq_id, level, bin)
+SELECT p.chr, p.seq_id, p.level, p.bin, src, dst, before, coalesce(array_join(transform(texts, x -> x.text), ''), '') AS bases, coalesce(texts[0].begin, 0) AS base_start
+FROM placed p LEFT JOIN texts t ON p.chr = t.chr AND p.seq_id = t.seq_id AND p.level = t.level AND p.bin = t.bin"""
+
+
 def chunks(wanted: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, step: int = STEP) -> DataFrame:
-    """``wanted`` (chr, seq_id, level, bin) with src, dst, before, bases, base_start of the window [bin * size, (bin + 2) * size), size = step * 2 ** level."""
-    size = F.lit(step) * F.pow(F.lit(2), F.col("level")).cast("long")
-    spread = lambda lo, hi, width=BIN: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
-    windows = wanted.withColumn("w_lo", F.col("bin") * size).withColumn("w_hi", (F.col("bin") + 2) * size).withColumn("b_bin", spread(F.col("w_lo"), F.col("w_hi") - 1))
-    own = blocks.select(F.col("chr").alias("b_chr"), F.col("seq_id").alias("b_seq"), "seq_start", "aln_start", "len", spread(F.col("seq_start"), F.col("seq_start") + F.col("len") - 1).alias("o_bin"))
-    meets = (F.col("chr") == F.col("b_chr")) & (F.col("seq_id") == F.col("b_seq")) & (F.col("b_bin") == F.col("o_bin")) & (F.col("seq_start") < F.col("w_hi")) & (F.col("seq_start") + F.col("len") > F.col("w_lo"))
-    lo = F.col("aln_start") + F.greatest("seq_start", F.col("w_lo")) - F.col("seq_start")
-    hi = F.col("aln_start") + F.least(F.col("seq_start") + F.col("len"), F.col("w_hi")) - 1 - F.col("seq_start")
-    grouped = windows.join(own, meets).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("seq_start", "aln_start", "len"))).alias("src"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
-    grouped = grouped.withColumn("target", F.lit(target))
-    placed = sequence_position(grouped, blocks, "chr", "target", "lo", "before", "lo_gap")
-    placed = sequence_position(placed, blocks, "chr", "target", "hi", "after", "hi_gap")
-    t = blocks.where(F.col("seq_id") == target).select(F.col("chr").alias("t_chr"), F.col("seq_start").alias("t_seq"), F.col("aln_start").alias("t_aln"), F.col("len").alias("t_len"))
-    t = t.withColumn("t_bin", spread(F.col("t_aln"), F.col("t_aln") + F.col("t_len") - 1))
-    met = (F.col("chr") == F.col("t_chr")) & (F.col("a_bin") == F.col("t_bin")) & (F.col("t_aln") <= F.col("hi")) & (F.col("t_aln") + F.col("t_len") > F.col("lo"))
-    dst = placed.select(*KEY, "lo", "hi", spread(F.col("lo"), F.col("hi")).alias("a_bin")).join(t, met).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("t_seq", "t_aln", "t_len"))).alias("dst"))
+    """``wanted`` (chr, seq_id, level, bin) with src, dst, before, bases, base_start of the window [bin * size, (bin + 2) * size), size = step * 2 ** level.
+
+    A column of the target belongs to the last block that begins at or before it, so each block is spread over the bins of columns up to the
+    next one, the first from column 0; columns in bins after the last block have all bases of the target before them.
+    """
     if "start" not in reference.columns:
         reference = reference.select("name", F.lit(0).cast("long").alias("start"), "seq")
-    # pieces of the target, those of one record cut at multiples of the step
-    at = F.sequence(F.floor(F.col("start") / step), F.floor((F.col("start") + F.length("seq") - 1) / step))
-    from_ = lambda k: F.greatest(k * step, F.col("start"))
-    cut = lambda k: F.struct(k.alias("piece"), from_(k).alias("begin"), F.substring(F.col("seq"), (from_(k) - F.col("start") + 1).cast("int"), ((k + 1) * step - from_(k)).cast("int")).alias("text"))
-    pieces = reference.where(F.length("seq") > 0).select(F.col("name").alias("chr"), F.explode(F.transform(at, cut)).alias("p")).select("chr", "p.*")
-    needed = placed.select(*KEY, spread(F.col("before"), F.col("after"), step).alias("piece"))
-    texts = needed.join(pieces, ["chr", "piece"]).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("begin", "text"))).alias("texts"))
-    out = placed.join(dst, KEY, "left").join(texts, KEY, "left")
-    return out.select(
-        *KEY, "src", F.coalesce("dst", F.array().cast("array<struct<t_seq:bigint,t_aln:bigint,t_len:bigint>>")).alias("dst"), "before",
-        F.coalesce(F.array_join(F.transform("texts", lambda x: x["text"]), ""), F.lit("")).alias("bases"), F.coalesce(F.col("texts")[0]["begin"], F.lit(0)).alias("base_start"),
-    )
+    return wanted.sparkSession.sql(_CHUNKS, wanted=wanted, blocks=blocks, reference=reference, target=target, step=step, width=BIN)
 
 
 def blocks_array(items: list[dict]) -> np.ndarray:
