@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +30,7 @@ BLOCK = frozenset(
 )
 #: An opening tag ends these open elements, up to the nearest of the second set.
 ENDS_P = BLOCK - {"br", "button", "body", "caption", "head", "html", "legend", "option", "optgroup", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "video", "canvas", "iframe"}
+KEEPS_P = ("td", "th", "button", "table", "li", "div", "article", "section")
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)""", re.S)
@@ -77,8 +78,15 @@ def parse(page: str) -> Tree:
             if near:
                 tree.text[last] += " "
 
+    #: Where on the stack the open elements of each tag are, so that none is searched for.
+    opened: dict[str, list[int]] = {}
+
+    def nearest(tags: Iterable[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close(to: int) -> None:
-        del stack[to:]
+        while len(stack) > to:
+            opened[tree.tag[stack.pop()]].pop()
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -91,8 +99,7 @@ def parse(page: str) -> Tree:
             continue
         block += tag in BLOCK
         if m[1]:
-            to = next((k for k in range(len(stack) - 1, 0, -1) if tree.tag[stack[k]] == tag), 0)
-            if to:
+            if to := nearest((tag,)):
                 close(to)
             continue
         if tag in RAW:
@@ -100,24 +107,16 @@ def parse(page: str) -> Tree:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == "p":
-                    close(k)
-                    break
-                if tree.tag[stack[k]] in ("td", "th", "button", "table", "li", "div", "article", "section"):
-                    break
-        if tag in CLOSED_BY:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] in CLOSED_BY[tag]:
-                    close(k)
-                    if tag != "tr" or tree.tag[stack[-1]] not in CLOSED_BY[tag]:
-                        break
-                elif tree.tag[stack[k]] in SCOPE[tag]:
-                    break
+        if tag in ENDS_P and (to := nearest(("p",))) > nearest(KEEPS_P):
+            close(to)
+        while tag in CLOSED_BY and (to := nearest(CLOSED_BY[tag])) > nearest(SCOPE[tag]):
+            close(to)
+            if tag != "tr" or tree.tag[stack[-1]] not in CLOSED_BY[tag]:
+                break
         words = " ".join(x for a in ATTRIBUTE.findall(m[3]) for x in (a[1] or a[2] or a[3]).lower().split())
         node = tree.add(stack[-1], tag, words)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
+            opened.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return tree
 

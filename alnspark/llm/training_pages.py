@@ -155,5 +155,32 @@ class Layout:
         return f"<!DOCTYPE html><html>{head}<body>{inner}</body></html>" if self.r.random() < 0.9 else inner
 
 
+class PlainLayout(Layout):
+    """Pages of few signs: articles of short blocks without class names, or of bare text, between menus and footers that their tags or links tell."""
+
+    def block(self) -> str:
+        text = self.sentences(1, 1) if self.r.random() < 0.7 else self.sentences(2, 5)
+        tag = self.r.choice(["div"] * 6 + ["p", "p", "section", "span"])
+        return f"<{tag}>{self.good(text)}</{tag}>"
+
+    def page(self) -> str:
+        if self.r.random() < 0.15:
+            return "\n".join(self.good(self.sentences(1, 3)) for _ in range(self.r.randint(1, 6)))
+        title = f"<{(t := self.r.choice(['h1', 'h1', 'h2']))}>{self.good(self.words(1, 8))}</{t}>" if self.r.random() < 0.6 else ""
+        inner = title + "".join(self.block() for _ in range(self.r.choice([1, 2, 2, 3, 5, 8, 12])))
+        if self.r.random() < 0.15:
+            inner = title + " ".join([self.good(self.sentences(1, 3)), *(f"<br>{self.good(self.sentences(1, 2))}" for _ in range(self.r.randint(0, 4)))])
+        if self.r.random() < 0.4:
+            inner = f"<div>{inner}</div>"
+        links = [self.link() for _ in range(self.r.randint(2, 9))]
+        menu = self.r.choice([f"<nav>{''.join(links)}</nav>", "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", f"<div>{' '.join(links)}</div>", "<nav><ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul></nav>"])
+        before = "".join(x for x in (f"<header>{self.words(1, 4)}</header>", menu) if self.r.random() < 0.6)
+        after = "".join(x for x in (f"<aside>{self.sentences(1, 3)}</aside>", f"<form><label>{self.words(1, 2)}</label><input><button>{self.words(1, 1)}</button></form>") if self.r.random() < 0.2)
+        foot = f"<footer>{self.r.choice([self.words(1, 6), '&copy; ' + self.words(1, 4), self.sentences(1, 1), self.link()])}</footer>" if self.r.random() < 0.7 else ""
+        inner = f"{before}{inner}{after}{foot}"
+        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{inner}</body></html>" if self.r.random() < 0.7 else inner
+
+
 def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
-    return [Layout(seed * 100_003 + k).page() for k in range(n)]
+    """``n`` pages of many signs and a third as many of few."""
+    return [Layout(seed * 100_003 + k).page() for k in range(n)] + [PlainLayout(seed * 100_003 + n + k).page() for k in range(n // 3)]

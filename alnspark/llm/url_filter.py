@@ -41,10 +41,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     then the longer host, then block before allow.  Without one, rule is null and the verdict is ``default``.  A null
     URL, or one without ``://``, has an empty host and path.  Repeated rows and null ids are judged each.
 
-    Path prefixes are cut at the lengths that occur in rule paths, so any string prefix is met exactly.
+    Path prefixes are cut at the lengths that occur in rule paths, so any string prefix is met exactly; host suffixes have at most
+    as many labels as the longest rule host, so a URL of very many labels makes no more of them.
     """
     rules = rules.select(ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), "rule", F.col("verdict").alias("r_verdict"))
     lengths = rules.select(F.length("r_path").alias("n")).distinct().orderBy("n")  # a few: no path is longer than a URL
+    depth = rules.agg(F.max(F.size(F.split("r_host", r"\."))).alias("n")).first()["n"] or 1
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     rules = rules.withColumn("r_digest", digest(F.concat_ws("\n", "r_host", "r_path"))).withColumn("short", F.substring("r_digest", 1, PREFIX))
     best = F.struct(F.length("rule").alias("n"), F.length("r_host").alias("m"), (F.col("r_verdict") == "block").alias("b"), "rule", "r_verdict")
@@ -55,7 +57,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url")).select("id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (depth - 1)), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat_ws("\n", h, p))))
     expanded = rows.withColumn("expression", F.explode_outer(expressions)).withColumn("digest", digest(F.col("expression"))).withColumn("short", F.substring("digest", 1, PREFIX))

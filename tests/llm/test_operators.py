@@ -267,9 +267,26 @@ PAGES = [
     ("<table><tr><td><p>A page laid out in a table, long ago, with an article in a cell. It goes on for a while.</p></td><td><a href=1>a</a><br><a href=2>b</a></td></tr></table>", "A page laid out in a table, long ago, with an article in a cell. It goes on for a while."),
     ("<main><div><p>Deep one.</p></div><aside><p>Not me. At all.</p></aside><form><p>Not me.</p><input></form></main>", "Deep one."),
     ("<article><p>x</p></article>", "x"),
+    ("<body><nav><a href=1>Home</a><a href=2>News</a></nav>" + "".join(f"<div>{x} went out.</div>" for x in "Ann Bob Cid Dan Eve Fay Gus Hal".split()) + "<footer>About us</footer></body>", " ".join(f"{x} went out." for x in "Ann Bob Cid Dan Eve Fay Gus Hal".split())),
+    ("<nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav><div><div>It rained.</div><div>We stayed in.</div><div>Then it was over.</div></div><footer>Imprint</footer>", "It rained. We stayed in. Then it was over."),
+    ("<h1>A title</h1><div>The first paragraph of it.</div><div>And the second one.</div>", "A title The first paragraph of it. And the second one."),
+    ("<body><h2>A title</h2><div>The first paragraph of it, with a few more words. It has two sentences.</div><div>And the second one.</div></body>", "A title The first paragraph of it, with a few more words. It has two sentences. And the second one."),
+    ("This page has no markup at all. It is text, and all of it counts.", "This page has no markup at all. It is text, and all of it counts."),
+    ("Short text.\n\nMore &amp; more of it.", "Short text. More & more of it."),
 ]
 
 
+def test_parsing_is_linear():
+    """Nested elements, stray end tags, and elements that look for what they end."""
+    import time
+
+    n = 100_000
+    for page in ("<div>" * n + "</span>" * n, "<p><button>" + "<b>" * n + "<hr>" * n, "<ul><li>" + "<i>" * n + "</u></b>" * n, "<table>" + "<tr><td>" * n):
+        start = time.process_time()
+        html_text.parse(page)
+        assert time.process_time() - start < 4
+
+
 @pytest.mark.parametrize(("page", "text"), PAGES)
 def test_extraction_of_pages_by_hand(page, text):
     assert html_text.default_model().texts([page]) == [text]
@@ -318,6 +335,14 @@ def test_url_rules(spark):
     assert twice.count() == 2 * len(urls)
 
 
+def test_a_host_of_very_many_labels(spark):
+    """Only suffixes as long as a rule's host are made."""
+    rules = url_filter.rule_table(spark, [("block", "b.example.net/"), ("allow", "org/")])
+    hosts = ["a." * 100_000 + "b.example.net", "a." * 100_000 + "org", "x" * 300_000 + ".net"]
+    df = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict, r.rule) for r in url_filter.filter_urls(df, rules).collect()) == [(0, "block", "b.example.net/"), (1, "allow", "org/"), (2, "allow", None)]
+
+
 def test_url_rules_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
     rules = url_filter.rule_table(spark, [("block", "net/"), ("allow", "example.net/en/")])
