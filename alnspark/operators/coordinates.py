@@ -13,13 +13,34 @@ BIN = 1 << 13
 
 
 def build_msa_index(aligned: DataFrame) -> DataFrame:
-    """Blocks (chr, seq_id, aln_start, seq_start, len) of gapped sequences (chr, seq_id, seq); gaps are ``-``."""
-    runs = aligned.select("chr", "seq_id", F.posexplode(F.regexp_extract_all("seq", F.lit("(-+|[^-]+)"), F.lit(1))).alias("k", "run"))
-    runs = runs.select("chr", "seq_id", "k", F.length("run").cast("long").alias("len"), F.col("run").startswith("-").alias("gap"))
-    before = Window.partitionBy("chr", "seq_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    """Blocks (chr, seq_id, aln_start, seq_start, len) of gapped sequences (chr, seq_id, seq); gaps are ``-``.
+
+    Sequences may come in pieces, with ``start`` the column where a piece begins: then no task holds a sequence.  Runs are found within a
+    piece; over the pieces of a sequence, a row of numbers each, the bases before a piece are summed and the place where a run that is
+    open at a piece's end began is handed on, so that a run over several pieces is one block.
+    """
+    whole = "start" not in aligned.columns
+    pieces = aligned.withColumn("start", F.lit(0).cast("long")) if whole else aligned
+    runs = pieces.select("chr", "seq_id", "start", F.posexplode(F.regexp_extract_all("seq", F.lit("(-+|[^-]+)"), F.lit(1))).alias("k", "run"))
+    runs = runs.select("chr", "seq_id", "start", "k", F.length("run").cast("long").alias("len"), F.col("run").startswith("-").alias("gap"))
+    before = Window.partitionBy("chr", "seq_id", "start").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("len").over(before), F.lit(0))
     seq_at = F.coalesce(F.sum(F.when(F.col("gap"), 0).otherwise(F.col("len"))).over(before), F.lit(0))
-    return runs.withColumn("aln_start", at).withColumn("seq_start", seq_at).where("NOT gap").select("chr", "seq_id", "aln_start", "seq_start", "len")
+    runs = runs.withColumn("at", at).withColumn("seq_at", seq_at).where("NOT gap")
+    if whole:
+        return runs.select("chr", "seq_id", F.col("at").alias("aln_start"), F.col("seq_at").alias("seq_start"), "len")
+    n, tail = F.length("seq"), F.length(F.regexp_extract("seq", "([^-]*)$", 1))
+    ends = pieces.select("chr", "seq_id", "start", n.alias("n"), F.length(F.replace(F.col("seq"), F.lit("-"), F.lit(""))).alias("bases"), tail.alias("tail"), ((n > 0) & ~F.col("seq").startswith("-")).alias("begins"))
+    over = Window.partitionBy("chr", "seq_id").orderBy("start")
+    past = over.rowsBetween(Window.unboundedPreceding, -1)
+    meets = (F.lag("tail").over(over) > 0) & (F.lag(F.col("start") + F.col("n")).over(over) == F.col("start"))
+    ends = ends.withColumn("continues", F.coalesce(F.col("begins") & meets, F.lit(False))).withColumn("before", F.coalesce(F.sum("bases").over(past), F.lit(0)))
+    open_ = F.when((F.col("tail") > 0) & ~(F.col("continues") & (F.col("tail") == F.col("n"))), F.col("start") + F.col("n") - F.col("tail"))
+    carried = ends.withColumn("open", open_).withColumn("origin", F.last("open", True).over(past))
+    carried = carried.select(F.col("chr").alias("c_chr"), F.col("seq_id").alias("c_seq"), F.col("start").alias("c_start"), "continues", "before", "origin")
+    met = runs.join(carried, (F.col("chr") == F.col("c_chr")) & (F.col("seq_id") == F.col("c_seq")) & (F.col("start") == F.col("c_start")))
+    first = F.when((F.col("k") == 0) & F.col("continues"), F.col("origin")).otherwise(F.col("start") + F.col("at"))
+    return met.groupBy("chr", "seq_id", first.alias("aln_start")).agg(F.min(F.col("before") + F.col("seq_at")).alias("seq_start"), F.sum("len").alias("len"))
 
 
 def aligned_lengths(aligned: DataFrame) -> DataFrame:

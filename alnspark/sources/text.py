@@ -99,6 +99,46 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_extract(head, "^(\\S*)", 1).alias("name"), F.regexp_extract(head, "^\\S*\\s*(.*)$", 1).alias("description"), body.alias("seq"))
 
 
+def read_fasta_pieces(spark: SparkSession, path: str, width: int = 1 << 20) -> DataFrame:
+    """(name, description, start, seq): records in pieces of whole lines, about ``width`` bases each, from base ``start``.
+
+    A file is split anywhere, as text is.  Lines of a split are numbered and summed within it; of each split only its last record's header and
+    bases meet those of the file's other splits, which gives the record and the offset of the lines before a split's first header.
+    Records without bases have no piece.  A line is never cut, so no row holds a record whose lines are folded.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    head = F.col("value").startswith(">")
+    split = Window.partitionBy("file", "block").orderBy("line")
+    lines = lines.withColumn("rec", F.sum(head.cast("long")).over(split)).withColumn("bases", F.when(head, "").otherwise(F.regexp_replace("value", r"\s", ""))).withColumn("n", F.length("bases").cast("long"))
+    record = Window.partitionBy("file", "block", "rec").orderBy("line")
+    lines = lines.withColumn("header", F.first(F.when(head, F.col("value"))).over(record.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("at", F.coalesce(F.sum("n").over(record.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    tails = lines.groupBy("file", "block", "rec").agg(F.max("header").alias("header"), F.sum("n").alias("n"))
+    tails = tails.groupBy("file", "block").agg(F.max_by(F.struct("rec", "header", "n"), "rec").alias("tail")).select("file", "block", "tail.*")
+    order = Window.partitionBy("file").orderBy("block")
+    chain = Window.partitionBy("file", "chain").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    tails = tails.withColumn("chain", F.sum(F.col("header").isNotNull().cast("long")).over(order))
+    tails = tails.withColumn("c_head", F.first("header").over(chain)).withColumn("c_record", F.first(F.concat_ws(":", "block", "rec")).over(chain)).withColumn("c_n", F.sum("n").over(chain))
+    carried = tails.select(F.col("file").alias("c_file"), F.col("block").alias("c_block"), *(F.lag(x).over(order).alias(x) for x in ("c_head", "c_record", "c_n")))
+
+    met = lines.where(~head & (F.col("n") > 0)).join(carried, (F.col("file") == F.col("c_file")) & (F.col("block") == F.col("c_block")))
+    own = F.col("rec") > 0
+    placed = met.select(
+        "file", "bases", F.when(own, F.col("header")).otherwise(F.col("c_head")).alias("header"), F.when(own, F.concat_ws(":", "block", "rec")).otherwise(F.col("c_record")).alias("record"),
+        F.when(own, F.col("at")).otherwise(F.col("at") + F.coalesce("c_n", F.lit(0))).alias("at"),
+    )
+    pieces = placed.where("header IS NOT NULL").groupBy("file", "record", "header", F.floor(F.col("at") / width).alias("piece")).agg(F.min("at").alias("start"), F.sort_array(F.collect_list(F.struct("at", "bases"))).alias("parts"))
+    title = F.expr("substring(header, 2)")
+    return pieces.select(F.regexp_extract(title, r"^(\S*)", 1).alias("name"), F.regexp_extract(title, r"^\S*\s*(.*)$", 1).alias("description"), "start", F.array_join(F.transform("parts", lambda x: x["bases"]), "").alias("seq"))
+
+
+def read_a2m_pieces(spark: SparkSession, path: str, width: int = 1 << 20) -> DataFrame:
+    """Aligned sequences as read_a2m() gives them, in pieces (chr, seq_id, start, seq) from column ``start``."""
+    records = read_fasta_pieces(spark, path, width)
+    return records.select(F.col("name").alias("chr"), F.get(F.split("description", "\t"), F.lit(0)).alias("seq_id"), "start", "seq")
+
+
 def read_a2m(spark: SparkSession, path: str) -> DataFrame:
     """Aligned sequences (chr, seq_id, seq) of gapped FASTA whose header is chromosome, tab, sequence."""
     records = read_fasta(spark, path)

@@ -1,6 +1,8 @@
 """Text and BAM sources, sinks and their round trips; streams."""
 
 import gzip
+import random
+import re
 import struct
 
 import pytest
@@ -172,6 +174,36 @@ def test_vcf_and_bed(spark, tmp_path):
     assert text.read_bed(spark, str(tmp_path / "out")).count() == 3
 
 
+def test_pieces_of_fasta_and_of_the_index(spark, tmp_path):
+    """Small splits and pieces: records begin and end anywhere, and blocks run over several pieces."""
+    r = random.Random(3)
+    records = [(f"c{k % 2}", f"s{k}", "".join(("-" if r.random() < 0.5 else r.choice("ACGT")) * r.randint(1, 40) for _ in range(n))) for k, n in enumerate((1, 30, 0, 2, 60, 5))]
+    records.append(("c1", "whole", "A" * 700))
+    text_of = lambda seq: "".join(seq[a : a + 17] + "\n" for a in range(0, len(seq), 17))
+    (tmp_path / "x.a2m").write_text("".join(f">{c}\t{s}\n{text_of(seq)}" for c, s, seq in records))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        pieces = text.read_a2m_pieces(spark, str(tmp_path / "x.a2m"), 64)
+        assert spark.read.text(str(tmp_path / "x.a2m")).rdd.getNumPartitions() > 3
+        rows = pieces.collect()
+        blocks = sorted(map(tuple, coordinates.build_msa_index(pieces).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    found = {}
+    for row in sorted(rows, key=lambda x: x.start):
+        assert len(found.setdefault((row.chr, row.seq_id), "")) == row.start and len(row.seq) < 64 + 17
+        found[row.chr, row.seq_id] += row.seq
+    assert found == {(c, s): seq for c, s, seq in records if seq}
+    whole = spark.createDataFrame([x for x in records if x[2]], "chr string, seq_id string, seq string")
+    want, cut = [], lambda s: [(m.start(), m.end()) for m in re.finditer("[^-]+", s)]
+    for c, s, seq in records:
+        want += [(c, s, a, len(seq[:a].replace("-", "")), b - a) for a, b in cut(seq)]
+    assert blocks == sorted(want) == sorted(map(tuple, coordinates.build_msa_index(whole).collect()))
+
+
 def test_fasta_lists_and_index(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a first one\nACGT\nAC\n>b\nTT\n")
     assert [tuple(r) for r in text.read_fasta(spark, str(tmp_path / "x.fa")).orderBy("name").collect()] == [("a", "first one", "ACGTAC"), ("b", "", "TT")]
