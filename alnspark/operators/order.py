@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
-def within_reference():
-    """The window of a reference's records in order."""
-    return Window.partitionBy("rname").orderBy("pos", "rec_idx")
-
-
 def coordinate_sort(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("rname").asc_nulls_last(), "pos", "rec_idx")
 
@@ -54,10 +48,19 @@ def consecutive_runs(df: DataFrame, width: int = 1 << 20) -> DataFrame:
     return out.withColumn("run", run).drop("slab", "starts", "base")
 
 
-def unsorted(df: DataFrame) -> DataFrame:
-    """Records that begin before the one before them on the same reference, in the order of rec_idx."""
-    before = F.lag("pos").over(Window.partitionBy("rname").orderBy("rec_idx"))
-    return df.withColumn("before", before).where("pos < before").drop("before")
+def unsorted(df: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Records that begin before the one before them on the same reference, in the order of rec_idx.
+
+    Neighbours are compared within ranges of rec_idx; only the last record of each reference in a range meets those of other ranges.
+    """
+    slabbed = df.withColumn("slab", F.floor(F.col("rec_idx") / width))
+    lasts = slabbed.groupBy("rname", "slab").agg(F.max_by("pos", "rec_idx").alias("last"))
+    lasts = lasts.withColumn("carried", F.lag("last").over(Window.partitionBy("rname").orderBy("slab")))
+    lasts = lasts.select(F.col("rname").alias("l_rname"), F.col("slab").alias("l_slab"), "carried")
+    within = Window.partitionBy("rname", "slab").orderBy("rec_idx")
+    met = slabbed.join(lasts, F.col("rname").eqNullSafe(F.col("l_rname")) & (F.col("slab") == F.col("l_slab")))
+    before = F.when(F.row_number().over(within) == 1, F.col("carried")).otherwise(F.lag("pos").over(within))
+    return met.withColumn("before", before).where("pos < before").select(*df.columns)
 
 
 def distinct_union(*tables: DataFrame) -> DataFrame:

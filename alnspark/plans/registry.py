@@ -296,10 +296,9 @@ def target_counts(spark, d):
 # --------------------------------------------------------------------------- order and sets
 
 
-@query(ALN + "SELECT CAST(row_number() OVER (ORDER BY rname, pos, rec_idx) AS INT) AS place, rec_idx FROM alignments WHERE rname = 'chr1/s2'")
+@query(ALN + "SELECT row_number() OVER (ORDER BY rname NULLS LAST, pos, rec_idx) AS place, rname, rec_idx FROM alignments")
 def coordinate_sort(spark, d):
-    one = filters.on_contig(view(spark, d, "alignments"), "chr1/s2")
-    return order.coordinate_sort(one).select(F.row_number().over(order.within_reference()).alias("place"), "rec_idx")
+    return order.coordinate_sort(order.coordinate_places(view(spark, d, "alignments"))).select("place", "rname", "rec_idx")
 
 
 @query(ALN + "SELECT row_number() OVER (ORDER BY rname NULLS LAST, pos, rec_idx) AS place, rec_idx FROM alignments")
@@ -323,10 +322,11 @@ def range_union(spark, d):
     return order.distinct_union(one, one.withColumn("location", F.col("location") + 1))
 
 
-@query(ALN + "SELECT rec_idx, 0 AS part FROM alignments WHERE rec_idx % 2 = 0 UNION ALL SELECT rec_idx, 1 FROM alignments WHERE rec_idx % 3 = 0")
+@query(cte("alignments", "variants") + "SELECT rname AS name, CAST(pos AS BIGINT) AS at, 0 AS part FROM alignments UNION ALL SELECT chrom, pos, 1 FROM variants")
 def concatenation(spark, d):
-    df = view(spark, d, "alignments")
-    return order.concatenate(df.where("rec_idx % 2 = 0"), df.where("rec_idx % 3 = 0")).select("rec_idx", "part")
+    """Places of reads and of variants, two tables of the same columns."""
+    reads = view(spark, d, "alignments").select(F.col("rname").alias("name"), F.col("pos").cast("long").alias("at"))
+    return order.concatenate(reads, view(spark, d, "variants").select(F.col("chrom").alias("name"), F.col("pos").alias("at")))
 
 
 @query(ALN + "SELECT rec_idx, 0 AS part FROM alignments UNION ALL SELECT rec_idx, 1 FROM alignments")

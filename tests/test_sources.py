@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from alnspark.functions import cigar as C
 from alnspark.functions import text as T
-from alnspark.operators import coordinates, headers, project, stats, subset, support
+from alnspark.operators import coordinates, headers, order, overlap, project, stats, subset, support
 from alnspark.sources import bam, bgzf, sinks, text
 from alnspark.streaming import alignments as streaming
 
@@ -204,6 +204,24 @@ def test_pieces_of_fasta_and_of_the_index(spark, tmp_path):
     assert blocks == sorted(want) == sorted(map(tuple, coordinates.build_msa_index(whole).collect()))
 
 
+def test_overlaps_and_order_in_slabs(spark):
+    """Narrow slabs and bins against every pair, long and empty intervals included."""
+    r = random.Random(8)
+    left = [(k, f"c{r.randint(0, 2)}", a := r.randint(0, 90), a + r.choice([0, 1, 3, 60])) for k in range(80)]
+    right = [(f"c{r.randint(0, 1)}", a := r.randint(0, 90), a + r.choice([0, 1, 2, 5, 40])) for _ in range(25)]
+    one, two = spark.createDataFrame(left, "start long, chr string, a long, b long"), spark.createDataFrame(right, "r_chr string, lb long, rb long")
+    meets = lambda x, y: x[2] < y[2] and y[1] < x[3] and y[1] < y[2]
+    got = overlap.overlapping(one, "a", "b", two, "lb", "rb", [("chr", "r_chr")], width=8)
+    assert got.columns == one.columns and sorted(x.start for x in got.collect()) == [x[0] for x in left if any(x[1] == y[0] and meets(x, y) for y in right)]
+    assert sorted(x.start for x in overlap.overlapping(one, "a", "b", two, "lb", "rb", width=8).collect()) == [x[0] for x in left if any(meets(x, y) for y in right)]
+    assert overlap.overlapping(one, "a", "b", two.limit(0), "lb", "rb", [("chr", "r_chr")]).count() == 0
+    rows, last, want = [(k, r.choice(["a", "b", None]), r.randint(0, 9)) for k in range(60)], {}, []
+    for k, name, pos in rows:
+        want += [k] if name in last and pos < last[name] else []
+        last[name] = pos
+    assert sorted(x.rec_idx for x in order.unsorted(spark.createDataFrame(rows, "rec_idx long, rname string, pos int"), width=4).collect()) == want
+
+
 def test_fasta_lists_and_index(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a first one\nACGT\nAC\n>b\nTT\n")
     assert [tuple(r) for r in text.read_fasta(spark, str(tmp_path / "x.fa")).orderBy("name").collect()] == [("a", "first one", "ACGTAC"), ("b", "", "TT")]
