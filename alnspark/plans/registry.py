@@ -632,6 +632,26 @@ def support_metrics(spark, d):
     return support.support_metrics(view(spark, d, "variants"), alignments(spark, d), "chr1", 1, contig_prefix=True)
 
 
+_COUNTED = """, why AS (SELECT v.*, CASE WHEN chrom <> 'chr1' THEN 'chromosome mismatches' WHEN NOT EXISTS (SELECT 1 FROM regions r WHERE r.chr = v.chrom AND v.pos < r.rb AND r.lb < v.pos + length(v.ref)) THEN 'position mismatches'
+        WHEN zygosity <> 1 THEN 'zygosity mismatches' END AS metric FROM variants v),
+    outcomes AS (SELECT a.rec_idx, CASE WHEN (flag & 3844) <> 0 THEN 'flags not matched' WHEN rname IS NULL OR NOT starts_with(rname, 'chr1') THEN 'reference mismatches' WHEN rnext IS NULL OR NOT starts_with(rnext, 'chr1') THEN 'mate reference mismatches'
+        WHEN NOT EXISTS (SELECT 1 FROM why w WHERE w.metric IS NULL AND w.chrom = split_part(a.rname, '/', 1) AND a.pos <= w.pos AND w.pos < r.e) THEN 'position mismatches' ELSE 'matched alignments' END AS metric
+        FROM alignments a JOIN all_ends r USING (rec_idx)),
+    done AS (SELECT var_id, coalesce(metric, CASE WHEN NOT EXISTS (SELECT 1 FROM all_ends r JOIN outcomes o USING (rec_idx) JOIN alignments a USING (rec_idx)
+        WHERE o.metric = 'matched alignments' AND split_part(a.rname, '/', 1) = w.chrom AND r.pos <= w.pos AND w.pos < r.e AND w.pos + w.ref_len < r.anchor) THEN 'zero coverage' END) AS metric FROM why w),
+    names(line, metric) AS (VALUES ('S', 'chromosome mismatches'), ('S', 'position mismatches'), ('S', 'zygosity mismatches'), ('S', 'zero coverage'), ('T', 'flags not matched'), ('T', 'reference mismatches'), ('T', 'mate reference mismatches'), ('T', 'position mismatches'), ('T', 'matched alignments')),
+    found AS (SELECT 'S' AS line, metric FROM done UNION ALL SELECT 'T', metric FROM outcomes)
+    SELECT n.line, n.metric, count(f.metric) AS n FROM names n LEFT JOIN found f ON f.line = n.line AND f.metric = n.metric GROUP BY ALL
+    UNION ALL SELECT 'S', 'total variants', count(*) FROM variants UNION ALL SELECT 'T', 'reads processed', count(*) FROM alignments"""
+_ALL_ENDS = """, all_ends AS (SELECT rec_idx, pos, pos + sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN n ELSE 0 END) AS e, pos + sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') AND k <= last THEN n ELSE 0 END) AS anchor
+    FROM (SELECT *, max(CASE WHEN op IN ('M', '=', 'X') THEN k END) OVER (PARTITION BY rec_idx) AS last FROM items) GROUP BY rec_idx, pos)"""
+
+
+@query(cte("alignments", "items", "variants", "regions") + _ALL_ENDS + _COUNTED)
+def report_counters(spark, d):
+    return support.report_counters(view(spark, d, "variants"), alignments(spark, d), view(spark, d, "regions"), "chr1", 1, prefix="chr1", primary_only=True, same_ref=True, contig_prefix=True)
+
+
 @query(cte("variants") + "SELECT var_id, pos, CASE WHEN var_id % 5 <> 0 THEN ref END AS left_alleles, CASE WHEN var_id % 7 <> 0 THEN CASE WHEN var_id % 11 = 0 THEN 'X' ELSE ref END END AS right_alleles FROM variants WHERE ((var_id % 5 = 0) <> (var_id % 7 = 0)) OR (var_id % 11 = 0 AND var_id % 5 <> 0 AND var_id % 7 <> 0)")
 def support_diff(spark, d):
     v = view(spark, d, "variants")

@@ -93,3 +93,18 @@ def report_lines(variants: DataFrame, support: DataFrame) -> DataFrame:
     v = variants.select("var_id", F.lit(0).alias("part"), F.concat_ws("\t", F.lit("V"), "chrom", F.col("pos").cast("string"), "ids", "ref", "alts", F.col("zygosity").cast("string"), F.col("is_reversed").cast("string")).alias("value"))
     r = support.select("var_id", F.lit(1).alias("part"), F.concat_ws("\t", F.lit("R"), F.col("n").cast("string"), F.when(F.col("allele") == "", "<DEL>").otherwise(F.col("allele"))).alias("value"))
     return v.unionByName(r)
+
+
+def write_report(variants: DataFrame, support: DataFrame, counters: DataFrame, path: str, files: int | None = None) -> None:
+    """A support report as text files in order: the V line of each variant by chromosome and position with its R lines, then the lines of ``counters``.
+
+    Lines are dealt by ranges of variants, so those of a variant stand together in one file whatever the number of files.
+    """
+    place = variants.select("var_id", "chrom", "pos")
+    lines = report_lines(variants, support).join(place, "var_id").withColumn("tail", F.lit(0))
+    last = counters.select(F.lit(None).cast(lines.schema["var_id"].dataType).alias("var_id"), F.lit(2).alias("part"), F.concat_ws("\t", "line", "metric", F.col("n").cast("string")).alias("value"))
+    last = last.withColumn("chrom", F.lit(None).cast("string")).withColumn("pos", F.lit(None).cast("long")).withColumn("tail", F.lit(1))
+    key = ["tail", "chrom", "pos", "var_id"]
+    dealt = lines.unionByName(last)
+    dealt = dealt.repartitionByRange(files, *key) if files else dealt.repartitionByRange(*key)
+    dealt.sortWithinPartitions(*key, "part", "value").select("value").write.text(path)

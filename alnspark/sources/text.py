@@ -217,10 +217,18 @@ def read_coverage(spark: SparkSession, path: str, rname: str) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """(var_id, chrom, pos, ids, ref, alts, alleles): V lines of a support report with their R lines as ``n allele`` texts in one ordered string."""
-    lines = numbered_lines(spark, path).where(F.substring("value", 1, 2).isin("V\t", "R\t"))
-    group = F.sum((_field(0) == "V").cast("int")).over(Window.partitionBy(F.input_file_name()).orderBy("rec_idx"))
-    lines = lines.withColumn("g", group).withColumn("is_v", _field(0) == "V")
+    """(var_id, chrom, pos, ids, ref, alts, alleles): V lines of a support report with their R lines as ``n allele`` texts in one ordered string.
+
+    Lines are numbered within the splits of a file; R lines before a split's first V line belong to the last one of the splits before it.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.where(F.substring("value", 1, 2).isin("V\t", "R\t")).withColumn("is_v", F.col("value").startswith("V"))
+    lines = lines.withColumn("rec", F.sum(F.col("is_v").cast("long")).over(Window.partitionBy("file", "block").orderBy("line")))
+    last = lines.groupBy("file", "block").agg(F.max("rec").alias("most"))
+    past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(F.col("file").alias("l_file"), F.col("block").alias("l_block"), F.last(F.when(F.col("most") > 0, F.concat_ws(":", "block", "most")), True).over(past).alias("carried"))
+    lines = lines.join(last, (F.col("file") == F.col("l_file")) & (F.col("block") == F.col("l_block")))
+    lines = lines.withColumn("g", F.struct("file", F.when(F.col("rec") > 0, F.concat_ws(":", "block", "rec")).otherwise(F.col("carried")).alias("of")))
     v = lines.where("is_v").select("g", _field(1).alias("chrom"), _field(2).cast("long").alias("pos"), _field(3).alias("ids"), _field(4).alias("ref"), _field(5).alias("alts"))
     r = lines.where("NOT is_v").select("g", F.concat_ws(" ", _field(1), _field(2)).alias("line")).groupBy("g").agg(F.array_join(F.sort_array(F.collect_list("line")), ";").alias("alleles"))
     return v.join(r, "g", "left").select(F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ids", "ref", "alts").alias("var_id"), "chrom", "pos", "ids", "ref", "alts", F.coalesce("alleles", F.lit("")).alias("alleles"))

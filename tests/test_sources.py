@@ -222,6 +222,26 @@ def test_overlaps_and_order_in_slabs(spark):
     assert sorted(x.rec_idx for x in order.unsorted(spark.createDataFrame(rows, "rec_idx long, rname string, pos int"), width=4).collect()) == want
 
 
+def test_report_in_order(spark, tmp_path):
+    """Lines of a variant stay together over several files, counters come last."""
+    variants = spark.createDataFrame([(f"v{k}", f"c{k % 3}", 100 - k, "A", "T", 1, 0, "") for k in range(40)], "var_id string, chrom string, pos long, ref string, alts string, zygosity int, is_reversed int, ids string")
+    shown = spark.createDataFrame([(f"v{k}", a, n) for k in range(40) for a, n in (("A", k), ("", 2), ("T", 1))[: k % 4]], "var_id string, allele string, n long")
+    counters = spark.createDataFrame([("S", "total variants", 40), ("T", "reads processed", 7)], "line string, metric string, n long")
+    sinks.write_report(variants, shown, counters, str(tmp_path / "report"), files=4)
+    files = sorted((tmp_path / "report").glob("part-*"))
+    lines = [x.split("\t") for f in files for x in f.read_text().splitlines()]
+    assert len(files) > 1 and [x[0] for x in lines[-2:]] == ["S", "T"]
+    places = [(x[1], int(x[2])) for x in lines if x[0] == "V"]
+    assert places == sorted(places) and len(places) == 40
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")  # variants cut between their lines
+        got = {(x.chrom, x.pos): x.alleles for x in text.read_report(spark, str(tmp_path / "report")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(f"c{k % 3}", 100 - k): ";".join(sorted([f"{k} A", "2 <DEL>", "1 T"][: k % 4])) for k in range(40)}
+
+
 def test_fasta_lists_and_index(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a first one\nACGT\nAC\n>b\nTT\n")
     assert [tuple(r) for r in text.read_fasta(spark, str(tmp_path / "x.fa")).orderBy("name").collect()] == [("a", "first one", "ACGTAC"), ("b", "", "TT")]
