@@ -22,7 +22,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     """(text, 0 or 1) of a bounded sample of labelled rows that are not held out.
 
     Rows without a label, an id or a document don't count; of several labels of a document the highest does, and a repeated document
-    counts each time.  Labels meet ids and lengths first, so only the chosen texts are moved.
+    counts each time that it is chosen.  Labels meet ids and lengths first, so only the chosen texts are moved, each once.
     """
     known = labels.select(labels[id_col].alias("id"), labels[label].cast("int").alias("y")).dropna()
     if holding_out:
@@ -37,9 +37,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
             chosen.append((r["id"], r["t"], int(r["y"] > 0)))
     if not chosen:
         return []
-    wanted = docs.sparkSession.createDataFrame([*dict.fromkeys(chosen)], f"id {known.schema['id'].dataType.simpleString()}, t long, y int")  # at most ``rows``
-    met = every.withColumn("t", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "t"]).select("text", "y", "id", "t")
-    return [(r["text"], r["y"]) for r in met.orderBy(F.xxhash64("id"), "id", "t").limit(rows).select("text", "y").collect()]
+    kind = known.schema["id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([*dict.fromkeys(c[:2] for c in chosen)], f"id {kind}, t long")  # at most ``rows``
+    met = every.withColumn("t", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "t"]).groupBy("id", "t").agg(F.first("text").alias("text"))
+    texts = {(r["id"], r["t"]): r["text"] for r in met.collect()}  # each chosen text once, however often its row is repeated
+    return [(texts[i, t], y) for i, t, y in chosen]
 
 
 def score(docs: DataFrame, model: object, apply: Callable[[object, list[str]], list[pa.Array]], fields: str, names: list[str], id_col: str, text_col: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alnspark.llm import common, exact_dedup, html_text, minhash, mixing, quality, sentencepiece_fst, token_counts, topk, toxicity, transducer, training_pages, url_filter
+from alnspark.llm.labelled import sample
 from tests.oracle import compare, connect
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -168,6 +169,15 @@ def test_labels_of_held_out_rows_are_not_used(spark):
         assert a == b
 
 
+def test_the_sample_is_bounded_with_repeated_rows(spark):
+    """Rows repeated beyond the bound on characters: as many as were chosen come back, and each text is moved once."""
+    docs = documents(spark, ["long text " * 9] * 9 + ["short"] * 3, [1] * 9 + [2] * 3)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = sample(docs, labels, "quality", chars=200, holding_out=False)
+    assert sorted(got) == [("long text " * 9, 1)] * 2 + [("short", 0)] * 3
+    assert sample(docs, labels, "quality", rows=0, holding_out=False) == []
+
+
 def test_toxicity_finds_the_sentence(spark):
     r = random.Random(7)
     texts, y = [], []
