@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import io
+import operator
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceWriter,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
+from pyspark.sql.types import StructType
 
 from ..schema import ALIGNMENTS
 from .bgzf import BlockStream, content, exists, located
@@ -24,6 +40,9 @@ FIXED = struct.Struct("<iiBBHHHiiii")
 SCALARS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 #: The bin of an index that holds counts rather than chunks.
 COUNTS_BIN = 37450
+#: Levels of nested bins: the first bin of a level and the bits of its width; positions end at 2^29.
+LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+LINEAR = 14
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 #: Bytes of a block before compression; qualities as letters.
@@ -86,8 +105,8 @@ def read_header(stream) -> tuple[str, list[tuple[str, int]]]:
     return text, refs
 
 
-def read_records(stream: BlockStream, refs: list[tuple[str, int]], names: list[str], stop: int | None = None) -> Iterator[tuple]:
-    """The named columns of the records before virtual offset ``stop``; others aren't decoded.  rec_idx is a record's virtual offset."""
+def read_records(stream: BlockStream, refs: list[tuple[str, int]], names: list[str], stop: int | None = None, wanted: Callable[[dict], bool] | None = None) -> Iterator[tuple]:
+    """The named columns of the records before virtual offset ``stop`` whose fixed fields are ``wanted``; others aren't decoded.  rec_idx is a record's virtual offset."""
     name_of = lambda k: refs[k][0] if k >= 0 else None
     place = lambda k: k if k >= 0 else None
     while (at := stream.tell()) < (1 << 63 if stop is None else stop) and (head := stream.read(4)):
@@ -97,6 +116,8 @@ def read_records(stream: BlockStream, refs: list[tuple[str, int]], names: list[s
         seq_at = ops_at + 4 * n_ops
         qual_at = seq_at + (n_seq + 1) // 2
         got = {"rec_idx": at, "flag": flag, "rname": name_of(ref), "pos": place(pos), "mapq": q, "rnext": name_of(mate), "pnext": place(mate_pos), "tlen": tlen}
+        if wanted and not wanted(got):
+            continue
         if "qname" in names:
             name = data[FIXED.size : ops_at - 1].decode()
             got["qname"] = None if name == "*" else name
@@ -112,65 +133,248 @@ def read_records(stream: BlockStream, refs: list[tuple[str, int]], names: list[s
         yield tuple(got[n] for n in names)
 
 
-def record_starts(bai: bytes) -> list[int]:
-    """Virtual offsets at which a record begins, from a .bai: the starts of its chunks."""
+@dataclass
+class FileIndex:
+    """A .bai: for each reference the chunks of each bin, and the first virtual offset of each window of 2^14 positions."""
+
+    bins: list[dict[int, list[tuple[int, int]]]]
+    linear: list[tuple[int, ...]]
+
+    def starts(self) -> list[int]:
+        """Virtual offsets at which a record begins: the starts of all chunks."""
+        return sorted({a for of in self.bins for chunks in of.values() for a, _ in chunks})
+
+    def chunks(self, ref: int, low: int | None, high: int | None) -> list[tuple[int, int]]:
+        """Stretches, in order and apart, that hold the records of a reference that begin from ``low`` to ``high``; all its records if both are None."""
+        if ref >= len(self.bins):
+            return []
+        of, least = self.bins[ref], 0
+        if low is None and high is None:
+            found = [c for chunks in of.values() for c in chunks]
+        else:
+            first, last = max(low or 0, 0), min((1 << LEVELS[0][1]) - 1 if high is None else high, (1 << LEVELS[0][1]) - 1)
+            met = [range(base + (first >> bits), base + (last >> bits) + 1) for base, bits in LEVELS]
+            found = [c for k, chunks in of.items() if any(k in r for r in met) for c in chunks] if first <= last else []
+            windows = self.linear[ref]
+            least = windows[first >> LINEAR] if first >> LINEAR < len(windows) else 0
+        return apart([(a, b) for a, b in found if b > least])
+
+
+def read_index(bai: bytes) -> FileIndex:
     if bai[:4] != b"BAI\1":
         raise ValueError("not a BAM index")
-    out, at = set(), 8
+    at, all_bins, linear = 8, [], []
     for _ in range(struct.unpack_from("<i", bai, 4)[0]):
-        bins = struct.unpack_from("<i", bai, at)[0]
-        at += 4
-        for _ in range(bins):
+        (n_bins,) = struct.unpack_from("<i", bai, at)
+        at, bins = at + 4, {}
+        for _ in range(n_bins):
             bin_, n = struct.unpack_from("<Ii", bai, at)
-            at += 8
             if bin_ != COUNTS_BIN:
-                out.update(struct.unpack_from("<Q", bai, at + 16 * k)[0] for k in range(n))
-            at += 16 * n
-        at += 4 + 8 * struct.unpack_from("<i", bai, at)[0]
-    return sorted(out)
+                bins[bin_] = [struct.unpack_from("<QQ", bai, at + 8 + 16 * k) for k in range(n)]
+            at += 8 + 16 * n
+        (n,) = struct.unpack_from("<i", bai, at)
+        linear.append(struct.unpack_from(f"<{n}Q", bai, at + 4))
+        all_bins.append(bins)
+        at += 4 + 8 * n
+    return FileIndex(all_bins, linear)
+
+
+def apart(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, cut so that none overlaps the ones before."""
+    out, reached = [], 0
+    for a, b in sorted(ranges):
+        if b > max(a, reached):
+            out.append((max(a, reached), b))
+            reached = b
+    return out
+
+
+def next_block(file, at: int, size: int) -> int:
+    """The first place from ``at`` on where a block begins, or the file's size: a block's head that another one or the end follows."""
+    seen, start = b"", at
+    while True:
+        k = seen.find(END_BLOCK[:4])
+        while k < 0 or k + 18 > len(seen):
+            cut = len(seen) - 3 if k < 0 else k
+            start, seen = start + max(cut, 0), seen[max(cut, 0) :]
+            file.seek(start + len(seen))
+            more = file.read(1 << 16)
+            if not more:
+                return size
+            seen += more
+            k = seen.find(END_BLOCK[:4])
+        if seen[k + 12 : k + 14] == b"BC":
+            after = start + k + struct.unpack_from("<H", seen, k + 16)[0] + 1
+            file.seek(after)
+            if after == size or file.read(4) == END_BLOCK[:4]:
+                return start + k
+        start, seen = start + k + 1, seen[k + 1 :]
+
+
+def record_length(data: bytes | bytearray, at: int, refs: list[tuple[str, int]]) -> int | None:
+    """Bytes of the record that could begin at ``at``, as far as what is there tells; None if none could, 0 if too little is there to tell."""
+    if at + 4 + FIXED.size > len(data):
+        return 0
+    (length,) = struct.unpack_from("<i", data, at)
+    ref, pos, n_name, _, _, n_ops, _, n_seq, mate, mate_pos, _ = FIXED.unpack_from(data, at + 4)
+    for r, p in ((ref, pos), (mate, mate_pos)):
+        if not -1 <= r < len(refs) or p < -1 or (r >= 0 and 0 < refs[r][1] <= p):
+            return None
+    if n_name < 1 or n_seq < 0 or length < FIXED.size + n_name + 4 * n_ops + (n_seq + 1) // 2 + n_seq:
+        return None
+    name = data[at + 4 + FIXED.size : at + 4 + FIXED.size + n_name]
+    if any(not 33 <= c <= 126 for c in name[: n_name - 1]) or (len(name) == n_name and name[-1]):
+        return None
+    ops_at = at + 4 + FIXED.size + n_name
+    items = data[ops_at : ops_at + 4 * n_ops]
+    if any(x & 15 >= len(OPS) for (x,) in struct.iter_unpack("<I", items[: len(items) // 4 * 4])):
+        return None
+    return 4 + length
+
+
+def next_record(file, at: int, size: int, refs: list[tuple[str, int]], least: int = 8) -> int:
+    """Virtual offset of the first record that begins in a block at or after byte ``at``; the file's end if there is none.
+
+    A place is taken for one if ``least`` records follow each other from there, or all up to the end of the file.
+    """
+    block = next_block(file, at, size)
+    while block < size:
+        stream = BlockStream(file, block)
+        stream.load()
+        here, data, ended = len(stream.data), bytearray(stream.data), False
+        for u in range(here):
+            k, n = u, 0
+            while n < least:
+                length = record_length(data, k, refs)
+                if length is None:
+                    break
+                if length and k + length <= len(data):
+                    k, n = k + length, n + 1
+                elif ended:
+                    break
+                elif stream.load():
+                    data += stream.data
+                else:
+                    ended = True
+                if ended and k == len(data):
+                    n = least
+            if n >= least:
+                return block << 16 | u
+        block = BlockStream(file, block).after()
+    return size << 16
+
+
+def names_and_places(filters: list[Filter]) -> tuple[set[str] | None, int | None, int | None]:
+    """The reference names that filters leave, None for all, and the least and greatest position."""
+    names, low, high = None, None, None
+    for f in filters:
+        column = f.attribute[0]
+        if column == "rname" and isinstance(f, EqualTo | In):
+            some = set(f.value) if isinstance(f, In) else {f.value}
+            names = some if names is None else names & some
+        if column == "pos" and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+            at = f.value + isinstance(f, GreaterThan)
+            low = at if low is None else max(low, at)
+        if column == "pos" and isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+            at = f.value - isinstance(f, LessThan)
+            high = at if high is None else min(high, at)
+    return names, low, high
+
+
+#: Columns of a record's fixed part, and what filters on them ask.
+FIXED_COLUMNS = ("flag", "rname", "pos", "mapq", "rnext", "pnext", "tlen")
+ASKED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda x, some: x in some}
+
+
+def answers(filters: list[Filter]) -> Callable[[dict], bool] | None:
+    """Whether a record's fixed fields meet all filters; a null meets IsNull only."""
+    nulls = [(f.attribute[0], isinstance(f, IsNull)) for f in filters if isinstance(f, IsNull | IsNotNull)]
+    asked = [(f.attribute[0], ASKED[type(f)], f.value) for f in filters if type(f) in ASKED]
+    return (lambda got: all((got[c] is None) == is_null for c, is_null in nulls) and all(got[c] is not None and ask(got[c], value) for c, ask, value in asked)) if filters else None
 
 
 @dataclass
 class Span(InputPartition):
-    """Records of a file from one virtual offset to another, each open where None."""
+    """Records of stretches of a file, from one virtual offset to another, each open where None; if ``sought``, from the first record at or after one byte to that of another."""
 
     path: str
-    start: int | None
-    stop: int | None
+    ranges: list[tuple[int | None, int | None]]
+    sought: bool = False
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
         self.paths, self.names, self.split = options["path"].split(","), names, int(options.get("splitBytes", 64 << 20))
+        self.filters: list[Filter] = []
 
     def files(self) -> Iterator[str]:
         for path in self.paths:
             fs, at = located(path)
             if fs.get_file_info(at).type == pafs.FileType.Directory:
-                found = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.endswith(".bam"))
-                yield from (f"{path.rstrip('/')}/{name}" for name in found)
+                found = sorted(f.path[len(at.rstrip("/")) + 1 :] for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.base_name.endswith(".bam"))
+                yield from (f"{path.rstrip('/')}/{name}" for name in found if not any(x.startswith(("_", ".")) for x in name.split("/")))
             else:
                 yield path
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        names, low, high = names_and_places(self.filters)
+        out: list[InputPartition] = []
         for path in self.files():
-            cuts: list[int] = []
-            if exists(path + ".bai"):
-                for start in record_starts(content(path + ".bai")):
+            if not exists(path + ".bai"):
+                fs, at = located(path)
+                cuts = list(range(self.split, fs.get_file_info(at).size, self.split))
+                out += [Span(path, [(a, b)], sought=True) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+                continue
+            index = read_index(content(path + ".bai"))
+            if names is None:
+                cuts = []
+                for start in index.starts():
                     if (start >> 16) - ((cuts[-1] if cuts else 0) >> 16) >= self.split:
                         cuts.append(start)
-            out += [Span(path, a, b) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+                out += [Span(path, [(a, b)]) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+                continue
+            fs, at = located(path)
+            with fs.open_input_file(at) as file:
+                _, refs = read_header(BlockStream(file))
+            held = 0
+            for a, b in apart(c for k, (name, _) in enumerate(refs) if name in names for c in index.chunks(k, low, high)):
+                if not held:
+                    out.append(Span(path, []))
+                out[-1].ranges.append((a, b))
+                held = held + (b >> 16) - (a >> 16) + 1
+                held = 0 if held >= self.split else held
         return out
 
-    def read(self, partition: Span) -> Iterator[tuple]:
+    def read(self, partition: Span | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's single partition where there are none
+            return
+        wanted = answers(self.filters)
         fs, at = located(partition.path)
         with fs.open_input_file(at) as file:
             stream = BlockStream(file)
             _, refs = read_header(stream)
-            if partition.start is not None:
-                stream = BlockStream(file, partition.start >> 16, partition.start & 0xFFFF)
-            yield from read_records(stream, refs, self.names, partition.stop)
+            for start, stop in partition.ranges:
+                if partition.sought:
+                    first = stream.tell()
+                    size = file.size()
+                    start, stop = (None if x is None else max(first, next_record(file, x, size, refs)) for x in (start, stop))
+                    stream = BlockStream(file, first >> 16, first & 0xFFFF)
+                if start is not None:
+                    stream = BlockStream(file, start >> 16, start & 0xFFFF)
+                yield from read_records(stream, refs, self.names, stop, wanted)
+                if partition.sought and stop is not None and stream.tell() != stop:
+                    raise ValueError(f"{partition.path}: no record ends at {stop >> 16}; read it with its .bai or a larger splitBytes")
+
+
+class PruningBamReader(BamReader):
+    """A reader that answers filters itself: those on names and positions by the .bai, all on fixed fields before anything else of a record is decoded."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if type(f) in (*ASKED, IsNull, IsNotNull) and f.attribute in [(c,) for c in FIXED_COLUMNS]:
+                self.filters.append(f)
+            else:
+                yield f
 
 
 @dataclass
@@ -217,8 +421,9 @@ class BamWriter(DataSourceWriter):
 class BamSource(DataSource):
     """``spark.read.format("bam").load(path)``: files, folders of them, or a comma-separated list, on file systems that executors open.
 
-    A file with its .bai beside it is split at record starts at least ``splitBytes`` apart, others are one task each.  With
-    ``.schema(...)`` only those columns of ALIGNMENTS are decoded.  ``df.write.format("bam").option("header", text).mode("append").save(path)`` writes.
+    A file with its .bai beside it is split at record starts at least ``splitBytes`` apart, others at the first record that is found after each
+    ``splitBytes``; a task whose records don't end where the next one's begin fails.  With ``.schema(...)`` only those columns of ALIGNMENTS are decoded.
+    Option ``prune`` pushes filters down, see read_alignments().  ``df.write.format("bam").option("header", text).mode("append").save(path)`` writes.
     """
 
     @classmethod
@@ -229,12 +434,25 @@ class BamSource(DataSource):
         return ALIGNMENTS
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options, schema.fieldNames())
+        kind = PruningBamReader if str(self.options.get("prune", "false")).lower() == "true" else BamReader
+        return kind(self.options, schema.fieldNames())
 
     def writer(self, schema, overwrite: bool) -> BamWriter:
         return BamWriter(self.options, overwrite)
 
 
+def read_alignments(spark: SparkSession, path: str, columns: list[str] | None = None, split_bytes: int = 64 << 20) -> DataFrame:
+    """Alignments of BAM files whose scan prunes rows: filters on flag, rname, pos, mapq, rnext, pnext and tlen are answered by the source.
+
+    With a .bai, equality or membership in ``rname`` and bounds on ``pos`` read the chunks of the index only.  ``columns`` are those to decode, all if
+    None.  Spark asks for a session setting to push filters to Python sources, which this turns on; sources without push-down aren't affected.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BamSource)
+    schema = ALIGNMENTS if columns is None else StructType([ALIGNMENTS[c] for c in columns])
+    return spark.read.format("bam").schema(schema).option("prune", "true").option("splitBytes", split_bytes).load(path)
+
+
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of BAM files that only Spark's file systems reach: a file is a row of bytes up to 2 GB; the ``bam`` format has no such bound."""
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -293,13 +511,3 @@ def bam_blocks(rows: Iterator[Row], refs: list[tuple[str, int]], header: str) ->
     for k in range(0, len(block), BLOCK_BYTES):
         yield bgzf_block(bytes(block[k : k + BLOCK_BYTES]))
     yield END_BLOCK
-
-
-def bam_files(df: DataFrame, refs: list[tuple[str, int]], header: str) -> DataFrame:
-    """(part, content): each partition's alignments as a whole BAM file in one value; for files of any size use the ``bam`` format."""
-
-    def run(part, rows):
-        yield part, b"".join(bam_blocks(rows, refs, header))
-
-    names = [f.name for f in ALIGNMENTS]
-    return df.sparkSession.createDataFrame(df.select(*names).rdd.mapPartitionsWithIndex(run), "part int, content binary").orderBy(F.col("part"))

@@ -70,6 +70,12 @@ class BlockStream:
         self.next = self.start + size
         return True
 
+    def after(self) -> int:
+        """Where the block after the current one begins, or the file's end."""
+        if not self.data:
+            self.load()
+        return self.next
+
     def tell(self) -> int:
         while self.at >= len(self.data) and self.load():
             pass

@@ -54,9 +54,7 @@ def test_sam(spark, sam):
 
 def test_bam_round_trip(spark, sam, tmp_path):
     df = text.read_sam(spark, str(sam)).coalesce(1)
-    files = bam.bam_files(df, [("c1/a", 100), ("c2/a", 50)], "@HD\tVN:1.6\n").collect()
-    assert len(files) == 1
-    (tmp_path / "a.bam").write_bytes(bytes(files[0].content))
+    (tmp_path / "a.bam").write_bytes(b"".join(bam.bam_blocks(iter(df.collect()), [("c1/a", 100), ("c2/a", 50)], "@HD\tVN:1.6\n")))
     spark.dataSource.register(bam.BamSource)
     want = [tuple(r)[1:] for r in df.orderBy("rec_idx").collect()]
     for back in (spark.read.format("bam").load(str(tmp_path / "a.bam")), bam.read_bam(spark, str(tmp_path / "a.bam"))):
@@ -79,7 +77,7 @@ def test_bam_is_split_where_its_index_says(spark, tmp_path):
     spark.dataSource.register(bam.BamSource)
     load = lambda: spark.read.format("bam").option("splitBytes", 2000).load(str(path))
     one = load()
-    assert one.rdd.getNumPartitions() == 1
+    assert one.rdd.getNumPartitions() == -(-len(whole) // 2000)  # without an index, at the first record after each 2000 bytes
     want = [tuple(r)[1:] for r in some]
     begun = [r.rec_idx for r in one.orderBy("rec_idx").collect()]
     assert [tuple(r)[1:] for r in one.orderBy("rec_idx").collect()] == want
