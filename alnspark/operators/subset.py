@@ -55,10 +55,21 @@ def targets_of(names: DataFrame, wanted: DataFrame, prefix: bool = False) -> Dat
 
 
 def split_by_reference(df: DataFrame, wanted: DataFrame, prefix: bool = False) -> DataFrame:
-    """Alignments with the ``target`` they go to and their name there (``new_name`` where given); others have no target."""
-    where = targets_of(reference_names(df), wanted, prefix)
-    out = df.join(where, "rname", "left")
-    return out.withColumn("rname", F.coalesce("new_name", "rname")).drop("new_name")
+    """Alignments with the ``target`` they go to and their name there (``new_name`` where given); others have no target.  A mate's name is changed alike."""
+    has_mate = "rnext" in df.columns
+    used = df.select(F.explode(F.array("rname", "rnext")).alias("name")) if has_mate else df.select(F.col("rname").alias("name"))
+    where = targets_of(used.where("name IS NOT NULL").distinct(), wanted, prefix)
+    out = df.join(where, "rname", "left").withColumn("rname", F.coalesce("new_name", "rname")).drop("new_name")
+    if has_mate:
+        out = out.join(where.select(F.col("rname").alias("rnext"), "new_name"), "rnext", "left").withColumn("rnext", F.coalesce("new_name", "rnext")).drop("new_name")
+    return out.select(*df.columns, "target")
+
+
+def renamed_references(refs: DataFrame, wanted: DataFrame, prefix: bool = False) -> DataFrame:
+    """References (ref_idx, name, length) under the names that split_by_reference() gives; those that come to share one are one, in the first's place and with the greatest length."""
+    where = targets_of(refs.select("name"), wanted, prefix).select(F.col("rname").alias("name"), "new_name")
+    named = refs.join(where, "name", "left").select("ref_idx", F.coalesce("new_name", "name").alias("name"), "length")
+    return named.groupBy("name").agg(F.min("ref_idx").alias("ref_idx"), F.max("length").alias("length")).select("ref_idx", "name", "length")
 
 
 def target_counts(split: DataFrame, wanted: DataFrame) -> DataFrame:

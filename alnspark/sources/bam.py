@@ -495,19 +495,30 @@ def header_references(header: str) -> list[tuple[str, int]]:
     return [(f["SN"], int(f.get("LN", 0))) for f in lines]
 
 
-def bam_blocks(rows: Iterator[Row], refs: list[tuple[str, int]], header: str) -> Iterator[bytes]:
-    """The blocks of a BAM file, each made as soon as it is full."""
-    index = {name: k for k, (name, _) in enumerate(refs)}
+def header_blocks(refs: list[tuple[str, int]], header: str) -> Iterator[bytes]:
+    """Blocks that hold a BAM file's header and nothing else."""
     text = header.encode()
-    block = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)))
-    for n, length in refs:
-        block += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length)
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
+    head += b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in refs)
+    for k in range(0, len(head), BLOCK_BYTES):
+        yield bgzf_block(head[k : k + BLOCK_BYTES])
+
+
+def record_blocks(rows: Iterator[Row], index: dict[str, int]) -> Iterator[bytes]:
+    """Blocks of records, each made as soon as it is full; ``index`` numbers the references."""
+    block = bytearray()
     for row in rows:
         block += bam_record(row, index)
         if len(block) >= BLOCK_BYTES:
             full = len(block) // BLOCK_BYTES * BLOCK_BYTES
             yield from (bgzf_block(bytes(block[k : k + BLOCK_BYTES])) for k in range(0, full, BLOCK_BYTES))
             del block[:full]
-    for k in range(0, len(block), BLOCK_BYTES):
-        yield bgzf_block(bytes(block[k : k + BLOCK_BYTES]))
+    if block:
+        yield bgzf_block(bytes(block))
+
+
+def bam_blocks(rows: Iterator[Row], refs: list[tuple[str, int]], header: str) -> Iterator[bytes]:
+    """The blocks of a BAM file."""
+    yield from header_blocks(refs, header)
+    yield from record_blocks(rows, {name: k for k, (name, _) in enumerate(refs)})
     yield END_BLOCK

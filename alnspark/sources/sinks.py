@@ -38,20 +38,30 @@ def sam_lines(df: DataFrame) -> DataFrame:
     return df.select(F.array_join(F.concat(F.array(*fields), tags), "\t").alias("value"))
 
 
-def header_lines(refs: DataFrame, programs: DataFrame | None = None, order: str = "unsorted") -> DataFrame:
-    """(place, value): the header of references (ref_idx, name, length) and programs."""
+def header_lines(refs: DataFrame, programs: DataFrame | None = None, order: str = "unsorted", groups: DataFrame | None = None, comments: DataFrame | None = None) -> DataFrame:
+    """(value): the header of references (ref_idx, name, length), read groups (place, id, fields), programs and comments (place, text), as read_sam_header() gives them."""
     first = refs.sparkSession.createDataFrame([(0, 0, f"@HD\tVN:1.6\tSO:{order}")], "part int, k long, value string")
     lines = refs.select(F.lit(1).alias("part"), F.col("ref_idx").cast("long").alias("k"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.coalesce("length", F.lit(0)).cast("string")).alias("value"))
     out = first.unionByName(lines)
+    opt = lambda tag, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\t{tag}:"), c)).otherwise(F.lit(""))
+    if groups is not None:
+        rest = F.transform(F.array_sort(F.map_entries(F.map_filter("fields", lambda k, _: k != "ID"))), lambda e: F.concat(F.lit("\t"), e["key"], F.lit(":"), e["value"]))
+        out = out.unionByName(groups.select(F.lit(2).alias("part"), F.col("place").cast("long").alias("k"), F.concat(F.lit("@RG\tID:"), "id", F.array_join(rest, "")).alias("value")))
     if programs is not None:
-        opt = lambda tag, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\t{tag}:"), c)).otherwise(F.lit(""))
-        out = out.unionByName(programs.select(F.lit(2).alias("part"), F.col("place").cast("long").alias("k"), F.concat(F.lit("@PG\tID:"), "id", opt("PN", "name"), opt("CL", "command"), opt("VN", "version"), opt("PP", "previous")).alias("value")))
+        out = out.unionByName(programs.select(F.lit(3).alias("part"), F.col("place").cast("long").alias("k"), F.concat(F.lit("@PG\tID:"), "id", opt("PN", "name"), opt("CL", "command"), opt("VN", "version"), opt("PP", "previous")).alias("value")))
+    if comments is not None:
+        out = out.unionByName(comments.select(F.lit(4).alias("part"), F.col("place").cast("long").alias("k"), F.concat(F.lit("@CO\t"), "text").alias("value")))
     return out.orderBy("part", "k").select("value")
 
 
-def write_sam(df: DataFrame, refs: DataFrame, path: str, programs: DataFrame | None = None, order: str = "unsorted") -> None:
-    """Alignments as SAM files, one a partition, each with the whole header; a header has a line a reference and program."""
-    head = "\n".join(r["value"] for r in header_lines(refs, programs, order).collect())
+def header_text(*args, **how) -> str:
+    """header_lines() as one text; a header has a line a reference, group, program and comment."""
+    return "".join(r["value"] + "\n" for r in header_lines(*args, **how).collect())
+
+
+def write_sam(df: DataFrame, refs: DataFrame, path: str, programs: DataFrame | None = None, order: str = "unsorted", groups: DataFrame | None = None, comments: DataFrame | None = None) -> None:
+    """Alignments as SAM files, one a partition, each with the whole header."""
+    head = header_text(refs, programs, order, groups, comments).removesuffix("\n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
@@ -61,17 +71,17 @@ def write_sam(df: DataFrame, refs: DataFrame, path: str, programs: DataFrame | N
     sam_lines(df).mapInArrow(run, "value string").write.text(path)
 
 
-def write_bam(df: DataFrame, refs: DataFrame, path: str, programs: DataFrame | None = None, order: str = "unsorted") -> None:
+def write_bam(df: DataFrame, refs: DataFrame, path: str, programs: DataFrame | None = None, order: str = "unsorted", groups: DataFrame | None = None, comments: DataFrame | None = None) -> None:
     """Alignments as BAM files, one a partition, each with the whole header."""
     from .bam import BamSource
 
-    head = "".join(r["value"] + "\n" for r in header_lines(refs, programs, order).collect())
+    head = header_text(refs, programs, order, groups, comments)
     df.sparkSession.dataSource.register(BamSource)
     df.select(*ALIGNMENTS.fieldNames()).write.format("bam").option("header", head).mode("append").save(path)
 
 
 def write_split(df: DataFrame, path: str) -> None:
-    """Alignments with a target, one folder of Parquet for each."""
+    """Alignments with a target, one folder of Parquet for each; ``split_bam.write_split_bam`` writes BAM."""
     df.where("target IS NOT NULL").write.partitionBy("target").parquet(path)
 
 

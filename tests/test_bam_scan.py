@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 
 from alnspark.functions import cigar as C
+from alnspark.operators import subset
 from alnspark.schema import ALIGNMENTS
-from alnspark.sources import bam, bgzf
+from alnspark.sources import bam, bgzf, sinks, split_bam
 
 REFS = [("c1/a", 3_000_000), ("c2/a", 500_000), ("c3/a", 100)]
 HEADER = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in REFS)
@@ -156,3 +157,46 @@ def test_small_files_without_an_index(spark, tmp_path):
         for split in (20, 100, 1000):
             reader = bam.BamReader({"path": str(path), "splitBytes": str(split)}, ["qname"])
             assert [r[0] for s in reader.partitions() for r in reader.read(s)] == [r.qname for r in rows]
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_a_file_for_each_target(spark, tmp_path, single):
+    """One target holds most rows and is several parts; mates and headers are renamed, targets without rows have a file."""
+    rows = reads(spark, 600)
+    df = spark.createDataFrame(rows, ALIGNMENTS).withColumn("rnext", F.when(F.col("pos") % 2 == 0, F.lit("c2/a")))
+    refs = spark.createDataFrame([(k, n, size) for k, (n, size) in enumerate(REFS)], "ref_idx int, name string, length long")
+    wanted = spark.createDataFrame([("c1", "one"), ("c2/", ".two"), ("none", None)], "name string, new_name string")
+    split = subset.split_by_reference(df, wanted, prefix=True)
+    renamed = subset.renamed_references(refs, wanted, prefix=True)
+    header = sinks.header_text(renamed)
+    path = tmp_path / "out"
+    split_bam.write_split_bam(split, header, str(path), [r.name for r in wanted.collect()], "x-", single, files=5)
+    names = sorted(str(p.relative_to(path)) for p in path.rglob("*.bam"))
+    if single:
+        assert names == ["x-c1.bam", "x-c2%2F.bam", "x-none.bam"] and sorted(p.name for p in path.iterdir()) == names
+    else:
+        assert len([n for n in names if n.startswith("c1/")]) > 2 and "none/part-empty.bam" in names
+        assert sum(f["rows"] for f in split_bam.manifest(str(path))) == 800
+        assert rows_of(bam.read_alignments(spark, str(path))) == rows_of(split.where("target IS NOT NULL").drop("target"))
+    places = {"one": "c1", ".two": "c2/"}
+    for target in ("c1", "c2/", "none"):
+        mine = [n for n in names if split_bam.file_name(target) in n]
+        got = []
+        for n in mine:
+            reader = bam.BamReader({"path": str(path / n)}, ["qname", "rname", "rnext"])
+            got += [tuple(r) for s in reader.partitions() for r in reader.read(s)]
+            text, of = bam.read_header(bgzf.BlockStream((path / n).open("rb")))
+            assert of == [("one", 3_000_000), (".two", 500_000), ("c3/a", 100)] and text == header
+        want = [(r.qname, r.rname, r.rnext) for r in split.where(F.col("target") == target).orderBy("rec_idx").collect()]
+        assert got == want and all(places[r[1]] == target and r[2] in (None, ".two") for r in got)
+        assert bool(got) == (target != "none")
+    with pytest.raises(FileExistsError):
+        split_bam.write_split_bam(split, header, str(path))
+
+
+def test_a_failed_split_leaves_no_file(spark, tmp_path):
+    df = spark.createDataFrame(reads(spark, 100), ALIGNMENTS).withColumn("target", F.col("rname"))
+    broken = df.withColumn("qual", F.when(F.col("rec_idx") == 70, F.lit(" ")).otherwise(F.col("qual")))  # the writer can't encode it
+    with pytest.raises(Exception, match="range\\(0, 256\\)"):
+        split_bam.write_split_bam(broken, HEADER, str(tmp_path / "o"), single=True)
+    assert not list((tmp_path / "o").rglob("*"))
