@@ -52,7 +52,7 @@ def banding(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
 class Words(dict):
     """Numbers of words in a worker, and a 64-bit cryptographic hash of each; begun anew when there are more than LIMIT, which is below 2**20."""
 
-    LIMIT = 1_000_000
+    LIMIT = 100_000
 
     def __init__(self):
         self.hashes = np.zeros(1 << 16, np.uint64)
