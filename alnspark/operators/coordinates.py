@@ -6,10 +6,12 @@ genomes and spread a sequence that most rows refer to.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1 << 13
+#: Blocks in a bin of a lookup, about, where they are short.
+A_BIN = 8
 
 
 def build_msa_index(aligned: DataFrame) -> DataFrame:
@@ -73,12 +75,23 @@ def segments(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("aln_next", F.lead("aln_start").over(following))
 
 
+def bin_width(extent: Column, blocks: Column, width: int) -> Column:
+    """Bins for a sequence of so many blocks over so many positions: as wide as A_BIN blocks of the mean length, but at most ``width``.
+
+    So a position is compared with few blocks however short they are, and blocks are spread over hardly more rows than there are blocks.
+    """
+    return F.least(F.lit(width), F.greatest(F.lit(1), F.ceil(extent * A_BIN / blocks))).cast("long")
+
+
 def aligned_position(df: DataFrame, blocks: DataFrame, chr_: str, seq: str, pos: str, out: str = "aln", width: int = BIN) -> DataFrame:
     """Adds the column of the alignment that holds base ``pos`` of the sequence; null beyond its end or without the sequence."""
-    b = blocks.select(F.col("chr").alias("b_chr"), F.col("seq_id").alias("b_seq"), F.col("aln_start").alias("b_aln"), F.col("seq_start").alias("b_start"), (F.col("seq_start") + F.col("len")).alias("b_end"))
-    b = b.withColumn("b_bin", F.explode(F.sequence(F.floor(F.col("b_start") / width), F.floor((F.col("b_end") - 1) / width))))
-    cond = (F.col(chr_) == F.col("b_chr")) & (F.col(seq) == F.col("b_seq")) & (F.floor(F.col(pos) / width) == F.col("b_bin")) & (F.col(pos) >= F.col("b_start")) & (F.col(pos) < F.col("b_end"))
-    return df.join(b, cond, "left").withColumn(out, F.col("b_aln") + F.col(pos) - F.col("b_start")).drop("b_chr", "b_seq", "b_aln", "b_start", "b_end", "b_bin")
+    widths = blocks.groupBy(F.col("chr").alias("w_chr"), F.col("seq_id").alias("w_seq")).agg(bin_width(F.max(F.col("seq_start") + F.col("len")), F.count(F.lit(1)), width).alias("w_width"))
+    b = blocks.join(widths, (F.col("chr") == F.col("w_chr")) & (F.col("seq_id") == F.col("w_seq")))
+    b = b.select(F.col("chr").alias("b_chr"), F.col("seq_id").alias("b_seq"), F.col("aln_start").alias("b_aln"), F.col("seq_start").alias("b_start"), (F.col("seq_start") + F.col("len")).alias("b_end"), F.col("w_width").alias("b_width"))
+    b = b.withColumn("b_bin", F.explode(F.sequence(F.floor(F.col("b_start") / F.col("b_width")), F.floor((F.col("b_end") - 1) / F.col("b_width")))))
+    met = df.join(widths, (F.col(chr_) == F.col("w_chr")) & (F.col(seq) == F.col("w_seq")), "left")
+    cond = (F.col(chr_) == F.col("b_chr")) & (F.col(seq) == F.col("b_seq")) & (F.floor(F.col(pos) / F.col("w_width")) == F.col("b_bin")) & (F.col(pos) >= F.col("b_start")) & (F.col(pos) < F.col("b_end"))
+    return met.join(b, cond, "left").withColumn(out, F.col("b_aln") + F.col(pos) - F.col("b_start")).drop("b_chr", "b_seq", "b_aln", "b_start", "b_end", "b_width", "b_bin", "w_chr", "w_seq", "w_width")
 
 
 def sequence_position(df: DataFrame, blocks: DataFrame, chr_: str, seq: str, aln: str, out: str = "dst_pos", gap: str = "dst_gap", end: int = 1 << 40, width: int = BIN) -> DataFrame:
@@ -87,18 +100,21 @@ def sequence_position(df: DataFrame, blocks: DataFrame, chr_: str, seq: str, aln
     A sequence without blocks gives null.  After the last block every column is met up to its bin's end by that block, and beyond
     by the sequence's length.
     """
-    s = segments(blocks).select(F.col("chr").alias("s_chr"), F.col("seq_id").alias("s_seq"), F.col("aln_start").alias("s_aln"), F.col("seq_start").alias("s_start"), F.col("len").alias("s_len"), F.col("aln_next").alias("s_next"))
+    ends = blocks.groupBy(F.col("chr").alias("e_chr"), F.col("seq_id").alias("e_seq")).agg(
+        F.max(F.col("seq_start") + F.col("len")).alias("e_len"), F.min("aln_start").alias("e_first"), bin_width(F.max(F.col("aln_start") + F.col("len")), F.count(F.lit(1)), width).alias("e_width")
+    )
+    s = segments(blocks).join(ends.select(F.col("e_chr").alias("w_chr"), F.col("e_seq").alias("w_seq"), F.col("e_width").alias("s_width")), (F.col("chr") == F.col("w_chr")) & (F.col("seq_id") == F.col("w_seq")))
+    s = s.select(F.col("chr").alias("s_chr"), F.col("seq_id").alias("s_seq"), F.col("aln_start").alias("s_aln"), F.col("seq_start").alias("s_start"), F.col("len").alias("s_len"), F.col("aln_next").alias("s_next"), "s_width")
     last = F.coalesce(F.col("s_next"), F.col("s_aln") + F.col("s_len"))
-    s = s.withColumn("s_to", last).withColumn("s_bin", F.explode(F.sequence(F.floor(F.col("s_aln") / width), F.floor((F.col("s_to") - 1) / width))))
-    cond = (F.col(chr_) == F.col("s_chr")) & (F.col(seq) == F.col("s_seq")) & (F.floor(F.col(aln) / width) == F.col("s_bin")) & (F.col(aln) >= F.col("s_aln")) & (F.col(aln) < F.col("s_to"))
-    ends = blocks.groupBy(F.col("chr").alias("e_chr"), F.col("seq_id").alias("e_seq")).agg(F.max(F.col("seq_start") + F.col("len")).alias("e_len"), F.min("aln_start").alias("e_first"))
-    met = df.join(s, cond, "left").join(ends, (F.col(chr_) == F.col("e_chr")) & (F.col(seq) == F.col("e_seq")), "left")
+    s = s.withColumn("s_to", last).withColumn("s_bin", F.explode(F.sequence(F.floor(F.col("s_aln") / F.col("s_width")), F.floor((F.col("s_to") - 1) / F.col("s_width")))))
+    cond = (F.col(chr_) == F.col("s_chr")) & (F.col(seq) == F.col("s_seq")) & (F.floor(F.col(aln) / F.col("e_width")) == F.col("s_bin")) & (F.col(aln) >= F.col("s_aln")) & (F.col(aln) < F.col("s_to"))
+    met = df.join(ends, (F.col(chr_) == F.col("e_chr")) & (F.col(seq) == F.col("e_seq")), "left").join(s, cond, "left")
     offset = F.col(aln) - F.col("s_aln")
     found = F.col("s_start") + F.least(offset, F.col("s_len"))
     outside = F.when(F.col(aln) < F.col("e_first"), F.lit(0)).otherwise(F.col("e_len"))
     met = met.withColumn(out, F.when(F.col(aln).isNull() | F.col("e_len").isNull(), F.lit(None)).otherwise(F.coalesce(found, outside)).cast("long"))
     met = met.withColumn(gap, F.when(F.col(out).isNotNull(), F.coalesce(offset >= F.col("s_len"), F.lit(True))))
-    return met.drop("s_chr", "s_seq", "s_aln", "s_start", "s_len", "s_next", "s_to", "s_bin", "e_chr", "e_seq", "e_len", "e_first")
+    return met.drop("s_chr", "s_seq", "s_aln", "s_start", "s_len", "s_next", "s_width", "s_to", "s_bin", "e_chr", "e_seq", "e_len", "e_first", "e_width")
 
 
 def project_positions(df: DataFrame, blocks: DataFrame, chr_: str = "chr", src: str = "src", dst: str = "dst", pos: str = "pos", out: str = "dst_pos") -> DataFrame:

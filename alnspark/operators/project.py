@@ -10,6 +10,7 @@ a chunk of many alignments is dealt in several groups.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,12 @@ KEY = ["chr", "seq_id", "level", "bin"]
 
 #: One statement is analysed once, where as many DataFrame calls would each analyse all before them.
 _CHUNKS = """
-WITH windows AS (SELECT *, bin * size AS w_lo, (bin + 2) * size AS w_hi FROM (SELECT chr, seq_id, level, bin, {step} * CAST(pow(2, level) AS BIGINT) AS size FROM {wanted})),
+WITH windows AS (SELECT *, coalesce(bin * size, 0) AS w_lo, coalesce((bin + 2) * size, 0) AS w_hi FROM (SELECT chr, seq_id, level, bin, parts, {step} * CAST(pow(2, level) AS BIGINT) AS size FROM {wanted})),
 own AS (SELECT chr, seq_id, seq_start, aln_start, len, explode(sequence(floor(seq_start / {width}), floor((seq_start + len - 1) / {width}))) AS b_bin FROM {blocks}),
 grouped AS (
-    SELECT w.chr, w.seq_id, level, bin, sort_array(collect_set(struct(seq_start, aln_start, len))) AS src, min(aln_start + greatest(seq_start, w_lo) - seq_start) AS lo, max(aln_start + least(seq_start + len, w_hi) - 1 - seq_start) AS hi
-    FROM (SELECT *, explode(sequence(floor(w_lo / {width}), floor((w_hi - 1) / {width}))) AS b_bin FROM windows) w JOIN own b ON w.chr = b.chr AND w.seq_id = b.seq_id AND w.b_bin = b.b_bin AND seq_start < w_hi AND seq_start + len > w_lo
-    GROUP BY w.chr, w.seq_id, level, bin),
+    SELECT w.chr, w.seq_id, level, bin, parts, sort_array(collect_set(struct(seq_start, aln_start, len))) AS src, min(aln_start + greatest(seq_start, w_lo) - seq_start) AS lo, max(aln_start + least(seq_start + len, w_hi) - 1 - seq_start) AS hi
+    FROM (SELECT *, explode_outer(sequence(floor(w_lo / {width}), floor((w_hi - 1) / {width}))) AS b_bin FROM windows) w JOIN own b ON w.chr = b.chr AND w.seq_id = b.seq_id AND w.b_bin = b.b_bin AND seq_start < w_hi AND seq_start + len > w_lo
+    GROUP BY w.chr, w.seq_id, level, bin, parts),
 target AS (
     SELECT chr, seq_start AS t_seq, aln_start AS t_aln, len AS t_len, coalesce(lead(aln_start) OVER (PARTITION BY chr ORDER BY aln_start), aln_start + len) AS t_next, lag(aln_start) OVER (PARTITION BY chr ORDER BY aln_start) IS NULL AS t_first
     FROM {blocks} WHERE seq_id = {target}),
@@ -60,12 +61,12 @@ pieces AS (
 texts AS (
     SELECT p.chr, seq_id, level, bin, sort_array(collect_list(struct(begin, text))) AS texts FROM (SELECT chr, seq_id, level, bin, explode(sequence(floor(before / {step}), floor(after / {step}))) AS piece FROM placed) p
     JOIN pieces t ON p.chr = t.chr AND p.piece = t.piece GROUP BY p.chr, seq_id, level, bin)
-SELECT p.chr, p.seq_id, p.level, p.bin, src, dst, before, coalesce(array_join(transform(texts, x -> x.text), ''), '') AS bases, coalesce(texts[0].begin, 0) AS base_start
+SELECT p.chr, p.seq_id, p.level, p.bin, parts, src, dst, before, coalesce(array_join(transform(texts, x -> x.text), ''), '') AS bases, coalesce(texts[0].begin, 0) AS base_start
 FROM placed p LEFT JOIN texts t ON p.chr = t.chr AND p.seq_id = t.seq_id AND p.level = t.level AND p.bin = t.bin"""
 
 
 def chunks(wanted: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, step: int = STEP) -> DataFrame:
-    """``wanted`` (chr, seq_id, level, bin) with src, dst, before, bases, base_start of the window [bin * size, (bin + 2) * size), size = step * 2 ** level.
+    """``wanted`` (chr, seq_id, level, bin, parts) with src, dst, before, bases, base_start of the window [bin * size, (bin + 2) * size), size = step * 2 ** level.
 
     A column of the target belongs to the last block that begins at or before it, so each block is spread over the bins of columns up to the
     next one, the first from column 0; columns in bins after the last block have all bases of the target before them.
@@ -88,18 +89,28 @@ def nullable(kind: T.DataType) -> T.DataType:
     return T.MapType(kind.keyType, nullable(kind.valueType)) if isinstance(kind, T.MapType) else kind
 
 
-def joined_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all strings, null as empty, and where each begins."""
-    texts = [(x or "").encode() for x in column.to_pylist()]
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])[:-1]
+def flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def cigar_ops(column: pa.ChunkedArray) -> Ops:
-    flat = column.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    owner = np.repeat(np.arange(len(flat)), pa.compute.fill_null(pa.compute.list_value_length(flat), 0).to_numpy(zero_copy_only=False))
-    items = flat.flatten()
-    return Ops(owner, items.field("n").to_numpy(zero_copy_only=False).astype(np.int64), CODE_OF[np.frombuffer("".join(items.field("op").to_pylist()).encode(), np.uint8)])
+def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, null as empty, and where each begins; taken from Arrow's own buffers."""
+    texts = pa.compute.fill_null(column, "").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends[:-1] - ends[0]
+
+
+def cigar_ops(column: pa.Array) -> Ops:
+    owner = np.repeat(np.arange(len(column)), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    items = column.flatten()
+    ops, at = joined_bytes(items.field("op"))
+    if len(ops) != len(items) or (at != np.arange(len(items))).any():
+        raise ValueError("an operation of a CIGAR isn't one letter")
+    return Ops(owner, items.field("n").to_numpy(zero_copy_only=False).astype(np.int64), CODE_OF[ops])
 
 
 def lists(owner: np.ndarray, total: int, **fields: pa.Array) -> pa.ListArray:
@@ -108,26 +119,35 @@ def lists(owner: np.ndarray, total: int, **fields: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
-def project_cigars(df: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, gap_open: float = 0, gap_extend: float = -1, use_qualities: bool = False, anew: bool = True, step: int = STEP, group: int = GROUP) -> DataFrame:
+def project_cigars(df: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, gap_open: float = 0, gap_extend: float = -1, use_qualities: bool = False, anew: bool = True, step: int = STEP, group: int = GROUP, columns: Collection[str] | None = None) -> DataFrame:
     """``df`` (chr, seq_id, pos, cigar, seq, qual and other columns) with dst_pos, dst_cigar, ref_ranges, query_ranges.
 
+    ``columns`` names those of all these that are wanted beside chr and seq_id, as Spark tells a Python stage nothing of pruning: others aren't
+    shuffled or sent back.  All alignments are worked on whatever is wanted.
+
     ``blocks`` is the index, ``reference`` (name, seq and, if in pieces, start) the target's bases for each chromosome, ``target`` its sequence
     id.  A sequence or target that the index lacks, and an alignment that doesn't lie within its sequence, are errors that name them.
     """
     length = C.reference_length(F.col("cigar")).cast("long")
-    reads = positions_within(df.withColumn("at", F.col("pos").cast("long")).withColumn("of", F.coalesce(length, F.lit(0))), blocks, "chr", "seq_id", "at", "of", target)
+    wanted = lambda c: columns is None or c in columns
+    kept = [c for c in df.columns if c not in ("chr", "seq_id") and wanted(c)]
+    sent = [c for c in df.columns if c in kept or c in ("cigar", "seq") or (c == "qual" and use_qualities and anew)]
+    reads = df.select("chr", "seq_id", F.col("pos").cast("long").alias("at"), F.coalesce(length, F.lit(0)).alias("of"), *sent).where("chr IS NOT NULL AND seq_id IS NOT NULL AND at IS NOT NULL")
+    reads = positions_within(reads, blocks, "chr", "seq_id", "at", "of", target)
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("of", F.lit(1)) / step))).cast("int")
-    reads = reads.withColumn("level", level).withColumn("bin", F.floor(F.col("at") / (F.lit(step) * F.pow(F.lit(2), F.col("level")).cast("long"))))
+    size = F.lit(step) * F.pow(F.lit(2), F.col("level")).cast("long")
+    reads = reads.withColumn("level", level).withColumn("bin", F.coalesce(F.floor(F.col("at") / size), F.lit(0)))
+    # keys without nulls, and chunks that carry ``parts``: so both uses of the counts have one plan, and the alignments are read once for them
     counts = reads.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
-    every = [c for c in reads.columns if c not in ("of", *KEY)]
-    hashed = F.xxhash64(*[f.name for f in reads.schema if f.name not in KEY and f.dataType.typeName() != "map"])
-    dealt = reads.join(counts, KEY).withColumn("part", F.pmod(hashed, F.col("parts")).cast("int"))
-    dealt = dealt.select(*KEY, "part", *every)
-    made = chunks(counts.select(*KEY), blocks, reference, target, step).join(counts, KEY).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # of n alignments at most n / group chunks are deep, so these are few whatever the index's size and the alignments are shuffled once
+    dealt = reads.join(F.broadcast(counts.where("parts > 1")), KEY, "left")
+    hashed = F.xxhash64("at", *[f.name for f in df.schema if f.name in sent and "map<" not in f.dataType.simpleString()])
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(hashed, F.col("parts")).cast("int"))
+    dealt = dealt.select(*KEY, part.alias("part"), "at", *sent)
+    made = chunks(counts, blocks, reference, target, step).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     made = made.select(*[F.col(c).alias(f"c_{c}") for c in made.columns])
-    kept = [c for c in df.columns if c not in ("chr", "seq_id")]
-    new = T.StructType.fromDDL(f"chr string, seq_id string, dst_pos bigint, dst_cigar {CIGAR_DDL}, ref_ranges {RANGES}, query_ranges {RANGES}")
-    schema = T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in [*(f for f in df.schema if f.name in kept), *new]])
+    new = [f for f in T.StructType.fromDDL(f"dst_pos bigint, dst_cigar {CIGAR_DDL}, ref_ranges {RANGES}, query_ranges {RANGES}") if wanted(f.name)]
+    schema = T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in [*(df.schema[c] for c in kept), *T.StructType.fromDDL("chr string, seq_id string"), *new]])
     arrow = to_arrow_schema(schema)
     scores = Scores(gap_open, gap_extend)
 
@@ -135,19 +155,23 @@ def project_cigars(df: DataFrame, blocks: DataFrame, reference: DataFrame, targe
         c = right.slice(0, 1).to_pylist()[0]
         chunk = Chunk(blocks_array(c["c_src"]), blocks_array(c["c_dst"]), c["c_before"], c["c_bases"].encode(), c["c_base_start"])
         starts, total = left["at"].to_numpy(), len(left)
-        reads, read_at = joined_bytes(left["seq"])
-        first, ops = rewrite(cigar_ops(left["cigar"]), starts, reads, read_at, chunk)
+        reads, read_at = joined_bytes(flat(left["seq"]))
+        first, ops = rewrite(cigar_ops(flat(left["cigar"])), starts, reads, read_at, chunk)
         none = np.zeros(0, np.int64)
         mine, on_ref, gone, on_read, added = none, none, none, none, none
         if anew:
             quality = [np.frombuffer(q.encode(), np.uint8).astype(np.int64) - 33 if q and q != "*" else None for q in left["qual"].to_pylist()] if use_qualities else None
             ops, mine, on_ref, gone, on_read, added = realign(ops, first, reads, read_at, quality, chunk, scores)
         out = left.select([*kept, "chr", "seq_id"])
-        out = out.append_column("dst_pos", pa.array(first, pa.int64()))
-        names = pa.array(list(CODES)).take(pa.array(ops.op))
-        out = out.append_column("dst_cigar", lists(ops.owner, total, n=pa.array(ops.n.astype(np.int32)), op=names))
-        out = out.append_column("ref_ranges", lists(mine, total, location=pa.array(on_ref), length=pa.array(gone)))
-        return out.append_column("query_ranges", lists(mine, total, location=pa.array(on_read), length=pa.array(added))).cast(arrow)
+        made_here = {
+            "dst_pos": lambda: pa.array(first, pa.int64()),
+            "dst_cigar": lambda: lists(ops.owner, total, n=pa.array(ops.n.astype(np.int32)), op=pa.array(list(CODES)).take(pa.array(ops.op))),
+            "ref_ranges": lambda: lists(mine, total, location=pa.array(on_ref), length=pa.array(gone)),
+            "query_ranges": lambda: lists(mine, total, location=pa.array(on_read), length=pa.array(added)),
+        }
+        for f in new:
+            out = out.append_column(f.name, made_here[f.name]())
+        return out.cast(arrow)
 
     return dealt.groupBy(*KEY, "part").cogroup(made.groupBy(*[f"c_{c}" for c in (*KEY, "part")])).applyInArrow(run, schema)
 
@@ -177,19 +201,38 @@ def project_mates(df: DataFrame, blocks: DataFrame, target: str, separator: str
     return met.drop("mate_seq", "mate_at", "mate_dst", "aln", "dst_gap")
 
 
-def project_alignments(df: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, separator: str = "/", **how) -> DataFrame:
+#: Columns of project_alignments() and what each is made of, beside the places that every alignment needs.
+PROJECTED = {
+    "rec_idx": ("rec_idx",), "qname": ("qname",), "flag": ("flag",), "rname": (), "pos": ("dst_pos",), "mapq": ("mapq",), "cigar": ("dst_cigar",), "rnext": (), "pnext": (), "seq": ("seq",), "qual": ("qual",),
+    "o_rname": ("rname",), "o_pos": ("pos",), "o_rnext": (), "o_pnext": (), "oa": ("rname", "pos", "flag", "cigar", "mapq", "oa_nm", "oa_before"), "xb": ("query_ranges",), "yb": ("ref_ranges",),
+}
+
+
+def project_alignments(df: DataFrame, blocks: DataFrame, reference: DataFrame, target: str, separator: str = "/", columns: Collection[str] | None = None, **how) -> DataFrame:
     """Alignments on the target: new rname, pos, cigar, rnext, pnext, the original places (o_rname, o_pos, o_rnext, o_pnext), oa, and the ranges
     aligned anew as flat arrays (xb on the read, yb on the target).  Rows that projectable() drops are left out; a read or mate on a sequence that
-    the index lacks or beyond its end, and a chromosome without the target, are errors that name them."""
+    the index lacks or beyond its end, and a chromosome without the target, are errors that name them.
+
+    ``columns`` names those that are wanted (all, if None): each alignment is projected and checked all the same, but what only others need isn't
+    shuffled or sent through Python."""
+    if odd := [c for c in columns or () if c not in PROJECTED]:
+        raise ValueError(f"projection has no columns {odd}")
+    columns = [c for c in PROJECTED if columns is None or c in columns]
+    needed = {"rec_idx", "rnext", "pnext"}.union(*(PROJECTED[c] for c in columns))
     df = projectable(df).withColumn("chr", chr_of(F.col("rname"), separator)).withColumn("seq_id", seq_of(F.col("rname"), separator))
-    met = project_mates(project_cigars(df, blocks, reference, target, **how), blocks, target, separator, strict=True)
-    nm = F.regexp_extract(F.try_element_at("tags", F.lit("NM")), ":(.*)$", 1) if "tags" in df.columns else F.lit(None)
-    before = F.regexp_extract(F.try_element_at("tags", F.lit("OA")), ":(.*)$", 1) if "tags" in df.columns else F.lit(None)
-    oa = original_alignment(F.col("rname"), F.col("pos"), F.col("flag"), F.col("cigar"), F.col("mapq"), nm, before)
-    return met.select(
-        "rec_idx", "qname", "flag", F.col("chr").alias("rname"), F.col("dst_pos").alias("pos"), "mapq", F.col("dst_cigar").alias("cigar"), F.col("mate_chr").alias("rnext"), F.col("mate_pos").alias("pnext"), "seq", "qual",
-        F.col("rname").alias("o_rname"), F.col("pos").alias("o_pos"), F.col("rnext").alias("o_rnext"), F.col("pnext").alias("o_pnext"), oa.alias("oa"), flat_ranges(F.col("query_ranges")).alias("xb"), flat_ranges(F.col("ref_ranges")).alias("yb"),
-    )
+    if "oa" in columns:
+        value = lambda n: F.regexp_extract(F.try_element_at("tags", F.lit(n)), ":(.*)$", 1) if "tags" in df.columns else F.lit(None).cast("string")
+        df = df.withColumns({"oa_nm": value("NM"), "oa_before": value("OA")})
+    met = project_mates(project_cigars(df, blocks, reference, target, columns=needed, **how), blocks, target, separator, strict=True)
+    made = {
+        "rname": "chr", "pos": "dst_pos", "cigar": "dst_cigar", "rnext": "mate_chr", "pnext": "mate_pos", "o_rname": "rname", "o_pos": "pos", "o_rnext": "rnext", "o_pnext": "pnext",
+    }
+    longer = {
+        "oa": lambda: original_alignment(F.col("rname"), F.col("pos"), F.col("flag"), F.col("cigar"), F.col("mapq"), F.col("oa_nm"), F.col("oa_before")),
+        "xb": lambda: flat_ranges(F.col("query_ranges")),
+        "yb": lambda: flat_ranges(F.col("ref_ranges")),
+    }
+    return met.select(*[(longer[c]() if c in longer else F.col(made.get(c, c))).alias(c) for c in columns])
 
 
 #: Default names of the tags that keep where an alignment came from.

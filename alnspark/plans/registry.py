@@ -464,20 +464,20 @@ _RANGES = """,
 
 @query(_REWRITTEN + "SELECT rec_idx, CAST(dst_pos AS BIGINT) AS pos, string_agg(CAST(n AS STRING) || op, '' ORDER BY item) AS cigar FROM plain JOIN places USING (rec_idx) GROUP BY rec_idx, dst_pos")
 def rewritten_alignments(spark, d):
-    return _projected(spark, d, anew=False).select("rec_idx", "pos", C.render(F.col("cigar")).alias("cigar"))
+    return _projected(spark, d, anew=False, columns=("rec_idx", "pos", "cigar")).select("rec_idx", "pos", C.render(F.col("cigar")).alias("cigar"))
 
 
 @query(_REWRITTEN + _RANGES + """SELECT rec_idx, string_agg(CAST(read_at AS STRING) || ',' || CAST(read_at + added AS STRING), ',' ORDER BY read_at) AS xb, string_agg(CAST(location AS STRING) || ',' || CAST(location + length AS STRING), ',' ORDER BY read_at) AS yb
     FROM runs GROUP BY rec_idx""")
 def realigned_parts(spark, d):
     """The tags XB and YB as text."""
-    tagged = project.provenance_tags(_projected(spark, d).where(F.size("xb") > 0))
+    tagged = project.provenance_tags(_projected(spark, d, columns=project.PROVENANCE).where(F.size("xb") > 0))
     return tagged.select("rec_idx", *(F.regexp_replace(T.tag(F.col("tags"), n.upper()), "^I,", "").alias(n) for n in ("xb", "yb")))
 
 
 @query()
 def project_alignments(spark, d):
-    df = _projected(spark, d)
+    df = _projected(spark, d, columns=("rec_idx", "qname", "rname", "pos", "cigar", "rnext", "pnext", "oa", "xb", "yb"))
     return df.select("rec_idx", "qname", "rname", "pos", C.render(F.col("cigar")).alias("cigar"), "rnext", "pnext", "oa", F.array_join("xb", ",").alias("xb"), F.array_join("yb", ",").alias("yb"))
 
 
@@ -487,18 +487,18 @@ def project_alignments(spark, d):
     + """SELECT rec_idx, dst_pos AS pos, concat(rname, ',', CAST(a.pos + 1 AS STRING), ',', CASE WHEN (flag & 16) <> 0 THEN '-' ELSE '+' END, ',', cigar_text, ',', CAST(mapq AS STRING), ',;') AS oa FROM alignments a JOIN done ON key = rec_idx"""
 )
 def projected_places(spark, d):
-    return _projected(spark, d).select("rec_idx", "pos", "oa")
+    return _projected(spark, d, columns=("rec_idx", "pos", "oa"))
 
 
 @query(ALN + "SELECT rec_idx, rname AS xr, CAST(pos AS STRING) AS xp, rnext AS yr, CAST(pnext AS STRING) AS yp, CAST(rec_idx AS STRING) AS xi FROM alignments WHERE (flag & 1540) = 0")
 def provenance_tags(spark, d):
-    tagged = project.provenance_tags(_projected(spark, d))
+    tagged = project.provenance_tags(_projected(spark, d, columns=project.PROVENANCE))
     return tagged.select("rec_idx", *(T.tag(F.col("tags"), n.upper()).alias(n) for n in ("xr", "xp", "yr", "yp", "xi")))
 
 
 @query(_REWRITTEN + _RANGES + "SELECT DISTINCT split_part(rname, '/', 1) AS rname, location, length FROM runs JOIN alignments USING (rec_idx)")
 def realigned_ranges(spark, d):
-    return project.realigned_ranges(_projected(spark, d))
+    return project.realigned_ranges(_projected(spark, d, columns=("rname", "yb")))
 
 
 # --------------------------------------------------------------------------- mapping quality
