@@ -24,17 +24,24 @@ def reads(spark):
     return df.withColumn("cigar", C.parse(F.col("text"))).withColumn("tags", F.create_map(F.lit("NM"), F.lit("i:1")))
 
 
-def test_alignments_are_read_once_for_counts_and_once_for_projection(spark, index):
-    seen = spark.sparkContext.accumulator(0)
-
-    def count(batches):
-        for b in batches:
-            seen.add(b.num_rows)
-            yield b
-
-    df = reads(spark)
-    rows = project.project_alignments(df.mapInArrow(count, df.schema), *index, "t").collect()
-    assert len(rows) == 40 and seen.value == 2 * 40
+def test_alignments_are_read_once_for_counts_and_once_for_projection(spark, index, tmp_path):
+    reads(spark).write.parquet(str(tmp_path / "reads"))
+    df = project.project_alignments(spark.read.parquet(str(tmp_path / "reads")), *index, "t")
+    assert len(df.collect()) == 40
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Final Plan" in final and final.count("FileScan parquet") == 2
+
+
+def test_alignments_are_not_shuffled_to_meet_the_counts(spark, index):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = project.project_alignments(reads(spark), *index, "t")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    side = plan.split("FlatMapCoGroupsInArrow")[1].split("Generate")[0]
+    joins = [x for x in side.splitlines() if "Join" in x and "level#" in x]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0]
 
 
 def test_deep_chunks_are_dealt_without_a_change_of_results(spark, index):
